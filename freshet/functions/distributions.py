@@ -1,9 +1,13 @@
-"""Distribution functions as column expressions, so p-values stay in the JVM."""
+"""Distribution functions built from SQL expressions, so p-values stay in the JVM.
+
+Each step is a named column that the next one refers to. Nested as one expression the
+repeated terms would multiply into a tree too large to plan.
+"""
 
 import math
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SERIES_TERMS = 160
@@ -13,45 +17,16 @@ EXACT_SPEARMAN_MAX_N = 9
 AS89 = (0.2274, 0.2531, 0.1745, 0.0758, 0.1033, 0.3932, 0.0879, 0.0151, 0.0072, 0.0831, 0.0131, 4.6e-4)
 
 
-def normal_cdf(x: Column) -> Column:
-    """Standard normal CDF by its all-positive power series, cut at |x| = 8."""
-    z = F.least(F.abs(x), F.lit(8.0))
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(SERIES_TERMS)),
-        F.struct(z.alias("term"), z.alias("total")),
-        lambda acc, k: F.struct(
-            (acc["term"] * z * z / (2 * k + 1)).alias("term"),
-            (acc["total"] + acc["term"] * z * z / (2 * k + 1)).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    upper = F.least(F.lit(0.5) + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series, F.lit(1.0))
-    return F.when(x >= 0, upper).when(x < 0, 1 - upper)
-
-
-def student_t_two_sided(t: Column, dof: Column) -> Column:
-    """Two-sided p of Student's t for whole degrees of freedom (finite trigonometric sums)."""
-    theta = F.atan(F.abs(t) / F.sqrt(dof))
-    cos2 = F.pow(F.cos(theta), 2)
-    odd = dof % 2 == 1
-    n_terms = F.when(odd, (dof - 1) / 2).otherwise(dof / 2).cast("int")
-    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
-
-    def step(acc, k):
-        ratio = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
-        term = acc["term"] * ratio * cos2
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    ks = F.when(n_terms >= 2, F.sequence(F.lit(1), F.greatest(n_terms - 1, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    total = F.aggregate(
-        ks, F.struct(first.cast("double").alias("term"), first.cast("double").alias("total")), step,
-        lambda acc: acc["total"],
+def with_normal_cdf(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Adds the standard normal CDF of x, by its all-positive power series cut at |x| = 8."""
+    series = f"""aggregate(sequence(1, {SERIES_TERMS}), named_struct('t', _z, 's', _z),
+        (a, k) -> named_struct('t', a.t * _z * _z / (2 * k + 1), 's', a.s + a.t * _z * _z / (2 * k + 1)), a -> a.s)"""
+    return (
+        df.withColumn("_z", F.expr(f"least(abs({x}), 8D)"))
+        .withColumn("_upper", F.expr(f"least(0.5D + exp(-_z * _z / 2) / sqrt(2 * pi()) * {series}, 1D)"))
+        .withColumn(out, F.expr(f"if({x} >= 0, _upper, 1 - _upper)"))
+        .drop("_z", "_upper")
     )
-    total = F.when(n_terms >= 1, total).otherwise(F.lit(0.0))
-    area = F.when(odd, (theta + F.sin(theta) * total) * (2 / math.pi)).otherwise(F.sin(theta) * total)
-    return F.greatest(1 - area, F.lit(0.0))
 
 
 @lru_cache(maxsize=None)
@@ -72,54 +47,64 @@ def spearman_tail_counts(n: int) -> dict[int, int]:
     return states[(1 << n) - 1]
 
 
-def _exact_spearman(n: Column, s: Column) -> Column:
-    """Two-sided exact p from the permutation counts, for 2 <= n <= 9."""
-    p = F.lit(None).cast("double")
-    for size in range(2, EXACT_SPEARMAN_MAX_N + 1):
-        counts = spearman_tail_counts(size)
-        sums = sorted(counts)
-        all_perms = math.factorial(size)
-        middle = (size**3 - size) / 6
-        table: list[Column] = []
-        for d in sums:
-            if d > middle:
-                tail = sum(c for k, c in counts.items() if k >= d)
-            else:
-                tail = sum(c for k, c in counts.items() if k <= d)
-            table += [F.lit(d), F.lit(min(1.0, 2 * tail / all_perms))]
-        p = F.when(n == size, F.element_at(F.create_map(*table), s.cast("int"))).otherwise(p)
-    return p
-
-
-def _edgeworth_spearman(n: Column, s: Column) -> Column:
-    """Two-sided p by the Edgeworth series, for n > 9."""
+@lru_cache(maxsize=None)
+def _exact_table() -> str:
+    """SQL map from n * 1000 + sum of squared rank differences to the two-sided exact p, 2 <= n <= 9."""
+    entries = []
+    for n in range(2, EXACT_SPEARMAN_MAX_N + 1):
+        counts = spearman_tail_counts(n)
+        middle = (n**3 - n) / 6
+        for s in sorted(counts):
+            tail = sum(c for k, c in counts.items() if (k >= s if s > middle else k <= s))
+            entries.append(f"{n * 1000 + s}, {min(1.0, 2 * tail / math.factorial(n))!r}D")
+    return "map(" + ", ".join(entries) + ")"
+
+
+def with_spearman_p(df: DataFrame, rho: str = "rho", n: str = "n", tied: str = "tied", out: str = "pval") -> DataFrame:
+    """Adds the two-sided p of Spearman's rho.
+
+    With ties: Student's t with n - 2 degrees of freedom as a finite trigonometric sum,
+    where the angle of t is asin |rho|. Without ties: exact permutation counts up to
+    n = 9, the Edgeworth series beyond.
+    """
     c = AS89
-    upper = s > (F.pow(n, 3) - n) / 6
-    shifted = F.when(upper, s - 1).otherwise(s + 2)
-    b = 1.0 / n
-    x = (6 * (shifted - 1) * b / (n * n - 1.0) - 1) * F.sqrt(n - 1.0)
-    y = x * x
-    inner = c[8] - c[9] * b + y * b * (c[10] - c[11] * y)
-    middle = c[6] + c[7] * b - y * inner
-    u = x * b * (c[0] + b * (c[1] + c[2] * b) + y * (-c[3] + b * (c[4] + c[5] * b) - y * b * middle))
-    correction = u * F.exp(-y / 2)
-    lower_p = normal_cdf(x) - correction
-    upper_p = 1 - normal_cdf(x) + correction
-    tail = F.when(upper, upper_p).otherwise(lower_p)
-    return F.least(2 * F.greatest(tail, F.lit(0.0)), F.lit(1.0))
-
-
-def spearman_p_value(rho: Column, n: Column, has_ties: Column) -> Column:
-    """Two-sided p of Spearman's rho: t form with ties, exact to n = 9, Edgeworth beyond."""
-    t = F.abs(rho) * F.sqrt((n - 2) / (1 - rho * rho))
-    # 1 - rho^2 is compared with a hair above zero: a perfect rank correlation can
-    # come out one rounding step below 1.
-    perfect = 1 - rho * rho < 1e-14
-    t_form = F.when(perfect, F.lit(0.0)).otherwise(student_t_two_sided(t, n - 2))
-    s = F.round((F.pow(n, 3) - n) * (1 - rho) / 6)
-    return (
-        F.when(rho.isNull() | (n < 3), F.lit(None).cast("double"))
-        .when(has_ties, t_form)
-        .when(n <= EXACT_SPEARMAN_MAX_N, _exact_spearman(n, s))
-        .otherwise(_edgeworth_spearman(n, s))
+    terms = "aggregate(if(_terms >= 2, sequence(1, greatest(_terms - 1, 1)), array()), named_struct('t', _first, 's', _first), "
+    terms += "(a, k) -> named_struct('t', a.t * _cos2 * if(_odd, 2 * k / (2 * k + 1), (2 * k - 1) / (2 * k)), "
+    terms += "'s', a.s + a.t * _cos2 * if(_odd, 2 * k / (2 * k + 1), (2 * k - 1) / (2 * k))), a -> a.s)"
+    steps = [
+        ("_abs", f"least(abs({rho}), 1D)"),
+        ("_cos2", "1 - _abs * _abs"),
+        ("_odd", f"{n} % 2 = 1"),
+        ("_terms", f"cast(if(_odd, ({n} - 3) / 2, ({n} - 2) / 2) as int)"),
+        ("_first", "if(_odd, sqrt(_cos2), 1D)"),
+        ("_sum", f"if(_terms >= 1, {terms}, 0D)"),
+        ("_p_t", "greatest(0D, 1 - if(_odd, 2 / pi() * (asin(_abs) + _abs * _sum), _abs * _sum))"),
+        # Edgeworth series on the sum of squared rank differences
+        ("_s", f"round((pow({n}, 3) - {n}) * (1 - {rho}) / 6)"),
+        ("_is_upper", f"_s > (pow({n}, 3) - {n}) / 6"),
+        ("_b", f"1D / {n}"),
+        ("_x", f"(6 * (if(_is_upper, _s - 1, _s + 2) - 1) * _b / ({n} * {n} - 1D) - 1) * sqrt({n} - 1D)"),
+        ("_y", "_x * _x"),
+        ("_u1", f"{c[8]}D - {c[9]}D * _b + _y * _b * ({c[10]}D - {c[11]!r}D * _y)"),
+        ("_u2", f"{c[6]}D + {c[7]}D * _b - _y * _u1"),
+        (
+            "_u",
+            f"_x * _b * ({c[0]}D + _b * ({c[1]}D + {c[2]}D * _b) "
+            f"+ _y * (-{c[3]}D + _b * ({c[4]}D + {c[5]}D * _b) - _y * _b * _u2))",
+        ),
+    ]
+    work = df
+    for name, expr in steps:
+        work = work.withColumn(name, F.expr(expr))
+    work = with_normal_cdf(work, "_x", "_phi")
+    edgeworth = "if(_is_upper, 1 - _phi + _u * exp(-_y / 2), _phi - _u * exp(-_y / 2))"
+    exact = f"element_at({_exact_table()}, cast({n} * 1000 + _s as int))"
+    work = work.withColumn(
+        out,
+        F.expr(
+            f"""case when {rho} is null or {n} < 3 then null when {tied} then _p_t
+            when {n} <= {EXACT_SPEARMAN_MAX_N} then {exact}
+            else least(2 * greatest({edgeworth}, 0D), 1D) end"""
+        ),
     )
+    return work.drop(*[name for name, _ in steps], "_phi")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.cleaning import signif
-from freshet.functions.distributions import spearman_p_value
+from freshet.functions.distributions import with_spearman_p
 from freshet.operators.yearly import (
     BASEFLOW_METRICS,
     FDC_METRICS,
@@ -58,7 +58,7 @@ def sen_slope(points: Column) -> Column:
             ),
         )
     )
-    return F.array_sort(slopes)
+    return F.sort_array(slopes)
 
 
 def trends(yearly: DataFrame, keys: Sequence[str] = GAGE, min_years: int = 3) -> DataFrame:
@@ -84,23 +84,24 @@ def trends(yearly: DataFrame, keys: Sequence[str] = GAGE, min_years: int = 3) ->
         .agg(
             F.count("*").alias("n"),
             F.corr("_year_rank", "_rank").alias("rho"),
-            (F.max("_ties") > 1).alias("_tied"),
+            (F.max("_ties") > 1).alias("tied"),
             F.avg("value").alias("mean"),
             F.median("value").alias("median"),
-            F.array_sort(F.collect_list(F.struct("year", "value"))).alias("_points"),
+            F.sort_array(F.collect_list(F.struct("year", "value"))).alias("_points"),
         )
         .filter(F.col("n") >= min_years)
         .withColumn("_slopes", sen_slope(F.col("_points")))
         # corr of a constant series divides by zero; keep that null, not NaN
         .withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
     )
+    stats = with_spearman_p(stats)
     whole_days = F.col("metric").isin(TIMING_METRICS)
     return stats.select(
         *group,
         "n",
         _median_of(F.col("_slopes")).alias("slp"),
         "rho",
-        spearman_p_value(F.col("rho"), F.col("n").cast("int"), F.col("_tied")).alias("pval"),
+        "pval",
         F.when(whole_days, F.bround("mean")).otherwise(F.col("mean")).alias("mean"),
         F.when(whole_days, F.bround("median")).otherwise(F.col("median")).alias("median"),
     )

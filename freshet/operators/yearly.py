@@ -254,7 +254,7 @@ def runoff_ratios(daily: DataFrame, keys: Sequence[str] = GAGE) -> DataFrame:
 
 def _bfi_years(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per usable year with its flows in day order (at most 366 of them)."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct("doy", "q"))), lambda d: d["q"])
+    series = F.transform(F.sort_array(F.collect_list(F.struct("doy", "q"))), lambda d: d["q"])
     years = daily.groupBy(*keys, "year").agg(
         series.alias("qs"), F.count("*").alias("_rows"), F.count("q").alias("_n"), F.sum("q").alias("_total")
     )
