@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from driver_queries.registry import registry
 from driver_queries.stand_ins import DAILY, GAPPY, RAIN, daily, gappy, rain
 from freshet.operators import quality, recession, trends, yearly
 from freshet.plans import signatures
@@ -24,18 +25,7 @@ def _union_sql(rows, source, keys="gage_id, year", digits=4):
     return "\nUNION ALL ".join(parts)
 
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return register
-
+QUERIES, SQL, query = registry()
 
 VALID = """
 valid_years AS (
