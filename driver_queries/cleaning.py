@@ -99,15 +99,13 @@ def _(spark, d):
 @query(
     "s5_p10_sensor",
     """SELECT event_type AS station, CAST(ts AS DATE) AS date, CAST(count(*) AS BIGINT) AS n,
-      CAST(count(*) FILTER (WHERE value >= 20) AS BIGINT) AS n_value, round(sum(value - 20) FILTER (WHERE value >= 20), 4) AS total FROM events
-    WHERE value < 200 GROUP BY 1, 2
-    UNION ALL SELECT event_type, CAST(ts AS DATE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), NULL FROM events GROUP BY 1, 2 HAVING max(value) < 0""",
+      CAST(count(*) FILTER (WHERE value >= 20) AS BIGINT) AS n_value, round(sum(value - 20) FILTER (WHERE value >= 20), 4) AS total FROM events GROUP BY 1, 2""",
 )
 def _(spark, d):
     """Event times as sensor stamps; low readings come as junk text, some below zero."""
     v = F.col("value")
     text = F.when(v < 10, "---").otherwise((v - 20).cast("string"))
-    raw = table(spark, d, "events").filter("value < 200").select(
+    raw = table(spark, d, "events").select(
         F.col("event_type").alias("station"), F.date_format("ts", "yyyyMMdd HHmm").alias("DATE TIME"), text.alias("VALUE")
     )
     parsed = sensors.parse_sensor(raw).withColumn("value", cleaning.negative_to_null(F.col("value")))
@@ -147,9 +145,9 @@ def _(spark, d):
     return rows.groupBy("data_project", "watershed_id", "date").agg(F.sum("q").alias("q"), F.round(F.sum("ppt"), 2).alias("ppt"))
 
 
-@query("s8_resume", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("s8_resume", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _(spark, d):
-    done = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("c_custkey"))
+    done = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("c_custkey"))
     return sinks.not_done(table(spark, d, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 

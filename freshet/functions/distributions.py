@@ -1,7 +1,7 @@
 """Distribution functions built from SQL expressions, so p-values stay in the JVM.
 
-Each step is a named column that the next one refers to. Nested as one expression the
-repeated terms would multiply into a tree too large to plan.
+Each step is a named column that later ones refer to (lateral aliases of one select).
+Nested as one expression the repeated terms would multiply into a tree too large to plan.
 """
 
 import math
@@ -93,9 +93,7 @@ def with_spearman_p(df: DataFrame, rho: str = "rho", n: str = "n", tied: str = "
             f"+ _y * (-{c[3]}D + _b * ({c[4]}D + {c[5]}D * _b) - _y * _b * _u2))",
         ),
     ]
-    work = df
-    for name, expr in steps:
-        work = work.withColumn(name, F.expr(expr))
+    work = df.selectExpr("*", *[f"{expr} as {name}" for name, expr in steps])
     work = with_normal_cdf(work, "_x", "_phi")
     edgeworth = "if(_is_upper, 1 - _phi + _u * exp(-_y / 2), _phi - _u * exp(-_y / 2))"
     exact = f"element_at({_exact_table()}, cast({n} * 1000 + _s as int))"

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.calendar import with_calendar
@@ -65,11 +65,18 @@ def restrict_to_valid_years(
     keys: Sequence[str] = GAGE,
     strict: bool = False,
 ) -> DataFrame:
-    """Rows of valid years of gages that have enough of them."""
-    years = valid_years(daily, min_q, min_days, keys, strict)
-    gages = gages_with_years(years, min_years, keys, strict)
-    wanted = years.join(gages, list(keys), "left_semi")
-    return daily.join(wanted, [*keys, "year"], "left_semi")
+    """Rows of valid years of gages that have enough of them.
+
+    The same gates as valid_years and gages_with_years, as windows: on a table that is
+    partitioned by gage they move no rows, where a semi-join would shuffle the days again.
+    """
+    flowing = F.count_if(F.col("q") > min_q).over(Window.partitionBy(*keys, "year"))
+    years = F.size(F.collect_set("year").over(Window.partitionBy(*keys)))
+    kept = daily.withColumn("_days", flowing)
+    kept = kept.filter(F.col("_days") > min_days if strict else F.col("_days") >= min_days)
+    kept = kept.withColumn("_years", years)
+    kept = kept.filter(F.col("_years") > min_years if strict else F.col("_years") >= min_years)
+    return kept.drop("_days", "_years")
 
 
 def record_header(

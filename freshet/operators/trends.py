@@ -111,7 +111,5 @@ def summary_wide(
     trend_rows: DataFrame, keys: Sequence[str] = GAGE, metrics: Sequence[str] = METRICS
 ) -> DataFrame:
     """One row per gage with <metric>_<stat> columns; absent metrics stay null."""
-    picked = [
-        F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in metrics for s in STATS
-    ]
-    return trend_rows.groupBy(*keys).agg(*picked)
+    stats = [F.first(s, ignorenulls=True).alias(s) for s in STATS]
+    return trend_rows.groupBy(*keys).pivot("metric", list(metrics)).agg(*stats)

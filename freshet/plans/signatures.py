@@ -44,12 +44,17 @@ def gage_summary(
     min_days: int = 30,
     min_years: int = 20,
     families: Sequence[str] | None = None,
+    cache: bool = True,
 ) -> DataFrame:
     """Header, <metric>_<stat> columns and recession seasonality, one row per accepted gage.
 
-    daily is read once per family: pass it arranged and persisted.
+    The accepted days are shuffled and sorted once, and cached (memory, then disk) because
+    every family reads them; spark.catalog.clearCache() frees them after the write. With
+    cache=False each family goes back to the source.
     """
-    kept = quality.restrict_to_valid_years(daily, min_q, min_days, min_years, keys)
+    kept = quality.restrict_to_valid_years(arrange(daily, keys), min_q, min_days, min_years, keys)
+    if cache:
+        kept = kept.persist()
     wide = trends.summary_wide(trends.trends(yearly_metrics(kept, keys, families), keys), keys)
     header = quality.record_header(kept, upstream, keys)
     out = header.join(wide, list(keys), "left")

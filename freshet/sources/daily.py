@@ -51,7 +51,7 @@ def hydat_series(raw: DataFrame, gages: DataFrame, start=None, end=None) -> Data
 def days_since(units, offset):
     """Date from a "days since <date>[ time]" text and a number of days."""
     origin = F.regexp_extract(units, r"days since (\d{4}-\d{2}-\d{2})", 1)
-    return F.date_add(F.try_to_date(origin, F.lit("yyyy-MM-dd")), offset.cast("int"))
+    return F.date_add(F.try_to_date(origin, "yyyy-MM-dd"), offset.cast("int"))
 
 
 def with_watershed(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -13,7 +13,7 @@ def parse_sensor(raw: DataFrame, date_time: str = "DATE TIME", value: str = "VAL
     rest = [F.col(f"`{c}`") for c in raw.columns if c not in (date_time, value)]
     return raw.select(
         *rest,
-        F.try_to_date(day, F.lit("yyyyMMdd")).alias("date"),
+        F.try_to_date(day, "yyyyMMdd").alias("date"),
         F.expr(f"try_cast(`{value}` as double)").alias(out),
     )
 
