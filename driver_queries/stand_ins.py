@@ -19,16 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its supplier's region as gage_id and the ship day as date."""
-    places = (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_regionkey").alias("gage_id"))
-    )
+    """lineitem with its supplier's region as gage_id and the ship day as date.
+
+    The fact table joins one dimension at a time: the size of a join of two dimensions is
+    only guessed, and a bad guess would broadcast the fact table.
+    """
     return (
         table(spark, sf_dir, "lineitem")
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-        .withColumn("date", F.col("l_shipdate").cast("date"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumns({"gage_id": F.col("n_regionkey"), "date": F.col("l_shipdate").cast("date")})
     )
 
 
@@ -42,15 +42,11 @@ def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = (
-        table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.col("n_regionkey").alias("gage_id"))
-    )
     return (
         table(spark, sf_dir, "orders")
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("gage_id", F.col("o_orderdate").cast("date").alias("date"))
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("n_regionkey").alias("gage_id"), F.col("o_orderdate").cast("date").alias("date"))
         .agg(F.sum("o_totalprice").alias("ppt"))
     )
 

@@ -83,7 +83,7 @@ def with_spearman_p(df: DataFrame, rho: str = "rho", n: str = "n", tied: str = "
         ("_s", f"round((pow({n}, 3) - {n}) * (1 - {rho}) / 6)"),
         ("_is_upper", f"_s > (pow({n}, 3) - {n}) / 6"),
         ("_b", f"1D / {n}"),
-        ("_x", f"(6 * (if(_is_upper, _s - 1, _s + 2) - 1) * _b / ({n} * {n} - 1D) - 1) * sqrt({n} - 1D)"),
+        ("_x", f"(6 * (if(_is_upper, _s, _s + 2) - 1) * _b / ({n} * {n} - 1D) - 1) * sqrt({n} - 1D)"),
         ("_y", "_x * _x"),
         ("_u1", f"{c[8]}D - {c[9]}D * _b + _y * _b * ({c[10]}D - {c[11]!r}D * _y)"),
         ("_u2", f"{c[6]}D + {c[7]}D * _b - _y * _u1"),

@@ -1,4 +1,7 @@
-"""Unit conversions between discharge, depth over the basin, and volume."""
+"""Unit conversions between discharge, depth over the basin, and volume.
+
+An area of zero gives null: a plain division would stop the job under ANSI rules.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,17 +20,17 @@ MISSING_AREA_FACTOR = 99999.0
 
 def cfs_to_mm_usgs(q: Column, km2: Column) -> Column:
     """Cubic feet per second to millimetres per day over a basin of km2."""
-    return q * SECONDS_PER_DAY / (km2 * FEET_PER_KM**3) * MM_PER_KM
+    return F.try_divide(q * SECONDS_PER_DAY, km2 * FEET_PER_KM**3) * MM_PER_KM
 
 
 def cms_to_mm(q: Column, km2: Column) -> Column:
     """Cubic metres per second to mm/day; an unknown area gives the sentinel factor."""
-    factor = SECONDS_PER_DAY * 1e9 / (km2 * SQ_MM_PER_SQ_KM)
-    return q * F.coalesce(factor, F.lit(MISSING_AREA_FACTOR))
+    factor = F.try_divide(F.lit(SECONDS_PER_DAY * 1e9), km2 * SQ_MM_PER_SQ_KM)
+    return q * F.when(km2.isNull(), MISSING_AREA_FACTOR).otherwise(factor)
 
 
 def cfs_to_mm_sensor(q: Column, km2: Column) -> Column:
-    return (q / CUBIC_MM_PER_DAY_IN_CFS) / (SQ_MM_PER_SQ_KM * km2)
+    return F.try_divide(q / CUBIC_MM_PER_DAY_IN_CFS, SQ_MM_PER_SQ_KM * km2)
 
 
 def cfs_to_acft_day(q: Column) -> Column:

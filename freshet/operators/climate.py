@@ -49,7 +49,7 @@ def basin_climate(
     joined = grid.join(weights, ["lon", "lat"])
 
     def mean(v: str):
-        return F.sum(F.col(v) * F.col("area")) / F.sum("area")
+        return F.try_divide(F.sum(F.col(v) * F.col("area")), F.sum("area"))
 
     out = joined.groupBy("basin", *by).agg(
         adjust(mean("tmin"), offset=temp_offset).alias("tmin"),

@@ -191,7 +191,7 @@ def percent_of_average(product: DataFrame, keys: Sequence[str] = BASIN, current:
     last = product.groupBy(*keys).agg(
         F.max(F.when(has, F.struct(F.col("day_of_wy"), F.col(current).alias("now"), F.col("Clim_Q50")))).alias("_l")
     )
-    return last.select(*keys, (signif(F.col("_l.now") / F.col("_l.Clim_Q50"), 2) * 100).alias("percent_of_average"))
+    return last.select(*keys, (signif(F.try_divide(F.col("_l.now"), F.col("_l.Clim_Q50")), 2) * 100).alias("percent_of_average"))
 
 
 def smooth_climatology(

@@ -37,7 +37,7 @@ def interpolate_linear(
         src = "_edge"
     before, after = _neighbours(keys, order, src, "_pos")
     work = work.withColumns({"_before": before, "_after": after})
-    weight = (F.col("_pos") - F.col("_before.at")) / (F.col("_after.at") - F.col("_before.at"))
+    weight = F.try_divide(F.col("_pos") - F.col("_before.at"), F.col("_after.at") - F.col("_before.at"))
     inside = F.col("_before.v") + (F.col("_after.v") - F.col("_before.v")) * weight
     filled = F.coalesce(F.col(src), inside)
     if ends == "flat":

@@ -47,7 +47,7 @@ def loss_records(
     if floors:
         rows = rows.withColumns({c: floor_at(F.col(c), 1.0) for c in ("stor", "loss", "inflow")})
         mean_loss, mean_inflow = F.avg("loss").over(whole), F.avg("inflow").over(whole)
-        rows = rows.withColumn("loss", F.col("loss") * (1 - (mean_loss - mean_inflow) / mean_loss))
+        rows = rows.withColumn("loss", F.col("loss") * (1 - F.try_divide(mean_loss - mean_inflow, mean_loss)))
     by_doy = F.avg("loss").over(Window.partitionBy(*keys, F.dayofyear("date")))
     return rows.withColumn("doy_loss", by_doy)
 
@@ -76,7 +76,7 @@ def loss_models(records: DataFrame, keys: Sequence[str] = BASIN) -> DataFrame:
             ]
     fits = records.groupBy(*keys).agg(*aggs)
     adjusted = {
-        f"{n}_adj": 1 - (1 - F.col(f"{n}_r2")) * (F.col(f"{n}_n") - 1) / (F.col(f"{n}_n") - 2) for n in names
+        f"{n}_adj": 1 - F.try_divide((1 - F.col(f"{n}_r2")) * (F.col(f"{n}_n") - 1), F.col(f"{n}_n") - 2) for n in names
     }
     fits = fits.withColumns(adjusted)
     total = sum([F.col(f"{n}_adj") for n in names[1:]], F.col(f"{names[0]}_adj"))
@@ -84,7 +84,7 @@ def loss_models(records: DataFrame, keys: Sequence[str] = BASIN) -> DataFrame:
     return fits.select(
         *keys,
         *[F.col(f"{n}_{part}") for n in names for part in ("slope", "intercept")],
-        *[(F.col(f"{n}_adj") / F.col("_total")).alias(f"{n}_weight") for n in names],
+        *[F.try_divide(F.col(f"{n}_adj"), F.col("_total")).alias(f"{n}_weight") for n in names],
     )
 
 
@@ -125,7 +125,7 @@ def project_storage(
     )
     stor_share = F.col("stor_log_weight") + F.col("stor_lin_weight")
     ahead = ahead.withColumns(
-        {"_cum_in": F.sum("_in").over(so_far), "_cum_if": F.sum(F.col("_loss_if") / (1 - stor_share)).over(so_far)}
+        {"_cum_in": F.sum("_in").over(so_far), "_cum_if": F.sum(F.try_divide(F.col("_loss_if"), 1 - stor_share)).over(so_far)}
     )
     first = floor_at(F.col("_s0") + F.col("_cum_in") - F.col("_cum_if"), 1.0)
     ahead = ahead.withColumn("_s1", first).withColumn(

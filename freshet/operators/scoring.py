@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.calendar import water_year
+from freshet.functions.moments import correlation
 
 PERIODS = ("Calibration", "Validation", "All")
 SCORES = ("kge", "nse", "mae", "rmse", "bias")
@@ -50,16 +51,16 @@ def score_columns(inside: Column | None = None, sim: str = "sim", obs: str = "ob
         both = both & inside
     s, o = F.when(both, F.col(sim)), F.when(both, F.col(obs))
     err = s - o
-    r = F.corr(s, o)
-    spread, level = F.stddev(s) / F.stddev(o), F.avg(s) / F.avg(o)
+    r = correlation(s, o)
+    spread, level = F.try_divide(F.stddev(s), F.stddev(o)), F.try_divide(F.avg(s), F.avg(o))
     kge = 1 - F.sqrt(F.pow(r - 1, 2) + F.pow(spread - 1, 2) + F.pow(level - 1, 2))
-    nse = 1 - F.sum(err * err) / (F.var_pop(o) * F.count(o))
+    nse = 1 - F.try_divide(F.sum(err * err), F.var_pop(o) * F.count(o))
     return {
         "kge": kge,
         "nse": nse,
         "mae": F.avg(F.abs(err)),
         "rmse": F.sqrt(F.avg(err * err)),
-        "bias": 100 * F.sum(err) / F.sum(o),
+        "bias": F.try_divide(100 * F.sum(err), F.sum(o)),
     }
 
 

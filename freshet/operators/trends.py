@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.cleaning import signif
+from freshet.functions.moments import correlation
 from freshet.functions.distributions import with_spearman_p
 from freshet.operators.yearly import (
     BASEFLOW_METRICS,
@@ -83,7 +84,7 @@ def trends(yearly: DataFrame, keys: Sequence[str] = GAGE, min_years: int = 3) ->
         ranked.groupBy(*group)
         .agg(
             F.count("*").alias("n"),
-            F.corr("_year_rank", "_rank").alias("rho"),
+            correlation("_year_rank", "_rank").alias("rho"),
             (F.max("_ties") > 1).alias("tied"),
             F.avg("value").alias("mean"),
             F.median("value").alias("median"),
@@ -91,8 +92,6 @@ def trends(yearly: DataFrame, keys: Sequence[str] = GAGE, min_years: int = 3) ->
         )
         .filter(F.col("n") >= min_years)
         .withColumn("_slopes", sen_slope(F.col("_points")))
-        # corr of a constant series divides by zero; keep that null, not NaN
-        .withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
     )
     stats = with_spearman_p(stats)
     whole_days = F.col("metric").isin(TIMING_METRICS)
