@@ -207,7 +207,7 @@ def _(spark, d):
 @query(
     "p11_p13_p14_rules",
     f"""WITH {MEASURES}, m AS (SELECT gage_id, member, CASE WHEN m1 <= 40 THEN 40 ELSE m1 END AS floored, CASE WHEN m4 >= m2 THEN m2 - 0.1 ELSE m4 END AS tmin, m2 AS tmax, m3 * 0.5 AS ppt FROM measures)
-    SELECT gage_id, member, {", ".join(f"round(sum({c}), 4) AS {c}" for c in ("floored", "tmin", "tmax", "ppt"))}, round(sum((tmin + tmax) / 2 + 1.5), 4) AS tavg FROM m GROUP BY 1, 2""",
+    SELECT gage_id, member, {", ".join(f"round(sum({c}), 6) AS {c}" for c in ("floored", "tmin", "tmax", "ppt"))}, round(sum((tmin + tmax) / 2 + 1.5), 6) AS tavg FROM m GROUP BY 1, 2""",
 )
 def _(spark, d):
     m = measures(spark, d)
@@ -216,7 +216,7 @@ def _(spark, d):
         "floored": cleaning.floor_at(F.col("m1"), 40), "tmin": tmin, "tmax": tmax,
         "ppt": cleaning.adjust(F.col("m3"), factor=0.5), "tavg": cleaning.adjust(cleaning.mean_temperature(tmin, tmax), offset=1.5),
     }
-    return m.groupBy("gage_id", "member").agg(*[F.round(F.sum(c), 4).alias(n) for n, c in cols.items()])
+    return m.groupBy("gage_id", "member").agg(*[F.round(F.sum(c), 6).alias(n) for n, c in cols.items()])
 
 
 def _signif_sql(x, n):

@@ -386,7 +386,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return _year_rows(recession.recession_metrics(settling(spark, d)))
+    return _year_rows(recession.recession_metrics(recession.event_fits(settling(spark, d))))
 
 
 def _season_fit_sql(name, cond):

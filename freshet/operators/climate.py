@@ -15,12 +15,15 @@ from freshet.operators.spatial import nearest_on_axis
 SERIES = ["member", "init_date", "date"]
 
 
-def cell_weights(subbasins: DataFrame, grid: DataFrame, tile: float = 1.0) -> DataFrame:
+def cell_weights(
+    subbasins: DataFrame, grid: DataFrame, tile: float = 1.0, axes: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """(basin, lon, lat, area): the area each grid cell stands for in a basin.
 
     Longitude and latitude are matched on their own; several sub-basins may share a cell.
+    axes, tables of the lon and the lat values, saves the scans of the grid that find them.
     """
-    lons, lats = grid.select("lon").distinct(), grid.select("lat").distinct()
+    lons, lats = axes or (grid.select("lon").distinct(), grid.select("lat").distinct())
     slim = subbasins.select("basin", "sub_area", F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"))
     picked = nearest_on_axis(slim, lons, "at_lon", "lon", tile=tile, out="cell_lon")
     picked = nearest_on_axis(picked, lats, "at_lat", "lat", tile=tile, out="cell_lat")
@@ -37,6 +40,7 @@ def basin_climate(
     precip_factor: float | None = None,
     by: Sequence[str] = SERIES,
     tile: float = 1.0,
+    axes: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Area-weighted tmin, tmax, tavg, ppt and pet per basin and time step.
 
@@ -45,7 +49,7 @@ def basin_climate(
     """
     if layout != "era5":
         grid = grid.withColumn("tmin", ordered_tmin(F.col("tmin"), F.col("tmax")))
-    weights = cell_weights(subbasins, grid, tile)
+    weights = cell_weights(subbasins, grid, tile, axes)
     joined = grid.join(weights, ["lon", "lat"])
 
     def mean(v: str):

@@ -84,9 +84,7 @@ def fill_median(df: DataFrame, values: Sequence[str], bins: int = 4096, exact_ro
     The medians come from exact_medians, so no task ever holds a variable whole.
     """
     medians = exact_medians(df, values, bins, exact_rows)
-    return df.withColumns(
-        {v: F.coalesce(F.col(v), F.lit(medians[v]).cast("double")) for v in values}
-    )
+    return df.withColumns({v: F.coalesce(F.col(v), F.lit(medians[v]).cast("double")) for v in values})
 
 
 def exact_medians(
@@ -94,58 +92,70 @@ def exact_medians(
 ) -> dict[str, float | None]:
     """Exact medians of unbounded columns by histogram refinement.
 
-    Each pass counts the values of the remaining bracket in equal bins (partial
-    counts combine before the shuffle; the driver sees at most `bins` counts per
-    column), then narrows the bracket to the bin that holds the middle rank.
-    Once a bracket holds few distinct values their counts finish the job.
+    A pass over the table counts, for every wanted rank at once, the values of the rank's
+    remaining bracket in equal bins. Counts combine before the shuffle and the driver sees
+    at most `bins` + 1 of them per rank. The bracket then narrows to the bin that holds the
+    rank. A bin of at most exact_rows rows, or of one value, settles it.
     """
-    nan_free = [F.when(~F.isnan(v), F.col(v).cast("double")).alias(v) for v in values]
-    data = df.select(*nan_free)
+    data = df.select(*[F.when(~F.isnan(v), F.col(v).cast("double")).alias(v) for v in values])
     head = data.agg(
         *[F.count(v).alias(f"n_{v}") for v in values],
         *[F.min(v).alias(f"lo_{v}") for v in values],
         *[F.max(v).alias(f"hi_{v}") for v in values],
     ).first()
-    result: dict[str, float | None] = {}
+    found: dict[tuple[str, int], float] = {}
+    open_ranks = {}
+    for v in values:
+        for rank in {(head[f"n_{v}"] - 1) // 2, head[f"n_{v}"] // 2} if head[f"n_{v}"] else ():
+            lo, hi = head[f"lo_{v}"], head[f"hi_{v}"]
+            open_ranks[(v, rank)] = (lo, hi, rank, head[f"n_{v}"])
+    while open_ranks:
+        small = {k: b for k, b in open_ranks.items() if b[3] <= exact_rows or b[0] == b[1]}
+        for key, rows in _bracket_rows(data, small, None).items():
+            found[key] = _pick(rows, small[key][2])[0]["lo"]
+        open_ranks = {k: b for k, b in open_ranks.items() if k not in small}
+        for key, rows in _bracket_rows(data, open_ranks, bins).items():
+            row, left = _pick(rows, open_ranks[key][2])
+            open_ranks[key] = (row["lo"], row["hi"], left, row["n"])
+    out: dict[str, float | None] = {}
     for v in values:
-        n = head[f"n_{v}"]
-        if n == 0:
-            result[v] = None
-            continue
-        ranks = sorted({(n - 1) // 2, n // 2})
-        found = [
-            _value_at_rank(data.select(F.col(v).alias("v")), r, head[f"lo_{v}"], head[f"hi_{v}"], bins, exact_rows)
-            for r in ranks
-        ]
-        result[v] = sum(found) / len(found)
-    return result
-
-
-def _value_at_rank(data: DataFrame, rank: int, lo: float, hi: float, bins: int, exact_rows: int) -> float:
-    bracket = data.filter(F.col("v").between(lo, hi))
-    while True:
-        distinct = bracket.groupBy("v").count().limit(exact_rows + 1)
-        if distinct.count() <= exact_rows:
-            seen = 0
-            for row in distinct.orderBy("v").collect():
-                seen += row["count"]
-                if seen > rank:
-                    return row["v"]
-        width = (hi - lo) / bins
-        if width == 0 or lo + width == lo:
-            width = max(abs(lo), abs(hi)) * 2.0**-52
-        slot = F.floor((F.col("v") - lo) / width)
-        counts = (
-            bracket.groupBy(slot.alias("slot"))
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("slot")
-            .collect()
+        middle = [x for (name, _), x in found.items() if name == v]
+        out[v] = sum(middle) / len(middle) if middle else None
+    return out
+
+
+def _pick(rows: list, rank: int) -> tuple:
+    """The row whose counts cover the rank, and the rank inside it."""
+    for row in rows:
+        if rank < row["n"]:
+            return row, rank
+        rank -= row["n"]
+    raise AssertionError("rank beyond the bracket")
+
+
+def _bracket_rows(data: DataFrame, brackets: dict, bins: int | None) -> dict[tuple[str, int], list]:
+    """Counts of each bracket's values by bin, or by value when bins is None, in order."""
+    if not brackets:
+        return {}
+    keys = list(brackets)
+    entries = []
+    for i, key in enumerate(keys):
+        lo, hi, _, _ = brackets[key]
+        v = F.col(key[0])
+        # Halving first keeps the width of a bracket finite.
+        step = (hi / 2 - lo / 2) / bins if bins else 0.0
+        slot = F.floor((v / 2 - lo / 2) / step).cast("double") if step else v
+        entries.append(
+            F.when(v.between(lo, hi), F.struct(F.lit(i).alias("i"), slot.alias("slot"), v.alias("v")))
         )
-        for row in counts:
-            if rank < row["n"]:
-                lo, hi = row["lo"], row["hi"]
-                break
-            rank -= row["n"]
-        if lo == hi:
-            return lo
-        bracket = data.filter(F.col("v").between(lo, hi))
+    rows = (
+        data.select(F.explode(F.array(*entries)).alias("e"))
+        .filter("e is not null")
+        .groupBy("e.i", "e.slot")
+        .agg(F.count("*").alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
+        .collect()
+    )
+    out = {key: [] for key in keys}
+    for row in sorted(rows, key=lambda r: (r["i"], r["lo"])):
+        out[keys[row["i"]]].append(row)
+    return out

@@ -132,9 +132,9 @@ def yearly_parameters(fits: DataFrame, keys: Sequence[str] = GAGE) -> DataFrame:
     return cloud.join(by_year, group)
 
 
-def recession_metrics(daily: DataFrame, keys: Sequence[str] = GAGE, min_years: int = 3) -> DataFrame:
-    """Long yearly recession metrics of gages with events in at least min_years years."""
-    params = yearly_parameters(event_fits(daily, keys), keys)
+def recession_metrics(fits: DataFrame, keys: Sequence[str] = GAGE, min_years: int = 3) -> DataFrame:
+    """Long yearly recession metrics of gages with fitted events in at least min_years years."""
+    params = yearly_parameters(fits, keys)
     enough = F.count("b_events").over(Window.partitionBy(*keys)) >= min_years
     kept = params.withColumn("_enough", enough).filter("_enough")
     return to_long(kept, [*keys, "year"], RECESSION_METRICS).filter("value is not null")

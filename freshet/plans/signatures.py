@@ -20,16 +20,23 @@ def arrange(daily: DataFrame, keys: Sequence[str] = GAGE) -> DataFrame:
 
 
 def yearly_metrics(
-    daily: DataFrame, keys: Sequence[str] = GAGE, families: Sequence[str] | None = None, volume_stat: str = "sum"
+    daily: DataFrame,
+    keys: Sequence[str] = GAGE,
+    families: Sequence[str] | None = None,
+    volume_stat: str = "sum",
+    fits: DataFrame | None = None,
 ) -> DataFrame:
-    """All yearly metrics as long rows; runoff ratios join in when daily has ppt."""
+    """All yearly metrics as long rows; runoff ratios join in when daily has ppt.
+
+    fits are recession event fits computed before, if there are any.
+    """
     parts = []
     for name, family in yearly.FAMILIES.items():
         if families is not None and name not in families:
             continue
         parts.append(family(daily, keys, volume_stat) if name == "volumes" else family(daily, keys))
     if families is None or "recession" in families:
-        parts.append(recession.recession_metrics(daily, keys))
+        parts.append(recession.recession_metrics(fits if fits is not None else recession.event_fits(daily, keys), keys))
     if "ppt" in daily.columns and (families is None or "runoff" in families):
         parts.append(yearly.runoff_ratios(daily, keys))
     return reduce(DataFrame.unionByName, parts)
@@ -55,9 +62,14 @@ def gage_summary(
     kept = quality.restrict_to_valid_years(arrange(daily, keys), min_q, min_days, min_years, keys)
     if cache:
         kept = kept.persist()
-    wide = trends.summary_wide(trends.trends(yearly_metrics(kept, keys, families), keys), keys)
+    with_recession = families is None or "recession" in families
+    fits = recession.event_fits(kept, keys) if with_recession else None
+    if cache and with_recession:
+        fits = fits.persist()
+    metrics = yearly_metrics(kept, keys, families, fits=fits)
+    wide = trends.summary_wide(trends.trends(metrics, keys), keys)
     header = quality.record_header(kept, upstream, keys)
     out = header.join(wide, list(keys), "left")
-    if families is None or "recession" in families:
-        out = out.join(recession.log_a_seasonality(recession.event_fits(kept, keys), keys), list(keys), "left")
+    if with_recession:
+        out = out.join(recession.log_a_seasonality(fits, keys), list(keys), "left")
     return gages.join(out, list(keys)) if gages is not None else out

@@ -41,13 +41,16 @@ def streamflow(
 
 def storage(
     basins: DataFrame, traces: DataFrame, levels: DataFrame, water_year_start: str,
-    params: DataFrame | None = None, keys: Sequence[str] = BASIN,
+    params: DataFrame | None = None, keys: Sequence[str] = BASIN, cache: bool = True,
 ) -> DataFrame:
     """Storage product: loss models from the record, projected along every trace.
 
-    levels(keys, date, stor acre-feet, inflow cfs); traces as for streamflow.
+    levels(keys, date, stor acre-feet, inflow cfs); traces as for streamflow. The filled
+    records feed the models, the projection and the climatology, so they are cached.
     """
     records = reservoir.loss_records(levels, keys)
+    if cache:
+        records = records.persist()
     models = reservoir.loss_models(records, keys)
     if params is not None:
         traces = correct_monthly_bias(traces, params, [*keys, "param_id"])

@@ -80,8 +80,8 @@ def test_yearly_parameters(series):
 def test_two_years_are_not_enough(series):
     q = ([20.0] * 10 + power_recession(0.04, 1.6, 9.0, 14) + [20.0] * 341) * 2
     df = series({("a", "2001-01-01"): q})
-    assert recession.recession_metrics(df).count() == 0
-    assert recession.recession_metrics(df, min_years=2).count() > 0
+    assert recession.recession_metrics(recession.event_fits(df)).count() == 0
+    assert recession.recession_metrics(recession.event_fits(df), min_years=2).count() > 0
 
 
 def test_seasonality_of_a_known_sine(spark):
