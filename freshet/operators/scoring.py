@@ -73,9 +73,13 @@ def scores(pairs: DataFrame, run_keys: Sequence[str], date: str = "date") -> Dat
     aggs = []
     for name, inside in parts.items():
         aggs += [c.alias(f"{score}{name}") for score, c in score_columns(inside).items()]
+    both = F.col("sim").isNotNull() & F.col("obs").isNotNull()
     for m in range(1, 13):
-        aggs.append(score_columns(F.month(date) == m)["bias"].alias(f"mnthBias_{m}"))
-    wide = split_periods(pairs, run_keys, date).groupBy(*run_keys).agg(*aggs)
+        here = both & (F.col("_month") == m)
+        err = F.sum(F.when(here, F.col("sim") - F.col("obs")))
+        aggs.append(F.try_divide(100 * err, F.sum(F.when(here, F.col("obs")))).alias(f"mnthBias_{m}"))
+    parted = split_periods(pairs, run_keys, date).withColumn("_month", F.month(date))
+    wide = parted.groupBy(*run_keys).agg(*aggs)
     months = [F.abs(F.col(f"mnthBias_{m}")) for m in range(1, 13)]
     return wide.withColumn("mnthSumAbsBias", sum(months[1:], months[0]) / 12)
 

@@ -49,7 +49,10 @@ def _median_of(values: Column) -> Column:
 
 
 def sen_slope(points: Column) -> Column:
-    """Sorted array of the slopes between the points (struct year, value) of one series."""
+    """Sorted array of the slopes between the points (struct year, value) of one series.
+
+    A series has one point per year: two hundred years make 19,900 slopes in one array.
+    """
     slopes = F.flatten(
         F.transform(
             points,

@@ -35,12 +35,12 @@ def test_reference_and_unregulated_gages(spark):
 
 
 def test_sensor_text(spark, tmp_path):
-    path = write(tmp_path, "s.csv", "STATION_ID,DATE TIME,VALUE\nEXC,20010102 0000,12.5\nEXC,20010103 0000,---\nEXC,bad,7\nEXC,20010104 0000,-5\nEXC,20010105 0000,\n")
+    path = write(tmp_path, "s.csv", "STATION_ID,DATE TIME,VALUE\nXYZ,20010102 0000,12.5\nXYZ,20010103 0000,---\nXYZ,bad,7\nXYZ,20010104 0000,-5\nXYZ,20010105 0000,\n")
     rows = sensors.read_sensor_csv(spark, path, with_station=True).collect()
     assert [(r["date"], r["value"]) for r in rows] == [
         (dt.date(2001, 1, 2), 12.5), (dt.date(2001, 1, 3), None), (None, 7.0), (dt.date(2001, 1, 4), -5.0), (dt.date(2001, 1, 5), None),
     ]
-    assert rows[0]["STATION_ID"] == "EXC"
+    assert rows[0]["STATION_ID"] == "XYZ"
 
 
 def test_usgs_file(spark, tmp_path):
