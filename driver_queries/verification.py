@@ -327,7 +327,16 @@ def _(spark, d):
     SELECT gage_id, round(regr_r2(net, ds), 6) AS r2, round(regr_slope(net, ds), 6) AS slope, CAST(regr_count(net, ds) AS BIGINT) AS n FROM s GROUP BY 1""",
 )
 def _(spark, d):
-    return rounded(res.monthly_closure(monthly(spark, d), GAGE), ["gage_id", "n"], 6)
+    return rounded(res.closure(monthly(spark, d), GAGE), ["gage_id", "n"], 6)
+
+
+@query(
+    "w7_daily_closure",
+    f"""WITH {RECORDS}, s AS (SELECT gage_id, stor - lag(stor) OVER (PARTITION BY gage_id ORDER BY date) AS ds, inflow - loss AS net FROM records)
+    SELECT gage_id, round(regr_r2(net, ds), 6) AS r2, round(regr_slope(net, ds), 6) AS slope, CAST(regr_count(net, ds) AS BIGINT) AS n FROM s GROUP BY 1""",
+)
+def _(spark, d):
+    return rounded(res.closure(res.loss_records(reservoir(spark, d), GAGE), GAGE, order=["date"]), ["gage_id", "n"], 6)
 
 
 @query("l1_release_model")

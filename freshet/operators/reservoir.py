@@ -140,12 +140,15 @@ def storage_quantiles(projected: DataFrame, keys: Sequence[str] = BASIN, value:
     return quantile_columns(projected, [*keys, "date"], value, "Pred")
 
 
-def monthly_closure(
-    monthly: DataFrame, keys: Sequence[str] = BASIN, out: str = "loss"
+def closure(
+    rows: DataFrame, keys: Sequence[str] = BASIN, out: str = "loss", order: Sequence[str] = ("year", "month")
 ) -> DataFrame:
-    """r2 of inflow less loss (or measured outflow) against the storage change, by month."""
-    ordered = Window.partitionBy(*keys).orderBy("year", "month")
-    steps = monthly.withColumns(
+    """r2 and slope of inflow less loss (or measured outflow) on the storage change.
+
+    rows are monthly by default; order=("date",) takes daily ones.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    steps = rows.withColumns(
         {"_ds": F.col("stor") - F.lag("stor").over(ordered), "_net": F.col("inflow") - F.col(out)}
     )
     return steps.groupBy(*keys).agg(

@@ -16,7 +16,7 @@ def _edges(ring: Column) -> Column:
 
 
 def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Even-odd ray test. Points on a left or lower border count as inside."""
+    """Even-odd ray test; a point on the border is inside."""
 
     def crosses(e):
         a, b = e["a"], e["b"]
@@ -24,7 +24,16 @@ def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
         at = (b["lon"] - a["lon"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lon"]
         return spans & (lon < at)
 
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+    def on_border(e):
+        a, b = e["a"], e["b"]
+        turn = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+        in_box = lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(
+            F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])
+        )
+        return (turn == 0) & in_box
+
+    edges = _edges(ring)
+    return (F.size(F.filter(edges, crosses)) % 2 == 1) | F.exists(edges, on_border)
 
 
 def centroids(polygons: DataFrame, ring: str = "ring") -> DataFrame:

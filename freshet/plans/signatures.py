@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from freshet.operators import quality, recession, trends, yearly
+from freshet.sources.sinks import not_done
 
 GAGE = ["gage_id"]
 
@@ -73,3 +74,13 @@ def gage_summary(
     if with_recession:
         out = out.join(recession.log_a_seasonality(fits, keys), list(keys), "left")
     return gages.join(out, list(keys)) if gages is not None else out
+
+
+def resume_summary(daily: DataFrame, existing: DataFrame | None, keys: Sequence[str] = GAGE, **options) -> DataFrame:
+    """gage_summary of the gages that the existing output does not hold yet.
+
+    Finished gages are dropped before any shuffle of their days. Append the result to the
+    existing output; keys may be (data_project, watershed_id) for a collection.
+    """
+    todo = not_done(daily, existing, keys) if existing is not None else daily
+    return gage_summary(todo, keys=keys, **options)

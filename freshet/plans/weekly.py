@@ -34,7 +34,7 @@ def streamflow(
         forecast.water_year_climatology(flow, water_year_start, keys=keys),
         forecast.water_year_history(flow, water_year_start, keys=keys),
         water_year_start,
-        "streamflow",
+        "Streamflow",
         keys,
     )
 
@@ -68,11 +68,21 @@ def storage(
         forecast.storage_climatology(records, water_year_start, keys=keys),
         forecast.water_year_history(records, water_year_start, "stor", keys=keys, cumulative=False),
         water_year_start,
-        "storage",
+        "Storage",
         keys,
     )
 
 
-def weekly_product(streamflow_rows: DataFrame, storage_rows: DataFrame) -> DataFrame:
-    """Both products of all basins, stacked."""
-    return streamflow_rows.unionByName(storage_rows)
+def weekly_product(streamflow_rows: DataFrame, storage_rows: DataFrame, basin: str = "basin") -> DataFrame:
+    """Both products of all basins, stacked under the published column names.
+
+    Only storage rows carry the reservoir's maximum storage.
+    """
+    flow = streamflow_rows.withColumn("max_storage", F.lit(None).cast("double"))
+    both = flow.unionByName(storage_rows)
+    names = {"date": "Date", basin: "Reservoir", "units": "Units", "lat": "Lat", "lon": "Lon"}
+    last = {"max_storage": "MaxStorage", "storage_or_streamflow": "StorageOrStreamflow"}
+    traces = [c for c in both.columns if c.startswith(("Pred_", "Clim_", "WaterYear_"))]
+    return both.select(
+        *[F.col(c).alias(n) for c, n in names.items()], *traces, *[F.col(c).alias(n) for c, n in last.items()]
+    )

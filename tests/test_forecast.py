@@ -220,6 +220,8 @@ def test_weekly_product_end_to_end(spark):
     flow = weekly.streamflow(basins, tr, sensor, start, params)
     stor = weekly.storage(basins, tr, held, start, params)
     out = weekly.weekly_product(flow, stor)
-    assert out.count() == 730 and {r[0] for r in out.select("storage_or_streamflow").distinct().collect()} == {"streamflow", "storage"}
+    assert out.count() == 730 and {r[0] for r in out.select("StorageOrStreamflow").distinct().collect()} == {"Streamflow", "Storage"}
+    assert out.columns[:5] == ["Date", "Reservoir", "Units", "Lat", "Lon"] and len(out.columns) == 21
+    assert out.filter("MaxStorage is not null").count() == 365
     seen = stor.filter("Pred_Q50 is not null").agg(F.min("date"), F.max("date")).first()
     assert seen[0] == dt.date(2002, 10, 1) and seen[1] > dt.date(2003, 5, 1)

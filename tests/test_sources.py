@@ -120,5 +120,7 @@ def test_signature_product_has_the_whole_contract(series):
     out = signatures.gage_summary(series({("a", "2001-01-01"): q}), min_years=3)
     # id and three header columns, 320 trend columns, six of recession seasonality
     assert len(out.columns) == 4 + 326
+    again = signatures.resume_summary(series({("a", "2001-01-01"): q, ("b", "2001-01-01"): q}), out.select("gage_id"), min_years=3, families=["volumes"])
+    assert [r["gage_id"] for r in again.collect()] == ["b"]
     row = out.first()
     assert row["num_years"] == 4 and row["Qann_mean"] is not None and row["annual_runoff_ratio_slp"] is None
