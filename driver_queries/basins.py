@@ -65,19 +65,20 @@ def _(spark, d):
     return graph.gage_upstream_counts(gages, closure(spark, d))
 
 
-# Suppliers as quadrilateral basins, customers as gage points, on the same plane.
+# Suppliers as quadrilateral basins, customers as gage points, on one plane that grows
+# northwards with the tables, so the number of basins around a point stays the same.
 SHAPES = """
-shapes AS (SELECT s_suppkey AS hybas_id, s_acctbal / 1000 AS x, s_nationkey / 2.0::DOUBLE AS y, 0.4 + (s_suppkey % 7) / 5.0::DOUBLE AS w FROM supplier),
+shapes AS (SELECT s_suppkey AS hybas_id, s_acctbal / 1000 AS x, s_suppkey / 10.0::DOUBLE AS y, 0.4 + (s_suppkey % 7) / 5.0::DOUBLE AS w FROM supplier),
 corners AS (SELECT hybas_id, unnest([{'i': 0, 'lon': x, 'lat': y}, {'i': 1, 'lon': x + w, 'lat': y + w / 4}, {'i': 2, 'lon': x + w * 0.8::DOUBLE, 'lat': y + w},
   {'i': 3, 'lon': x - w / 3, 'lat': y + w * 0.7::DOUBLE}]) AS c FROM shapes),
 sides AS (SELECT a.hybas_id, a.c.lon AS ax, a.c.lat AS ay, b.c.lon AS bx, b.c.lat AS b_y FROM corners a JOIN corners b ON a.hybas_id = b.hybas_id AND b.c.i = (a.c.i + 1) % 4),
-spots AS (SELECT c_custkey AS gage_id, c_acctbal / 1000 AS lon, c_nationkey / 2.0::DOUBLE + (c_custkey % 50) / 100.0::DOUBLE AS lat FROM customer),
+spots AS (SELECT c_custkey AS gage_id, c_acctbal / 1000 AS lon, c_custkey / 150.0::DOUBLE AS lat FROM customer),
 hits AS (SELECT gage_id, hybas_id FROM spots, sides WHERE (ay > lat) <> (b_y > lat) AND lon < (bx - ax) * (lat - ay) / (b_y - ay) + ax
   GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
 
 
 def shapes(spark, d):
-    x, y = F.col("s_acctbal") / 1000, F.col("s_nationkey") / 2.0
+    x, y = F.col("s_acctbal") / 1000, F.col("s_suppkey") / 10.0
     w = 0.4 + (F.col("s_suppkey") % 7) / 5.0
 
     def corner(lon, lat):
@@ -91,7 +92,7 @@ def spots(spark, d):
     return table(spark, d, "customer").select(
         F.col("c_custkey").alias("gage_id"),
         (F.col("c_acctbal") / 1000).alias("lon"),
-        (F.col("c_nationkey") / 2.0 + (F.col("c_custkey") % 50) / 100.0).alias("lat"),
+        (F.col("c_custkey") / 150.0).alias("lat"),
     )
 
 

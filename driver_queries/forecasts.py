@@ -8,6 +8,7 @@ from driver_queries.stand_ins import DAILY, GAPPY, MEASURES, RESERVOIR, daily, g
 from freshet.functions.cleaning import drop_partial_month, drop_until_complete, overlay_observed
 from freshet.operators import forecast, gaps
 from freshet.operators import reservoir as res
+from freshet.plans import weekly
 
 QUERIES, SQL, query = registry()
 
@@ -383,7 +384,7 @@ a3 AS (SELECT *, greatest(lif + {_fit_sql('stor', 's1')}, 0) AS lt FROM a2),
 proj AS (SELECT gage_id, member, param_id, date, greatest(s0 + cx - sum(lt) OVER (PARTITION BY gage_id, member, param_id ORDER BY date), 1) AS stor FROM a3)"""
 def projected(spark, d):
     levels = reservoir(spark, d).filter(F.col("date") < START)
-    records = res.loss_records(levels, GAGE)
+    records = res.loss_records(levels, GAGE).persist()  # models, last level and seasonal means
     inflow = traces(spark, d).withColumnRenamed("sim", "inflow")
     return res.project_storage(inflow, records, res.loss_models(records, GAGE), GAGE)
 
@@ -403,3 +404,19 @@ def _(spark, d):
 )
 def _(spark, d):
     return rounded(res.storage_quantiles(projected(spark, d), GAGE), ["gage_id", "date"], 4)
+
+
+@query("s10_weekly_product")
+def _(spark, d):
+    """Streamflow and storage products of all basins, stacked as published."""
+    basins = daily(spark, d).select(F.col("gage_id").alias("basin")).distinct().withColumns(
+        {"lat": F.lit(40.0), "lon": F.lit(-120.0), "max_storage": F.lit(9000.0), "area": F.lit(1500.0)}
+    )
+    sim = traces(spark, d).withColumnRenamed("gage_id", "basin").withColumn("sim", F.col("sim") / 100)
+    sensor = daily(spark, d).filter("date <= '2001-03-01'").select(
+        F.col("gage_id").alias("basin"), "date", F.col("q").alias("value")
+    )
+    levels = reservoir(spark, d).filter("date <= '2001-03-01'").withColumnRenamed("gage_id", "basin")
+    return weekly.weekly_product(
+        weekly.streamflow(basins, sim, sensor, START), weekly.storage(basins, sim, levels, START)
+    )

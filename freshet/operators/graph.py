@@ -50,16 +50,14 @@ def upstream_closure(edges: DataFrame, outlets: DataFrame) -> DataFrame:
         jump = jump.join(onward, "to").select("node", F.col("far").alias("to")).checkpoint()
 
 
-def basin_summary(closure: DataFrame, areas: DataFrame, with_members: bool = False) -> DataFrame:
+def basin_summary(closure: DataFrame, areas: DataFrame) -> DataFrame:
     """Number of basins upstream of each outlet (itself included) and their total area.
 
-    areas(hybas_id, sub_area). The member list is optional: it is as long as the closure.
+    areas(hybas_id, sub_area). The member list of an outlet stays as closure rows: at a
+    river mouth it holds a large part of all basins, too much for one array.
     """
     joined = closure.join(areas, closure["member"] == areas["hybas_id"], "left")
-    aggs = [F.count("*").alias("num_upstream_basins"), F.sum("sub_area").alias("area")]
-    if with_members:
-        aggs.append(F.sort_array(F.collect_set("member")).alias("members"))
-    return joined.groupBy("outlet").agg(*aggs)
+    return joined.groupBy("outlet").agg(F.count("*").alias("num_upstream_basins"), F.sum("sub_area").alias("area"))
 
 
 def members_of(basins: DataFrame, closure: DataFrame, outlet_col: str = "outlet") -> DataFrame:

@@ -8,6 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# An axis up to this many values is sent to the tasks whole (a few MB); a longer one is
+# joined by tile like any table.
+BROADCAST_AXIS_VALUES = 100_000
+
 
 def _edges(ring: Column) -> Column:
     """Consecutive vertex pairs (a, b), the last vertex joined to the first."""
@@ -70,13 +74,15 @@ def nearest_on_axis(
 
     The axis is cut into tiles; a point only meets the values of its own tile and the one
     value beyond it on either side, so no point meets the whole axis. Points outside the
-    axis take its end. The tile table has at most range / tile rows.
+    axis take its end. The tile table has at most range / tile rows. The axis is counted
+    before it is broadcast.
     """
     order = F.col(rank) if rank else F.col(value)
     lines = (
         axis.groupBy(F.col(value).cast("double").alias("_v"))
         .agg(F.min(order).alias("_rank"))
         .withColumn("_tile", F.floor(F.col("_v") / tile))
+        .persist()
     )
     line = F.struct(F.col("_v").alias("v"), F.col("_rank").alias("r"))
     own = lines.groupBy("_tile").agg(
@@ -114,6 +120,8 @@ def nearest_on_axis(
     best = F.array_min(
         F.transform("_near", lambda c: F.struct(F.abs(c["v"] - F.col("_x")).alias("d"), c["r"].alias("r"), c["v"].alias("v")))
     )
+    if lines.count() <= BROADCAST_AXIS_VALUES:
+        tiles = F.broadcast(tiles)
     return placed.join(tiles, "_tile", "left").withColumn(out, best["v"]).drop("_tile", "_x", "_near")
 
 
