@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from driver_queries.registry import registry, round_sql
 from driver_queries.stand_ins import DAILY, MEASURES, daily, measures, rain, table
 from freshet.functions import calendar, cleaning, units
-from freshet.operators import quality
-from freshet.plans import signatures
 from freshet.sources import catalogs, climate, sinks
 from freshet.sources import daily as daily_sources
 from freshet.sources import sensors
@@ -255,15 +253,3 @@ def _(spark, d):
     high = daily(spark, d).filter("q >= 150").select("gage_id", "date", F.col("q").alias("inflow"))
     rows = measures(spark, d).select("gage_id", "member", "date", "m1")
     return sensors.reservoir_series(rows, high, ["gage_id"]).withColumnRenamed("inflow", "q")
-
-
-# ---- the whole signature product with catalog, graph counts and resume -----------------
-
-
-@query("signature_product")
-def _(spark, d):
-    """All families of the signature library for every gage, resumed against nothing done."""
-    days = quality.one_per_day(
-        daily(spark, d).join(rain(spark, d), ["gage_id", "date"], "left"), ["gage_id"], q="sum", ppt="sum"
-    )
-    return signatures.gage_summary(days, min_years=5)

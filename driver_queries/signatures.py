@@ -152,11 +152,11 @@ def _timing_sql(source):
     days = [(f"D{p}_day", f"min(doy) FILTER (WHERE share >= {p} * total)") for p in yearly.TIMING_PERCENTILES]
     wide = ", ".join(f"{e} AS {m}" for m, e in days)
     return f"""WITH {GAPPY}, c AS (
-      SELECT *, count(*) OVER g AS nr, sum(q) OVER g AS total,
+      SELECT *, count(*) OVER g AS nr, sum(q) OVER g AS total, max(q) OVER g AS highest,
         CASE WHEN count(*) OVER w = count(q) OVER w THEN 100 * sum(q) OVER w END AS share
       FROM {source} WINDOW g AS (PARTITION BY gage_id, year), w AS (PARTITION BY gage_id, year ORDER BY doy ROWS UNBOUNDED PRECEDING)),
     t AS (SELECT gage_id, year, {wide}, min(doy) FILTER (WHERE share >= 75 * total) - min(doy) FILTER (WHERE share >= 25 * total) AS span,
-      arg_min(doy, -q * 1000 + doy) FILTER (WHERE q IS NOT NULL) AS peak FROM c WHERE nr >= 300 AND total > 0 GROUP BY 1, 2) """ + _union_sql(
+      min(doy) FILTER (WHERE q = highest) AS peak FROM c WHERE nr >= 300 AND total > 0 GROUP BY 1, 2) """ + _union_sql(
         [(m, m) for m, _ in days] + [("D25_to_D75", "span"), ("Dmax", "peak")], "t"
     )
 
@@ -307,10 +307,11 @@ def _(spark, d):
 
 # Daily noise seldom recedes for five days, so the recession queries run on a record
 # that decays through each month and is broken on days of high flow.
-SETTLING = DAILY + """,
-settling AS (SELECT gage_id, date, year, month, doy,
+_SETTLED = """SELECT gage_id, date, year, month, doy,
   1 + exp(-dayofmonth(date) / (3 + month / 4.0::DOUBLE)) * (1 + sum(q) OVER (PARTITION BY gage_id, year, month) / 1000)
-    + CASE WHEN q >= 170 THEN 0.5 ELSE 0 END AS q FROM daily)"""
+    + CASE WHEN q >= 170 THEN 0.5 ELSE 0 END AS q"""
+SETTLING = DAILY + f""",
+settling AS ({_SETTLED} FROM daily)"""
 
 
 def settling(spark, d):
@@ -524,3 +525,34 @@ def _(spark, d):
     wide = _rounded(_summary(spark, d, ["volumes", "percentiles"]))
     keep = [f"{m}_{s}" for m in yearly.VOLUME_METRICS for s in trends.STATS]
     return wide.select("gage_id", "num_years", "start_year", "end_year", *keep)
+
+
+# The whole product on the settling record, recession included: every family's SQL with
+# the settling record in the place of the daily one.
+_SETTLING_DAILY = DAILY.replace("daily AS (", "raw_daily AS (") + f""",
+daily AS ({_SETTLED} FROM raw_daily)"""
+
+
+def _on_settling(text):
+    text = text.replace(SETTLING, DAILY + ",\nsettling AS (SELECT * FROM daily)")
+    return text.replace(DAILY, _SETTLING_DAILY)
+
+
+_ALL_WIDE = ", ".join(
+    f"round(max({s}) FILTER (WHERE metric = '{m}'), 4) AS {m}_{s}" for m in trends.METRICS for s in trends.STATS
+)
+
+
+@query(
+    "signature_product",
+    _on_settling(_trend_sql(*_FAMILIES, "r5_r6_r9_yearly_recession"))
+    + f", se AS ({_on_settling(SQL['r7_r8_log_a_seasonality'])}), "
+    + _HEADER.replace(_WIDE, _ALL_WIDE)
+    + " SELECT * FROM hd JOIN wd USING (gage_id) LEFT JOIN se USING (gage_id)",
+)
+def _(spark, d):
+    """Every metric, trend and seasonality column of every gage."""
+    days = settling(spark, d).join(rain(spark, d), ["gage_id", "date"], "left")
+    wide = signatures.gage_summary(days, min_years=5)
+    minimum = [c for c in wide.columns if c.startswith("log_a_seasonality_minimum")]
+    return _rounded(wide.withColumns({c: F.round(c, 3) for c in minimum}))
