@@ -406,17 +406,55 @@ def _(spark, d):
     return rounded(res.storage_quantiles(projected(spark, d), GAGE), ["gage_id", "date"], 4)
 
 
-@query("s10_weekly_product")
+# ---- the weekly product -------------------------------------------------------------
+
+# Observations end on the first of March; the traces, 1/100 of the shipping measures as
+# depth over 1500 km2, carry on.
+LAST_DAY = "2001-03-01"
+_TO_ACFT = "/ 100 * 1500 * 247.105::DOUBLE / 304.8::DOUBLE"
+
+
+def _product_sql(kind, largest):
+    return f"""SELECT DATE '{START}' + CAST(k - 1 AS INTEGER) AS "Date", b.gage_id AS "Reservoir", 'Acre Feet' AS "Units", 40.0::DOUBLE AS "Lat", -120.0::DOUBLE AS "Lon",
+      {round_sql(PRED, 6)}, {round_sql(CLIM + YEARS, 8)}, {largest} AS "MaxStorage", '{kind}' AS "StorageOrStreamflow"
+    FROM (SELECT DISTINCT gage_id FROM daily) b CROSS JOIN (SELECT unnest(range(1, 366)) AS k)
+    LEFT JOIN pred p ON p.gage_id = b.gage_id AND p.date = DATE '{START}' + CAST(k - 1 AS INTEGER)
+    LEFT JOIN clim c ON c.gage_id = b.gage_id AND c.day_of_wy = k LEFT JOIN past h ON h.gage_id = b.gage_id AND h.day_of_wy = k"""
+
+
+_FLOW_SQL = f"""WITH {MEASURES},
+gappy AS (SELECT gage_id, date, q * 86400 / 43559.9::DOUBLE AS q FROM daily WHERE date <= DATE '{LAST_DAY}'),
+scaled AS (SELECT gage_id, member, param_id, date, sim {_TO_ACFT} AS sim FROM traces),
+{CLIMATOLOGY},
+{PREDICTED.replace("FROM traces t", "FROM scaled t").replace("q FROM daily WHERE", "q FROM gappy WHERE")},
+{PAST.replace("FROM daily)", "FROM gappy)")}
+{_product_sql("Streamflow", "NULL::DOUBLE")}"""
+
+_STORAGE_SQL = f"""WITH {PROJECT.replace(f"WHERE date < DATE '{START}')", f"WHERE date <= DATE '{LAST_DAY}')").replace(
+    "ELSE m5 END AS sim FROM", f"ELSE m5 END {_TO_ACFT} AS sim FROM").replace("CASE k WHEN 1", "1.0::DOUBLE * CASE k WHEN 1")},
+held AS (SELECT DISTINCT gage_id, member, param_id FROM tr),
+both_parts AS (SELECT gage_id, member, param_id, date, stor FROM proj
+  UNION ALL SELECT r.gage_id, held.member, held.param_id, r.date, r.stor FROM records r JOIN l0 USING (gage_id) JOIN held USING (gage_id) WHERE r.date < l0.hi),
+pred AS (SELECT gage_id, date, {", ".join(f"quantile_cont(stor, {p}) AS Pred_{q}" for q, p in forecast.QUANTILES.items())} FROM both_parts
+  WHERE date >= DATE '{START}' AND date < DATE '{START}' + INTERVAL 1 YEAR GROUP BY 1, 2),
+{STORAGE_CLIM.replace("FROM reservoir WHERE stor IS NOT NULL", "FROM records").replace("sclim AS", "clim AS")},
+{PAST.replace("date, q, CASE", "date, stor AS q, CASE").replace("FROM daily)", "FROM records)").replace("max(c)", "max(q)")}
+{_product_sql("Storage", "9000.0::DOUBLE")}"""
+
+
+@query("s10_weekly_product", f"SELECT * FROM ({_FLOW_SQL}) UNION ALL SELECT * FROM ({_STORAGE_SQL})")
 def _(spark, d):
     """Streamflow and storage products of all basins, stacked as published."""
     basins = daily(spark, d).select(F.col("gage_id").alias("basin")).distinct().withColumns(
         {"lat": F.lit(40.0), "lon": F.lit(-120.0), "max_storage": F.lit(9000.0), "area": F.lit(1500.0)}
     )
     sim = traces(spark, d).withColumnRenamed("gage_id", "basin").withColumn("sim", F.col("sim") / 100)
-    sensor = daily(spark, d).filter("date <= '2001-03-01'").select(
+    sensor = daily(spark, d).filter(F.col("date") <= LAST_DAY).select(
         F.col("gage_id").alias("basin"), "date", F.col("q").alias("value")
     )
-    levels = reservoir(spark, d).filter("date <= '2001-03-01'").withColumnRenamed("gage_id", "basin")
-    return weekly.weekly_product(
+    levels = reservoir(spark, d).filter(F.col("date") <= LAST_DAY).withColumnRenamed("gage_id", "basin")
+    out = weekly.weekly_product(
         weekly.streamflow(basins, sim, sensor, START), weekly.storage(basins, sim, levels, START)
     )
+    keep = ["Date", "Reservoir", "Units", "Lat", "Lon", "MaxStorage", "StorageOrStreamflow"]
+    return rounded(rounded(out, [*keep, *PRED], 8), [*keep, *CLIM, *YEARS], 6)
