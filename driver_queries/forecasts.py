@@ -414,9 +414,9 @@ LAST_DAY = "2001-03-01"
 _TO_ACFT = "/ 100 * 1500 * 247.105::DOUBLE / 304.8::DOUBLE"
 
 
-def _product_sql(kind, largest):
+def _product_sql(kind, largest, digits):
     return f"""SELECT DATE '{START}' + CAST(k - 1 AS INTEGER) AS "Date", b.gage_id AS "Reservoir", 'Acre Feet' AS "Units", 40.0::DOUBLE AS "Lat", -120.0::DOUBLE AS "Lon",
-      {round_sql(PRED, 6)}, {round_sql(CLIM + YEARS, 8)}, {largest} AS "MaxStorage", '{kind}' AS "StorageOrStreamflow"
+      {round_sql(PRED + CLIM + YEARS, digits)}, {largest} AS "MaxStorage", '{kind}' AS "StorageOrStreamflow"
     FROM (SELECT DISTINCT gage_id FROM daily) b CROSS JOIN (SELECT unnest(range(1, 366)) AS k)
     LEFT JOIN pred p ON p.gage_id = b.gage_id AND p.date = DATE '{START}' + CAST(k - 1 AS INTEGER)
     LEFT JOIN clim c ON c.gage_id = b.gage_id AND c.day_of_wy = k LEFT JOIN past h ON h.gage_id = b.gage_id AND h.day_of_wy = k"""
@@ -428,7 +428,7 @@ scaled AS (SELECT gage_id, member, param_id, date, sim {_TO_ACFT} AS sim FROM tr
 {CLIMATOLOGY},
 {PREDICTED.replace("FROM traces t", "FROM scaled t").replace("q FROM daily WHERE", "q FROM gappy WHERE")},
 {PAST.replace("FROM daily)", "FROM gappy)")}
-{_product_sql("Streamflow", "NULL::DOUBLE")}"""
+{_product_sql("Streamflow", "NULL::DOUBLE", 4)}"""
 
 _STORAGE_SQL = f"""WITH {PROJECT.replace(f"WHERE date < DATE '{START}')", f"WHERE date <= DATE '{LAST_DAY}')").replace(
     "ELSE m5 END AS sim FROM", f"ELSE m5 END {_TO_ACFT} AS sim FROM").replace("CASE k WHEN 1", "1.0::DOUBLE * CASE k WHEN 1")},
@@ -439,7 +439,7 @@ pred AS (SELECT gage_id, date, {", ".join(f"quantile_cont(stor, {p}) AS Pred_{q}
   WHERE date >= DATE '{START}' AND date < DATE '{START}' + INTERVAL 1 YEAR GROUP BY 1, 2),
 {STORAGE_CLIM.replace("FROM reservoir WHERE stor IS NOT NULL", "FROM records").replace("sclim AS", "clim AS")},
 {PAST.replace("date, q, CASE", "date, stor AS q, CASE").replace("FROM daily)", "FROM records)").replace("max(c)", "max(q)")}
-{_product_sql("Storage", "9000.0::DOUBLE")}"""
+{_product_sql("Storage", "9000.0::DOUBLE", 6)}"""
 
 
 @query("s10_weekly_product", f"SELECT * FROM ({_FLOW_SQL}) UNION ALL SELECT * FROM ({_STORAGE_SQL})")
@@ -453,8 +453,6 @@ def _(spark, d):
         F.col("gage_id").alias("basin"), "date", F.col("q").alias("value")
     )
     levels = reservoir(spark, d).filter(F.col("date") <= LAST_DAY).withColumnRenamed("gage_id", "basin")
-    out = weekly.weekly_product(
-        weekly.streamflow(basins, sim, sensor, START), weekly.storage(basins, sim, levels, START)
-    )
-    keep = ["Date", "Reservoir", "Units", "Lat", "Lon", "MaxStorage", "StorageOrStreamflow"]
-    return rounded(rounded(out, [*keep, *PRED], 8), [*keep, *CLIM, *YEARS], 6)
+    flow, stor = weekly.streamflow(basins, sim, sensor, START), weekly.storage(basins, sim, levels, START)
+    keep = [c for c in flow.columns if c not in (*PRED, *CLIM, *YEARS)]
+    return weekly.weekly_product(rounded(flow, keep, 4), rounded(stor, keep, 6))
