@@ -411,6 +411,7 @@ def _(spark, d):
 # Observations end on the first of March; the traces, 1/100 of the shipping measures as
 # depth over 1500 km2, carry on.
 LAST_DAY = "2001-03-01"
+_STRETCH = 1.41421356  # many decimals, so no level sits on a rounding border
 _TO_ACFT = "/ 100 * 1500 * 247.105::DOUBLE / 304.8::DOUBLE"
 
 
@@ -431,7 +432,7 @@ scaled AS (SELECT gage_id, member, param_id, date, sim {_TO_ACFT} AS sim FROM tr
 {_product_sql("Streamflow", "NULL::DOUBLE", 4)}"""
 
 _STORAGE_SQL = f"""WITH {PROJECT.replace(f"WHERE date < DATE '{START}')", f"WHERE date <= DATE '{LAST_DAY}')").replace(
-    "ELSE m5 END AS sim FROM", f"ELSE m5 END {_TO_ACFT} AS sim FROM").replace("CASE k WHEN 1", "1.0::DOUBLE * CASE k WHEN 1")},
+    "ELSE m5 END AS sim FROM", f"ELSE m5 END {_TO_ACFT} AS sim FROM").replace("CASE k WHEN 1", "1.0::DOUBLE * CASE k WHEN 1").replace("s / 100 END", f"s / 100 * {_STRETCH}::DOUBLE END")},
 held AS (SELECT DISTINCT gage_id, member, param_id FROM tr),
 both_parts AS (SELECT gage_id, member, param_id, date, stor FROM proj
   UNION ALL SELECT r.gage_id, held.member, held.param_id, r.date, r.stor FROM records r JOIN l0 USING (gage_id) JOIN held USING (gage_id) WHERE r.date < l0.hi),
@@ -453,6 +454,7 @@ def _(spark, d):
         F.col("gage_id").alias("basin"), "date", F.col("q").alias("value")
     )
     levels = reservoir(spark, d).filter(F.col("date") <= LAST_DAY).withColumnRenamed("gage_id", "basin")
+    levels = levels.withColumn("stor", F.col("stor") * _STRETCH)
     flow, stor = weekly.streamflow(basins, sim, sensor, START), weekly.storage(basins, sim, levels, START)
     keep = [c for c in flow.columns if c not in (*PRED, *CLIM, *YEARS)]
     return weekly.weekly_product(rounded(flow, keep, 4), rounded(stor, keep, 6))
