@@ -440,7 +440,7 @@ pred AS (SELECT gage_id, date, {", ".join(f"quantile_cont(stor, {p}) AS Pred_{q}
   WHERE date >= DATE '{START}' AND date < DATE '{START}' + INTERVAL 1 YEAR GROUP BY 1, 2),
 {STORAGE_CLIM.replace("FROM reservoir WHERE stor IS NOT NULL", "FROM records").replace("sclim AS", "clim AS")},
 {PAST.replace("date, q, CASE", "date, stor AS q, CASE").replace("FROM daily)", "FROM records)").replace("max(c)", "max(q)")}
-{_product_sql("Storage", "9000.0::DOUBLE", 6)}"""
+{_product_sql("Storage", "9000.0::DOUBLE", 4)}"""
 
 
 @query("s10_weekly_product", f"SELECT * FROM ({_FLOW_SQL}) UNION ALL SELECT * FROM ({_STORAGE_SQL})")
@@ -457,4 +457,4 @@ def _(spark, d):
     levels = levels.withColumn("stor", F.col("stor") * _STRETCH)
     flow, stor = weekly.streamflow(basins, sim, sensor, START), weekly.storage(basins, sim, levels, START)
     keep = [c for c in flow.columns if c not in (*PRED, *CLIM, *YEARS)]
-    return weekly.weekly_product(rounded(flow, keep, 4), rounded(stor, keep, 6))
+    return weekly.weekly_product(rounded(flow, keep, 4), rounded(stor, keep, 4))
