@@ -18,9 +18,7 @@ def registry():
 
 def rounded(df, keep, digits=4):
     """Keep columns as they are, round the others."""
-    from pyspark.sql import functions as F
-
-    return df.select(*keep, *[F.round(c, digits).alias(c) for c in df.columns if c not in keep])
+    return df.selectExpr(*keep, *[f"round(`{c}`, {digits}) as `{c}`" for c in df.columns if c not in keep])
 
 
 def round_sql(columns, digits=4):

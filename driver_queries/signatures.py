@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driver_queries.registry import registry
+from driver_queries.registry import registry, rounded
 from driver_queries.stand_ins import DAILY, GAPPY, RAIN, daily, gappy, rain
 from freshet.operators import quality, recession, trends, yearly
 from freshet.plans import signatures
@@ -501,7 +501,7 @@ def _summary(spark, d, families):
 
 
 def _rounded(df, keep=("gage_id", "num_years", "start_year", "end_year")):
-    return df.select(*keep, *[F.round(c, 4).alias(c) for c in df.columns if c not in keep])
+    return rounded(df, keep)
 
 
 @query("t5_gage_summary", _trend_sql(*_FAMILIES) + f", {_HEADER} SELECT * FROM hd JOIN wd USING (gage_id)")

@@ -36,9 +36,8 @@ SEASON_LABELS = {"win": "winter", "spr": "spring", "sum": "summer", "fal": "fall
 
 def to_long(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Metric columns as (keys, metric, value) rows."""
-    return df.select(
-        *keys, F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value")
-    )
+    pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
+    return df.selectExpr(*keys, f"stack({len(metrics)}, {pairs}) as (metric, value)")
 
 
 def by_year(keys: Sequence[str] = GAGE):
