@@ -106,11 +106,11 @@ def _(spark, d):
     "j10_ensemble",
     f"""WITH {MEASURES}, mb AS (SELECT DISTINCT gage_id, member FROM measures),
     ps AS (SELECT gage_id, param_id, sum(sim) AS total FROM traces GROUP BY 1, 2)
-    SELECT gage_id, member, CAST(param_id AS INTEGER) AS param_id, round(total, 3) AS total FROM mb JOIN ps USING (gage_id)""",
+    SELECT gage_id, member, CAST(param_id AS INTEGER) AS param_id, round(total, 7) AS total FROM mb JOIN ps USING (gage_id)""",
 )
 def _(spark, d):
     members = measures(spark, d).select("gage_id", "member").distinct()
-    params = traces(spark, d).groupBy("gage_id", "param_id").agg(F.round(F.sum("sim"), 3).alias("total"))
+    params = traces(spark, d).groupBy("gage_id", "param_id").agg(F.round(F.sum("sim"), 7).alias("total"))
     return forecast.ensemble(members, params, GAGE)
 
 
@@ -193,12 +193,12 @@ def _(spark, d):
 
 @query(
     "p20_overlay_observed",
-    f"""WITH {MEASURES} SELECT t.gage_id, member, CAST(param_id AS INTEGER) AS param_id, round(sum(coalesce(g.q, t.sim)), 3) AS total FROM traces t
+    f"""WITH {MEASURES} SELECT t.gage_id, member, CAST(param_id AS INTEGER) AS param_id, round(sum(coalesce(g.q, t.sim)), 7) AS total FROM traces t
     LEFT JOIN (SELECT gage_id, date, q FROM daily WHERE date BETWEEN DATE '{START}' AND DATE '2001-03-01') g ON g.gage_id = t.gage_id AND g.date = t.date GROUP BY 1, 2, 3""",
 )
 def _(spark, d):
     out = overlay_observed(traces(spark, d), observed(spark, d), ["gage_id", "date"], since=START)
-    return out.groupBy("gage_id", "member", "param_id").agg(F.round(F.sum("sim"), 3).alias("total"))
+    return out.groupBy("gage_id", "member", "param_id").agg(F.round(F.sum("sim"), 7).alias("total"))
 
 
 STORAGE_CLIM = f"""
@@ -370,8 +370,8 @@ def _fit_sql(p, x):
 # Observed storage ends with September 2000; the traces carry on from there.
 PROJECT = MODELS.replace("FROM raw_reservoir)", f"FROM raw_reservoir WHERE date < DATE '{START}')") + f""",
 tr AS (SELECT gage_id, member, t.k AS param_id, date, CASE k WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 WHEN 4 THEN m4 ELSE m5 END AS sim FROM
-  (SELECT gage_id, member, date, sum(l_quantity) AS m1, sum(l_extendedprice) / 1500 AS m2, sum(l_quantity * (1 + l_tax)) AS m3,
-    sum(l_quantity * (1 - l_discount)) AS m4, count(*) * 25.0::DOUBLE AS m5 FROM shipments GROUP BY 1, 2, 3) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) t(k)),
+  (SELECT gage_id, member, date, sum(l_quantity) AS m1, sum(round(l_extendedprice * 100)) / 150000 AS m2, sum(l_quantity * (100 + round(l_tax * 100))) / 100 AS m3,
+    sum(l_quantity * (100 - round(l_discount * 100))) / 100 AS m4, count(*) * 25.0::DOUBLE AS m5 FROM shipments GROUP BY 1, 2, 3) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) t(k)),
 l0 AS (SELECT gage_id, max(date) AS hi, arg_max(stor, date) AS s0 FROM records GROUP BY 1),
 dl AS (SELECT gage_id, dayofyear(date) AS doy, avg(loss) AS doy_loss FROM records GROUP BY 1, 2),
 a0 AS (SELECT tr.gage_id, member, param_id, date, s0, CASE WHEN sim <= 1 THEN 1 ELSE sim END AS x, dl.doy_loss, models.* EXCLUDE (gage_id)

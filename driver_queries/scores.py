@@ -193,11 +193,11 @@ def _(spark, d):
 
 @query(
     "m12_water_year_totals",
-    f"""WITH {WARM} SELECT gage_id, CAST(run_id AS INTEGER) AS run_id, CAST(year(date + 92) AS INTEGER) AS water_year, round(sum(obs), 4) AS obs,
-    round(sum(sim), 4) AS sim FROM warm GROUP BY 1, 2, 3""",
+    f"""WITH {WARM} SELECT gage_id, CAST(run_id AS INTEGER) AS run_id, CAST(year(date + 92) AS INTEGER) AS water_year, round(sum(obs), 7) AS obs,
+    round(sum(sim), 7) AS sim FROM warm GROUP BY 1, 2, 3""",
 )
 def _(spark, d):
-    return rounded(scoring.water_year_totals(warm(spark, d), RUN), [*RUN, "water_year"])
+    return rounded(scoring.water_year_totals(warm(spark, d), RUN), [*RUN, "water_year"], 7)
 
 
 @query(
@@ -213,11 +213,11 @@ def _(spark, d):
 
 @query(
     "m13_monthly_depths",
-    f"""WITH {WARM} SELECT gage_id, CAST(run_id AS INTEGER) AS run_id, CAST(month(date) AS INTEGER) AS month, round(avg(obs) * 30, 4) AS obs,
-    round(avg(sim) * 30, 4) AS sim FROM warm GROUP BY 1, 2, 3""",
+    f"""WITH {WARM} SELECT gage_id, CAST(run_id AS INTEGER) AS run_id, CAST(month(date) AS INTEGER) AS month, round(avg(obs) * 30, 9) AS obs,
+    round(avg(sim) * 30, 9) AS sim FROM warm GROUP BY 1, 2, 3""",
 )
 def _(spark, d):
-    return rounded(scoring.monthly_depths(warm(spark, d), RUN), [*RUN, "month"])
+    return rounded(scoring.monthly_depths(warm(spark, d), RUN), [*RUN, "month"], 9)
 
 
 @query(
@@ -238,5 +238,5 @@ def _(spark, d):
 )
 def _(spark, d):
     params = scoring.scores(pairs(spark, d), RUN).withColumnRenamed("run_id", "param_id")
-    out = correct_monthly_bias(traces(spark, d).filter("param_id > 1"), params, ["gage_id", "param_id"])
+    out = correct_monthly_bias(traces(spark, d), params, ["gage_id", "param_id"])
     return out.groupBy("gage_id", "param_id", "member", F.month("date").alias("month")).agg(F.round(F.sum("sim"), 3).alias("sim"))

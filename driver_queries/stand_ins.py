@@ -5,7 +5,8 @@ gappy: the same with flows under 20 blanked, as a sensor below its detection lim
 rain:  order value per customer region and day.
 measures: shipping measures per region, line status (ensemble member) and day.
 Each view aggregates the whole table to one row per key and day, with partial sums
-before the shuffle, so later windows are bounded by the calendar.
+before the shuffle, so later windows are bounded by the calendar. Money and rates are
+summed as whole cents and hundredths: such sums do not depend on the order of rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,20 +48,20 @@ def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(F.col("n_regionkey").alias("gage_id"), F.col("o_orderdate").cast("date").alias("date"))
-        .agg(F.sum("o_totalprice").alias("ppt"))
+        .agg((F.sum(F.round(F.col("o_totalprice") * 100)) / 100).alias("ppt"))
     )
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qty = F.col("l_quantity")
+    qty, hundredths = F.col("l_quantity"), lambda c: F.round(F.col(c) * 100)
     return (
         _shipments(spark, sf_dir)
         .groupBy("gage_id", F.col("l_linestatus").alias("member"), "date")
         .agg(
             F.sum(qty).alias("m1"),
-            (F.sum("l_extendedprice") / 1500).alias("m2"),
-            F.sum(qty * (1 + F.col("l_tax"))).alias("m3"),
-            F.sum(qty * (1 - F.col("l_discount"))).alias("m4"),
+            (F.sum(hundredths("l_extendedprice")) / 150000).alias("m2"),
+            (F.sum(qty * (100 + hundredths("l_tax"))) / 100).alias("m3"),
+            (F.sum(qty * (100 - hundredths("l_discount"))) / 100).alias("m4"),
             (F.count("*") * 25.0).alias("m5"),
         )
     )
@@ -71,7 +72,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = measures(spark, sf_dir).groupBy("gage_id", "date").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(1, 6)])
     return whole.selectExpr(
         "gage_id", "date", "stack(5, 1, m1, 2, m2, 3, m3, 4, m4, 5, m5) as (run_id, sim)"
-    ).filter("run_id > 1")
+    )
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gage_id, date, stor, inflow): storage from prices, inflow from quantities, both with gaps."""
     rows = _shipments(spark, sf_dir).groupBy("gage_id", "date").agg(
-        F.sum("l_quantity").alias("inflow"), F.sum("l_extendedprice").alias("stor")
+        F.sum("l_quantity").alias("inflow"), (F.sum(F.round(F.col("l_extendedprice") * 100)) / 100).alias("stor")
     )
     return rows.select(
         "gage_id",
@@ -109,23 +110,23 @@ gappy AS (SELECT gage_id, date, year, month, doy, CASE WHEN q >= 20 THEN q END A
 
 RAIN = """
 rain AS (
-  SELECT n_regionkey AS gage_id, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS ppt
+  SELECT n_regionkey AS gage_id, CAST(o_orderdate AS DATE) AS date, sum(round(o_totalprice * 100)) / 100 AS ppt
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
 
 MEASURES = DAILY + """,
 measures AS (
-  SELECT gage_id, member, date, sum(l_quantity) AS m1, sum(l_extendedprice) / 1500 AS m2,
-         sum(l_quantity * (1 + l_tax)) AS m3, sum(l_quantity * (1 - l_discount)) AS m4, count(*) * 25.0::DOUBLE AS m5
+  SELECT gage_id, member, date, sum(l_quantity) AS m1, sum(round(l_extendedprice * 100)) / 150000 AS m2,
+         sum(l_quantity * (100 + round(l_tax * 100))) / 100 AS m3, sum(l_quantity * (100 - round(l_discount * 100))) / 100 AS m4, count(*) * 25.0::DOUBLE AS m5
   FROM shipments GROUP BY gage_id, member, date),
 traces AS (
   SELECT gage_id, member, date, k AS param_id, CASE k WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 WHEN 4 THEN m4 ELSE m5 END AS sim
   FROM measures, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
 runs AS (
-  SELECT gage_id, param_id AS run_id, date, sum(sim) AS sim FROM traces WHERE param_id > 1 GROUP BY 1, 2, 3)"""
+  SELECT gage_id, param_id AS run_id, date, sum(sim) AS sim FROM traces GROUP BY 1, 2, 3)"""
 
 RESERVOIR = DAILY + """,
 raw_reservoir AS (
-  SELECT gage_id, date, sum(l_quantity) AS i, sum(l_extendedprice) AS s FROM shipments GROUP BY 1, 2),
+  SELECT gage_id, date, sum(l_quantity) AS i, sum(round(l_extendedprice * 100)) / 100 AS s FROM shipments GROUP BY 1, 2),
 reservoir AS (
   SELECT gage_id, date, CASE WHEN s >= 60000 THEN s / 100 END AS stor, CASE WHEN i >= 20 THEN i END AS inflow
   FROM raw_reservoir)"""

@@ -20,7 +20,7 @@ LAST_OBS = "2001-05-31"
 
 def hindcast(spark, d):
     obs = daily(spark, d).filter(F.col("date") <= LAST_OBS).select("gage_id", "date", F.col("q").alias("obs"))
-    rows = traces(spark, d).filter("param_id <= 2").withColumnRenamed("sim", "pred").join(obs, ["gage_id", "date"], "left")
+    rows = traces(spark, d).withColumnRenamed("sim", "pred").join(obs, ["gage_id", "date"], "left")
     month = F.trunc("date", "MM")
     starts = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.add_months(month, -k))
     return rows.withColumn("init_date", F.explode(starts))
@@ -29,7 +29,7 @@ def hindcast(spark, d):
 HINDCAST = MEASURES + f""",
 hind AS (SELECT t.gage_id, CAST(date_trunc('month', t.date) - INTERVAL 1 MONTH * k AS DATE) AS init_date, member, param_id, t.date, sim AS pred, o.q AS obs
   FROM traces t LEFT JOIN (SELECT gage_id, date, q FROM daily WHERE date <= DATE '{LAST_OBS}') o ON o.gage_id = t.gage_id AND o.date = t.date,
-  (SELECT unnest(range(0, 7)) AS k) WHERE param_id <= 2),
+  (SELECT unnest(range(0, 7)) AS k)),
 hm AS (SELECT gage_id, init_date, member, param_id, month(date) AS month, min(date) AS fd, count(*) AS n, avg(pred) AS p, avg(obs) AS o FROM hind GROUP BY 1, 2, 3, 4, 5),
 hl AS (SELECT *, row_number() OVER (PARTITION BY gage_id, init_date, member, param_id ORDER BY fd) AS lead FROM hm),
 leads AS (SELECT gage_id, init_date, member, param_id, lead, fd + 14 AS date, sum(p * n) OVER w AS pred,
@@ -83,20 +83,20 @@ def _(spark, d):
 @query(
     "v2_v4_lead_months",
     f"""WITH {HINDCAST} SELECT gage_id, init_date, member, CAST(param_id AS INTEGER) AS param_id, CAST(lead AS INTEGER) AS lead, date, start_date,
-    round(pred, 4) AS pred, round(act, 4) AS act FROM started""",
+    round(pred, 7) AS pred, round(act, 7) AS act FROM started""",
 )
 def _(spark, d):
     out = verify.with_start_date(verify.lead_months(hindcast(spark, d), GAGE))
-    return rounded(out, [*TRACE_KEYS, "lead", "date", "start_date"])
+    return rounded(out, [*TRACE_KEYS, "lead", "date", "start_date"], 7)
 
 
 @query(
     "v3_lead_months_storage",
     f"""WITH {HINDCAST} SELECT gage_id, init_date, member, CAST(param_id AS INTEGER) AS param_id, CAST(lead AS INTEGER) AS lead, fd + 14 AS date,
-    round(p, 4) AS pred, round(o, 4) AS act FROM hl""",
+    round(p, 9) AS pred, round(o, 9) AS act FROM hl""",
 )
 def _(spark, d):
-    return rounded(verify.lead_months_storage(hindcast(spark, d), GAGE), [*TRACE_KEYS, "lead", "date"])
+    return rounded(verify.lead_months_storage(hindcast(spark, d), GAGE), [*TRACE_KEYS, "lead", "date"], 9)
 
 
 @query(
@@ -230,11 +230,14 @@ def _(spark, d):
     return rounded(out, YM, 7)
 
 
+# Every width that a two-month horizon leaves of two years.
+WIDTHS = range(1, 23)
+
 KENDALL = (
     MONTHLY
     + f""",
-rolled AS (SELECT gage_id, year, month, round(loss, 8) AS y, {", ".join(_rolled(w, 2) for w in range(1, 7))} FROM monthly),
-x AS ({" UNION ALL ".join(f"SELECT gage_id, year * 12 + month AS t, '{v}' AS series, {w} AS width, round({v}_mn_{w}, 8) AS x, y FROM rolled WHERE {v}_mn_{w} IS NOT NULL AND y IS NOT NULL" for v in ("stor", "inflow") for w in range(1, 7))}),
+rolled AS (SELECT gage_id, year, month, round(loss, 8) AS y, {", ".join(_rolled(w, 2) for w in WIDTHS)} FROM monthly),
+x AS ({" UNION ALL ".join(f"SELECT gage_id, year * 12 + month AS t, '{v}' AS series, {w} AS width, round({v}_mn_{w}, 8) AS x, y FROM rolled WHERE {v}_mn_{w} IS NOT NULL AND y IS NOT NULL" for v in ("stor", "inflow") for w in WIDTHS)}),
 s AS (SELECT a.gage_id, a.series, a.width, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s FROM x a JOIN x b
   ON a.gage_id = b.gage_id AND a.series = b.series AND a.width = b.width AND b.t > a.t GROUP BY 1, 2, 3),
 n AS (SELECT gage_id, series, width, count(*)::DOUBLE AS n FROM x GROUP BY 1, 2, 3),
@@ -250,7 +253,7 @@ screened AS (SELECT *, row_number() OVER (PARTITION BY gage_id, series ORDER BY
 
 
 def screened(spark, d):
-    return features.screen_lags(monthly(spark, d), range(1, 7), 2, keys=GAGE)
+    return features.screen_lags(monthly(spark, d), WIDTHS, 2, keys=GAGE)
 
 
 @query(
@@ -264,10 +267,10 @@ def _(spark, d):
 
 @query(
     "v12_chosen_lags",
-    f"""WITH {KENDALL} SELECT gage_id, series, CAST(width AS INTEGER) AS width, CAST(rank AS INTEGER) AS rank FROM screened WHERE rank <= 2 OR width = 6""",
+    f"""WITH {KENDALL} SELECT gage_id, series, CAST(width AS INTEGER) AS width, CAST(rank AS INTEGER) AS rank FROM screened WHERE rank <= 5 OR width = 22""",
 )
 def _(spark, d):
-    return features.choose_lags(screened(spark, d), (1, 2), GAGE).select("gage_id", "series", "width", "rank")
+    return features.choose_lags(screened(spark, d), keys=GAGE).select("gage_id", "series", "width", "rank")
 
 
 # A trace per gage and start month: inflow and losses of the following six months.
