@@ -160,18 +160,18 @@ gappy AS (SELECT s.gage_id, s.date, sparse.q FROM
 
 @query(
     "f1_wy_climatology",
-    f"WITH {FULL}, {CLIMATOLOGY} SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {round_sql(CLIM, 3)} FROM clim",
+    f"WITH {FULL}, {CLIMATOLOGY} SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {round_sql(CLIM, 6)} FROM clim",
 )
 def _(spark, d):
-    return rounded(forecast.water_year_climatology(every_day(spark, d), START, "q", GAGE), ["gage_id", "day_of_wy"], 3)
+    return rounded(forecast.water_year_climatology(every_day(spark, d), START, "q", GAGE), ["gage_id", "day_of_wy"], 6)
 
 
 @query(
     "f1_wy_climatology_missing_days",
-    f"WITH {GAPPY}, {CLIMATOLOGY} SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {round_sql(CLIM, 3)} FROM clim",
+    f"WITH {GAPPY}, {CLIMATOLOGY} SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {round_sql(CLIM, 6)} FROM clim",
 )
 def _(spark, d):
-    return rounded(forecast.water_year_climatology(gappy(spark, d), START, "q", GAGE), ["gage_id", "day_of_wy"], 3)
+    return rounded(forecast.water_year_climatology(gappy(spark, d), START, "q", GAGE), ["gage_id", "day_of_wy"], 6)
 
 
 PREDICTED = f"""
@@ -282,11 +282,11 @@ def _(spark, d):
     "f7_smooth_climatology",
     f"""WITH {FULL}, {CLIMATOLOGY}, w AS (SELECT a.gage_id, a.day_of_wy, exp(-0.5 * ((b.day_of_wy - a.day_of_wy) / (0.3706506::DOUBLE * 12)) ** 2) AS w, {", ".join("b." + c for c in CLIM)}
       FROM clim a JOIN clim b ON a.gage_id = b.gage_id AND abs(a.day_of_wy - b.day_of_wy) <= 17)
-    SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {", ".join(f"round(sum(w * {c}) / sum(w), 3) AS {c}" for c in CLIM)} FROM w GROUP BY 1, 2""",
+    SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {", ".join(f"round(sum(w * {c}) / sum(w), 6) AS {c}" for c in CLIM)} FROM w GROUP BY 1, 2""",
 )
 def _(spark, d):
     clim = forecast.water_year_climatology(every_day(spark, d), START, "q", GAGE)
-    return rounded(forecast.smooth_climatology(clim, GAGE), ["gage_id", "day_of_wy"], 3)
+    return rounded(forecast.smooth_climatology(clim, GAGE), ["gage_id", "day_of_wy"], 6)
 
 
 @query(
