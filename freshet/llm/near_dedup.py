@@ -11,7 +11,12 @@ from freshet.llm import textarrays as ta
 from freshet.llm.shared import Stage, by_value, components, documents
 
 UNIVERSE_BITS = 20
+# Turns of one leader a bucket, while each halves the comparisons left; from so many left a
+# document, or after these turns, what is left is compared whole.
 ROUNDS = 6
+LEFT_PER_ROW = 20
+# Longs of 30 two-bit coordinates that a sketch keeps.
+SKETCH = 4
 
 
 def near_duplicates(
@@ -36,7 +41,9 @@ def near_duplicates(
     leader at a time is compared with the members of other components, and links merge
     components, so a large group of copies costs one pair per member, not all pairs. What is
     left (members outside a bucket's largest component) is compared with all members of
-    other components. Every comparison is exact, on full sets.
+    other components. Pairs whose sizes rule the similarity out, or whose 120 two-bit
+    coordinates agree six deviations too rarely (one true pair in a billion), are not
+    fetched; all others are compared exactly, on full sets.
 
     Edge cases: a null or empty text, or one without words, has an empty set, is linked with
     nothing and stays. A row without doc_id stays, with a null component. Rows that repeat a
@@ -48,7 +55,7 @@ def near_duplicates(
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
 
     sets = stage.keep(
-        source.mapInArrow(_signer(words, bands, rows), "id long, n long, f1 long, f2 long, keys array<long>"), "sets"
+        source.mapInArrow(_signer(words, bands, rows), "id long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets"
     )
     # Equal sets: the smallest id stands for all.
     first = stage.keep(
@@ -56,63 +63,65 @@ def near_duplicates(
     )
     member = stage.keep(
         sets.join(first, ["f1", "f2", "n"], "left").selectExpr(
-            "id", "n", "case when id is not null then coalesce(rep, id) end as rep", "case when id = rep then keys end as keys"
+            "id", "n", "case when id is not null then coalesce(rep, id) end as rep", "case when id = rep then keys end as keys", "sketch"
         ),
         "member",
     )
     stage.drop(sets, first)
     entry = member.filter("keys is not null").select(F.explode("keys").alias("key"), F.col("rep").alias("id")).distinct()
+    agree = _least_agreement(bands * rows, percent)
     shared = stage.keep(entry.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
-    bucket = stage.keep(entry.join(shared, "key", "left_semi"), "bucket")
-    stage.drop(shared)
-    # Texts of documents that meet another one.
-    ids = stage.keep(bucket.select("id").distinct(), "ids")
+    ids = stage.keep(entry.join(shared, "key", "left_semi").select("id").distinct(), "ids")
+    # Sketches and texts of the documents that meet another one.
+    met = member.filter("keys is not null").select(F.col("rep").alias("id"), "n", "keys", "sketch").dropDuplicates(["id"])
+    met = stage.keep(met.join(ids, "id", "left_semi"), "met")
     texts = stage.keep(source.join(ids, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "texts")
-    size = member.filter("keys is not null").count()
+    size = member.count()
+    stage.drop(shared, ids)
 
-    links, labels = None, None
+    links, labels, before = None, None, 0
     for turn in range(ROUNDS + 1):
-        now = bucket if labels is None else bucket.join(
-            labels.withColumnRenamed("node", "id"), "id", "left"
-        )
-        now = stage.keep(now.selectExpr("key", "id", "id as label" if labels is None else "coalesce(component, id) as label"), "now")
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        mixed = stage.keep(mixed, "mixed")
-        open_ = stage.keep(now.join(mixed, "key", "left_semi"), "open")
-        stage.drop(now, mixed)
+        now = met.withColumn("label", F.col("id"))
+        if labels is not None:
+            now = met.join(labels.withColumnRenamed("node", "id"), "id", "left")
+            now = now.withColumn("label", F.coalesce("component", "id")).drop("component")
+        entry = now.select(F.explode("keys").alias("key"), "id", "label", "n", "sketch")
+        mixed = entry.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        mixed = stage.keep(mixed.select("key"), "mixed")
+        open_ = stage.keep(entry.join(mixed, "key", "left_semi"), "open")
         by_label = open_.groupBy("key", "label").agg(F.count("*").alias("c"))
         by_key = stage.keep(
             by_label.groupBy("key").agg(
-                F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "label")).alias("top")
+                F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "label")).alias("top")
             ),
             "by_key",
         )
-        left = by_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        left = by_key.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
         if not left:
             break
-        last = turn == ROUNDS or (turn > 0 and left <= 2 * size)
+        last = turn == ROUNDS or (turn > 0 and (left <= LEFT_PER_ROW * size or 2 * left > before))
+        before = left
+        one = ["key", "id as a", "label as la", "n as na", "sketch as sa"]
+        two = ["key", "id as b", "label as lb", "n as nb", "sketch as sb"]
         if last:
-            outside = open_.join(by_key.selectExpr("key", "top.label as top"), "key").filter("label <> top")
-            outside = stage.keep(outside.selectExpr("key", "id as a", "label as la"), "outside")
-            pairs = outside.join(open_.selectExpr("key", "id as b", "label as lb"), "key").filter("la <> lb")
+            top = by_key.selectExpr("key", "top.label as top")
+            side = stage.keep(open_.join(top, "key").filter("label <> top").selectExpr(*one), "outside")
         else:
             # Another leader each turn: the least id under another exclusive-or.
-            code = (0x5DEECE66D * turn * turn) & 0x7FFFFFFF
-            leader = open_.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.lit(code))).alias("x"))
-            leader = leader.select("key", F.col("x").bitwiseXOR(F.lit(code)).alias("id"))
-            leader = stage.keep(leader, "leader")
-            # The leader's label comes by its own row of the bucket.
-            leader = stage.keep(open_.join(leader, ["key", "id"]).selectExpr("key", "id as a", "label as la"), "leader")
-            pairs = leader.join(open_.selectExpr("key", "id as b", "label as lb"), "key").filter("la <> lb")
-        pairs = stage.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            code = F.lit((0x5DEECE66D * turn * turn) & 0x7FFFFFFF)
+            leader = open_.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(code)).alias("x"))
+            leader = leader.select("key", F.col("x").bitwiseXOR(code).alias("id"))
+            side = stage.keep(open_.join(leader, ["key", "id"]).selectExpr(*one), "leaders")
+        near = f"la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {_agreement()} >= {agree}"
+        pairs = side.join(open_.selectExpr(*two), "key").filter(near)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = stage.keep(_verified(pairs, texts, words, percent), "links")
         links = found if links is None else links.union(found)
-        old = labels
         labels = stage.keep(components(stage, links), "labels")
-        stage.drop(open_, by_key, pairs, *([old] if old is not None else []))
+        stage.drop(mixed, open_, by_key, side)
         if last:
             break
-    stage.drop(bucket, ids, texts)
+    stage.drop(met, texts)
     out = member.select("id", "n", "rep")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -141,6 +150,7 @@ def _signer(words: int, bands: int, rows: int):
                 n = np.diff(start)
                 some = np.flatnonzero(n)
                 keys = np.zeros((len(n), bands), np.int64)
+                bits = np.zeros((len(n), SKETCH), np.int64)
                 prints = np.zeros((2, len(n)), np.uint64)
                 if len(some):
                     at = start[:-1][some]
@@ -152,6 +162,8 @@ def _signer(words: int, bands: int, rows: int):
                         for k in range(band * rows, band * rows + rows):
                             low = np.minimum.reduceat(pi[k:].take(sigma), at)
                             key = ta.mix(key * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
+                            if k < 30 * SKETCH:
+                                bits[some, k // 30] |= (low & 3).astype(np.int64) << (2 * (k % 30))
                         keys[some, band] = key.view(np.int64)
                 used = np.zeros(len(n) + 1, np.int32)
                 used[1:] = np.cumsum(np.where(n > 0, bands, 0))
@@ -162,13 +174,34 @@ def _signer(words: int, bands: int, rows: int):
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(used), pa.array(keys[some].ravel())),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(0, SKETCH * len(n) + 1, SKETCH, dtype=np.int32)), pa.array(bits.ravel())
+                        ),
                     ],
-                    names=["id", "n", "f1", "f2", "keys"],
+                    names=["id", "n", "f1", "f2", "keys", "sketch"],
                 )
 
     return sign
 
 
+def _agreement() -> str:
+    """SQL: in how many of the 30 * SKETCH kept coordinates two sketches agree."""
+    each = []
+    for i in range(SKETCH):
+        x = f"(sa[{i}] ^ sb[{i}])"
+        each.append(f"30 - bit_count(({x} | shiftright({x}, 1)) & 6148914691236517205L)")
+    return "(" + " + ".join(each) + ")"
+
+
+def _least_agreement(hashes: int, percent: int) -> int:
+    """Six deviations below what a pair at the threshold agrees in; at two bits, a quarter agrees by chance."""
+    n = 30 * SKETCH
+    if hashes < n:
+        return 0
+    p = percent / 100 + (1 - percent / 100) / 4
+    return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
 

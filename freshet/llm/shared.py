@@ -73,32 +73,29 @@ class Stage:
 def components(stage: Stage, links: DataFrame) -> DataFrame:
     """Connected components of links(a, b): node, component (its smallest node).
 
-    Distributed union-find: each round points every node at the smallest label among its
-    own and its neighbours' (hooking), then follows the pointers twice (path halving), so
-    the number of rounds grows with the logarithm of the longest path. Per-label sums
-    combine before the shuffle, so one huge component is no hot task. Only nodes that have
-    a link appear. Null nodes are not links.
+    Distributed union-find by alternating stars: the number of rounds grows with the
+    logarithm of the number of nodes. Minima combine before the shuffle, and the joins are
+    of two plain tables that Spark may split, so one huge component is no hot task. Only
+    nodes that have a link appear; rows with a null end are no links.
     """
-    # A forest of parents is kept as edges (node -> parent); big-star and small-star in turn.
     edges = stage.keep(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links"
     )
     while True:
-        # big star: larger neighbours of u meet u's smallest neighbour
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
+        # Larger neighbours of a node meet its smallest neighbour ...
+        both = edges.select("u", "v").union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = stage.keep(big.filter("u <> v").distinct(), "big")
-        # small star: smaller neighbours of u and u itself meet the smallest
+        big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # ... then its smaller neighbours and itself meet the smallest.
         low = big.groupBy("u").agg(F.min("v").alias("m"))
-        near = big.join(low, "u")
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = stage.keep(small.filter("u <> v").distinct(), "small")
-        stage.drop(edges, big)
+        near = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = stage.keep(near.union(low).filter("u <> v").distinct(), "stars")
+        stage.drop(edges)
         edges = small
-        # done when every larger node has one parent and no parent is itself a child
-        many = small.groupBy("u").count().filter("count > 1").limit(1).count()
-        if not many and not small.join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
+        # Done when every larger node has one parent and no parent is itself a child.
+        ends = small.selectExpr("u as x", "1 as child", "0 as parent").union(small.selectExpr("v", "0", "1"))
+        state = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if not state.filter("child > 1 or child = 1 and parent = 1").limit(1).count():
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
