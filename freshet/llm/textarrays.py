@@ -10,6 +10,8 @@ from freshet.llm.shared import by_value
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -60,17 +62,24 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
 class Words:
     """Words of some texts: start and end byte, hash; rows holds each text's first word.
 
-    lower folds A-Z, strip also removes punctuation at a word's edges from its hash by
-    folding every ASCII punctuation byte to nothing.
+    lower folds A-Z; strip takes ASCII punctuation out first, so positions are those of the
+    text without it.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, strip: bool = False, hashes: bool = True
+    ):
         if lower:
             data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        if strip:
+            stays = ~_PUNCTUATION[data]
+            before = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(stays, out=before[1:])
+            data, offsets = data[stays], before[offsets]
         self.data, self.offsets = data, offsets
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
         inside = np.zeros(len(data) + 1, bool)
-        inside[:-1] = ~blank
+        inside[:-1] = (data != 32) & ((data < 9) | (data > 13))
+        self.inside = inside[:-1]
         first = inside[:-1].copy()
         first[1:] &= ~inside[:-2]
         edge = offsets[(offsets > 0) & (offsets < len(data))]
@@ -81,10 +90,7 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.rows = np.searchsorted(self.start, offsets)
         if hashes:
-            up, down = _powers(len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-            self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+            self.hash = span_hashes(data, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)
@@ -93,6 +99,14 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from start to end, equal for equal bytes wherever they stand."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k words by its first word; runs may cross rows, see within()."""
     n = len(hashes) - k + 1
