@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import textarrays as ta
-from freshet.llm.shared import Stage, by_value, components, documents
+from freshet.llm.shared import Stage, by_value, documents, merge_buckets
 
 UNIVERSE_BITS = 20
-# Turns of one leader a bucket, while each halves the comparisons left; from so many left a
-# document, or after these turns, what is left is compared whole.
-ROUNDS = 6
+# From so many comparisons left a document, they are done at once.
 LEFT_PER_ROW = 20
 # Longs of 30 two-bit coordinates that a sketch keeps.
 SKETCH = 4
@@ -79,48 +77,10 @@ def near_duplicates(
     size = member.count()
     stage.drop(shared, ids)
 
-    links, labels, before = None, None, 0
-    for turn in range(ROUNDS + 1):
-        now = met.withColumn("label", F.col("id"))
-        if labels is not None:
-            now = met.join(labels.withColumnRenamed("node", "id"), "id", "left")
-            now = now.withColumn("label", F.coalesce("component", "id")).drop("component")
-        entry = now.select(F.explode("keys").alias("key"), "id", "label", "n", "sketch")
-        mixed = entry.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        mixed = stage.keep(mixed.select("key"), "mixed")
-        open_ = stage.keep(entry.join(mixed, "key", "left_semi"), "open")
-        by_label = open_.groupBy("key", "label").agg(F.count("*").alias("c"))
-        by_key = stage.keep(
-            by_label.groupBy("key").agg(
-                F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "label")).alias("top")
-            ),
-            "by_key",
-        )
-        left = by_key.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
-            break
-        last = turn == ROUNDS or (turn > 0 and (left <= LEFT_PER_ROW * size or 2 * left > before))
-        before = left
-        one = ["key", "id as a", "label as la", "n as na", "sketch as sa"]
-        two = ["key", "id as b", "label as lb", "n as nb", "sketch as sb"]
-        if last:
-            top = by_key.selectExpr("key", "top.label as top")
-            side = stage.keep(open_.join(top, "key").filter("label <> top").selectExpr(*one), "outside")
-        else:
-            # Another leader each turn: the least id under another exclusive-or.
-            code = F.lit((0x5DEECE66D * turn * turn) & 0x7FFFFFFF)
-            leader = open_.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(code)).alias("x"))
-            leader = leader.select("key", F.col("x").bitwiseXOR(code).alias("id"))
-            side = stage.keep(open_.join(leader, ["key", "id"]).selectExpr(*one), "leaders")
-        near = f"la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {_agreement()} >= {agree}"
-        pairs = side.join(open_.selectExpr(*two), "key").filter(near)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stage.keep(_verified(pairs, texts, words, percent), "links")
-        links = found if links is None else links.union(found)
-        labels = stage.keep(components(stage, links), "labels")
-        stage.drop(mixed, open_, by_key, side)
-        if last:
-            break
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {_agreement()} >= {agree}"
+    labels = merge_buckets(
+        stage, met, ["n", "sketch"], near, lambda pairs: _verified(pairs, texts, words, percent), LEFT_PER_ROW * size
+    )
     stage.drop(met, texts)
     out = member.select("id", "n", "rep")
     if labels is not None:
@@ -188,7 +148,7 @@ def _agreement() -> str:
     """SQL: in how many of the 30 * SKETCH kept coordinates two sketches agree."""
     each = []
     for i in range(SKETCH):
-        x = f"(sa[{i}] ^ sb[{i}])"
+        x = f"(sketch_a[{i}] ^ sketch_b[{i}])"
         each.append(f"30 - bit_count(({x} | shiftright({x}, 1)) & 6148914691236517205L)")
     return "(" + " + ".join(each) + ")"
 

@@ -101,4 +101,64 @@ def components(stage: Stage, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def merge_buckets(
+    stage: Stage, met: DataFrame, carry: list[str], near: str, verify, left_rows: int, turns: int = 6
+) -> DataFrame | None:
+    """Components (node, component) of the verified links inside buckets; None without any.
+
+    met(id, keys, carry columns): each row is in the buckets `keys`. near is an SQL condition on
+    carry columns of a pair (names end in _a and _b) that no link fails; verify(pairs of a, b)
+    gives the pairs that are links. Each turn compares one leader of a bucket with the members
+    of other components, and its links merge components, so a large group of copies costs one
+    pair a member. Turns go on while each halves the comparisons left; beyond that, or once
+    left_rows are left, members outside a bucket's largest component are compared with all
+    members of others. Every two members of a bucket end in one component or are compared.
+    """
+    links = labels = None
+    before = 0
+    for turn in range(turns + 1):
+        now = met.withColumn("label", F.col("id"))
+        if labels is not None:
+            now = met.join(labels.withColumnRenamed("node", "id"), "id", "left")
+            now = now.withColumn("label", F.coalesce("component", "id")).drop("component")
+        entry = now.select(F.explode("keys").alias("key"), "id", "label", *carry)
+        mixed = entry.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        mixed = stage.keep(mixed.select("key"), "mixed")
+        open_ = stage.keep(entry.join(mixed, "key", "left_semi"), "open")
+        by_label = open_.groupBy("key", "label").agg(F.count("*").alias("c"))
+        by_key = stage.keep(
+            by_label.groupBy("key").agg(
+                F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "label")).alias("top")
+            ),
+            "by_key",
+        )
+        left = by_key.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
+        if not left:
+            stage.drop(mixed, open_, by_key)
+            break
+        last = turn == turns or (turn > 0 and (left <= left_rows or 2 * left > before))
+        before = left
+        side_a, side_b = (
+            ["key", f"id as {x}", f"label as label_{x}", *[f"{c} as {c}_{x}" for c in carry]] for x in "ab"
+        )
+        if last:
+            top = by_key.selectExpr("key", "top.label as top")
+            side = stage.keep(open_.join(top, "key").filter("label <> top").selectExpr(*side_a), "outside")
+        else:
+            # Another leader each turn: the least id under another exclusive-or.
+            code = F.lit((0x5DEECE66D * turn * turn) & 0x7FFFFFFF)
+            leader = open_.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(code)).alias("x"))
+            leader = leader.select("key", F.col("x").bitwiseXOR(code).alias("id"))
+            side = stage.keep(open_.join(leader, ["key", "id"]).selectExpr(*side_a), "leaders")
+        pairs = side.join(open_.selectExpr(*side_b), "key").filter(f"label_a <> label_b and {near}")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = stage.keep(verify(pairs), "links")
+        links = found if links is None else links.union(found)
+        labels = stage.keep(components(stage, links), "labels")
+        stage.drop(mixed, open_, by_key, side)
+        if last:
+            break
+    return labels
+
+
 by_value(__name__)
