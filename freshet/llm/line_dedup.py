@@ -8,39 +8,39 @@ from pyspark.sql import functions as F
 from freshet.llm.shared import WORD, Stage, documents, merge_buckets
 
 CHARS = 10
+# Of 32 coordinates, 30 are banded.
 BANDS, ROWS = 10, 3
-COORDINATES = BANDS * ROWS
 # Coordinates of which a sketch keeps two bits.
 SKETCH = 30
 LEFT_PER_ROW = 20
 
 
-def _shingles(line: Column, chars: int) -> Column:
-    """Hashes of all runs of `chars` UTF-16 units of a line; a shorter line is one run."""
-    units = F.encode(line, "UTF-16BE")
-    last = F.greatest(F.octet_length(units) / 2 - chars, F.lit(0)).cast("int")
+def _shingles(units: str, chars: int) -> Column:
+    """Hashes of all runs of `chars` characters of a UTF-16BE column; a shorter line is one run."""
+    last = F.greatest(F.floor(F.octet_length(units) / 2) - chars, F.lit(0)).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * chars))))
 
 
 def signatures(lines: DataFrame, chars: int = CHARS) -> DataFrame:
     """Adds keys (one of each band) and sketch to lines with a column `line`.
 
-    One hash spreads the shingles over COORDINATES equal ranges; the least hash of a range is
-    its coordinate, and an empty range takes that of the next one that is not (around the end).
+    One hash spreads the shingles over 32 equal ranges; the least hash of a range is its
+    coordinate, and an empty range takes that of the next one that is not (around the end).
     So all coordinates come from one sorted array.
     """
-    width = (1 << 64) // COORDINATES
-    marks = [-(1 << 63) + b * width for b in range(1, COORDINATES)]
-    out = lines.withColumn("h", F.sort_array(_shingles(F.col("line"), chars)))
-    out = out.withColumn("marked", F.sort_array(F.concat("h", F.array(*[F.lit(m) for m in marks]))))
-    coordinates = [F.element_at("h", F.lit(1))]
-    for b, mark in enumerate(marks):
-        # Of the elements before the mark, b are marks.
-        below = F.array_position("marked", F.lit(mark)) - 1 - b
-        coordinates.append(F.element_at("h", (F.pmod(below, F.size("h")) + 1).cast("int")))
-    out = out.withColumn("c", F.array(*coordinates)).drop("h", "marked")
+    # Exploding an array of one keeps the optimizer from writing a column out where it is used;
+    # encoded in a lambda, a line would be encoded anew for each shingle.
+    out = lines.withColumn("units", F.explode(F.array(F.encode("line", "UTF-16BE"))))
+    out = out.withColumn("h", F.explode(F.array(F.sort_array(_shingles("units", chars))))).drop("units")
+    least = F.filter("h", lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get("h", i - 1), 59)))
+    out = out.withColumn("c", F.explode(F.array(least))).drop("h")
+    filled = F.transform(
+        F.sequence(F.lit(-16), F.lit(15)),
+        lambda b: F.coalesce(F.get(F.filter("c", lambda x: F.shiftright(x, 59) >= b), 0), F.get("c", 0)),
+    )
+    out = out.withColumn("c", F.explode(F.array(F.when(F.size("c") == 32, F.col("c")).otherwise(filled))))
     keys = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.element_at("c", b * ROWS + 1 + i) for i in range(ROWS)])
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get("c", b * ROWS + i) for i in range(ROWS)])
     )
     sketch = F.aggregate(F.slice("c", 1, SKETCH), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 2) + x.bitwiseAND(F.lit(3)))
     return out.withColumn("keys", keys).withColumn("sketch", sketch).drop("c")
@@ -96,7 +96,8 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.selectExpr("id as a", "line as la"), "a").join(texts.selectExpr("id as b", "line as lb"), "b")
-        both = both.select("a", "b", *[F.array_distinct(_shingles(F.col(c), chars)).alias(c) for c in ("la", "lb")])
+        both = both.select("a", "b", *[F.encode(c, "UTF-16BE").alias(c) for c in ("la", "lb")])
+        both = both.select("a", "b", *[F.array_distinct(_shingles(c, chars)).alias(c) for c in ("la", "lb")])
         both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
         return both.filter(100 * F.col("both") >= percent * (F.size("la") + F.size("lb") - F.col("both"))).select("a", "b")
 

@@ -139,7 +139,7 @@ def stutter(t: Texts) -> np.ndarray:
 RULES = {f.__name__: f for f in (many_symbols, shouting, without_letters, odd_words, repeated_lines, stutter)}
 
 
-def plan(docs: DataFrame, sample_rows: int = 4096, doc_id: str = "doc_id", text: str = "text") -> list[str]:
+def plan(docs: DataFrame, sample_rows: int = 4096, text: str = "text") -> list[str]:
     """Names of the rules, those first that reject most per second on about sample_rows rows.
 
     The order changes what the cascade costs, never its verdict.
@@ -178,24 +178,15 @@ def judge(docs: DataFrame, order: list[str] | None = None, doc_id: str = "doc_id
     Edge cases: a null or empty text has no words and fails the base; a null doc_id is passed
     on; repeated rows are judged each; other columns are not read; an empty table gives none.
     """
-    order = plan(docs, doc_id=doc_id, text=text) if order is None else order
+    order = plan(docs, text=text) if order is None else order
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text))
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in ta.chunks(batch.column(1)):
                 t = Texts(data, offsets)
-                repeats = n_repeat_words(t)
-                failed = (t.n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * t.n_words)
-                kept = ~failed
+                repeats, failed, kept = _cascade(t, order)
                 counts = [t.n_words, word_chars(t), n_symbols(t), lines(t)[1], repeats]
-                left = t.only(kept)
-                for name in order:
-                    if not kept.any():
-                        break
-                    stays = ~RULES[name](left)
-                    kept[np.flatnonzero(kept)] = stays
-                    left = left.only(stays)
                 yield pa.record_batch(
                     [batch.column(0).slice(lo, hi - lo), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept)],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
@@ -206,6 +197,35 @@ def judge(docs: DataFrame, order: list[str] | None = None, doc_id: str = "doc_id
     return source.mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean")
 
 
+def filter_documents(docs: DataFrame, order: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, all columns as they are, without a shuffle."""
+    order = plan(docs, text=text) if order is None else order
+
+    def run(batches):
+        for batch in batches:
+            kept = [np.zeros(0, bool)]
+            for _, _, data, offsets in ta.chunks(batch.column(batch.schema.get_field_index(text))):
+                kept.append(_cascade(Texts(data, offsets), order)[2])
+            yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cascade(t: Texts, order: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n_repeat_words, base_failed, kept); a rule runs only on texts that all before it left."""
+    repeats = n_repeat_words(t)
+    failed = (t.n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * t.n_words)
+    kept = ~failed
+    left = t.only(kept)
+    for name in order:
+        if not kept.any():
+            break
+        stays = ~RULES[name](left)
+        kept[np.flatnonzero(kept)] = stays
+        left = left.only(stays)
+    return repeats, failed, kept
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
