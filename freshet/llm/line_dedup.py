@@ -21,17 +21,35 @@ def _shingles(units: str, chars: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * chars))))
 
 
+def _families(lines: DataFrame, chars: int) -> DataFrame:
+    """Rows (all columns, h): sorted shingle hashes for the signature, one or two rows a line.
+
+    A line of many words is signed by its shingles that begin at a word: a part that the text
+    itself selects, so near lines select alike. Lines of few or very long words are signed by
+    all shingles. The two ranges overlap, so lines near to each other share a family.
+    """
+    anchored = F.regexp_extract_all("line", F.lit(f"(?s)(?<![^\\x20\\x09-\\x0D])(?=([^\\x20\\x09-\\x0D].{{0,{chars - 1}}}))"), F.lit(1))
+    out = lines.withColumn("w", F.explode(F.array(anchored)))
+    n, size = F.size("w"), F.length("line")
+    by_word = (n >= 12) & (20 * n >= size)
+    whole = (n < 20) | (12 * n < size)
+    words = F.sort_array(F.transform("w", lambda x: F.xxhash64(F.lit(1), x)))
+    # Encoded in a column of its own: a lambda would encode the line anew for each shingle.
+    out = out.withColumn("units", F.explode(F.array(F.when(whole, F.encode("line", "UTF-16BE")))))
+    every = F.sort_array(_shingles("units", chars))
+    families = F.array(F.when(by_word, words), F.when(whole, every))
+    return out.select(*lines.columns, F.explode(F.filter(families, lambda h: h.isNotNull())).alias("h"))
+
+
 def signatures(lines: DataFrame, chars: int = CHARS) -> DataFrame:
-    """Adds keys (one of each band) and sketch to lines with a column `line`.
+    """Adds keys (one of each band) and sketch to lines with a column `line`, see _families().
 
     One hash spreads the shingles over 32 equal ranges; the least hash of a range is its
     coordinate, and an empty range takes that of the next one that is not (around the end).
     So all coordinates come from one sorted array.
     """
-    # Exploding an array of one keeps the optimizer from writing a column out where it is used;
-    # encoded in a lambda, a line would be encoded anew for each shingle.
-    out = lines.withColumn("units", F.explode(F.array(F.encode("line", "UTF-16BE"))))
-    out = out.withColumn("h", F.explode(F.array(F.sort_array(_shingles("units", chars))))).drop("units")
+    # Exploding an array of one keeps the optimizer from writing a column out where it is used.
+    out = _families(lines, chars)
     least = F.filter("h", lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get("h", i - 1), 59)))
     out = out.withColumn("c", F.explode(F.array(least))).drop("h")
     filled = F.transform(
@@ -59,8 +77,9 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     characters; of each component the line with the least (doc_id, line_no) is kept, and
     keep_doc and keep_line name it. A line without a word has nulls there and stays.
 
-    Method. Equal lines collapse by two 64-bit hashes. The rest meet in buckets of BANDS bands
-    of ROWS MinHash coordinates (a pair at 0.8 is missed once in 1,300 times), are compared
+    Method. A line's signature is made of the shingles that begin at its words (of all of them
+    where words are few or long). Equal lines collapse by two 64-bit hashes. The rest meet in buckets of BANDS bands
+    of ROWS MinHash coordinates (a pair whose signed shingles are 0.8 alike is missed once in 1,300 times), are compared
     by merge_buckets(), exactly, and joined by distributed union-find. All in DataFrame
     functions; no group is gathered in one task.
 
@@ -77,17 +96,18 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     hashes = [F.xxhash64(F.lit(i), "line").alias(f"h{i}") for i in (1, 2)]
     signed = signatures(lines.filter("line is not null").select("doc_id", "line_no", "line", *hashes), chars)
     slim = stage.keep(signed.drop("line"), "slim")
+    # A line can have two rows, one a family.
     first = slim.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Each distinct line gets a number, which is fixed once it is written.
     first = stage.keep(first.select("h1", "h2", "first.*", F.monotonically_increasing_id().alias("id")), "first")
-    entry = first.join(slim, ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["id"])
+    entry = first.join(slim, ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["id", "sketch"])
     entry = stage.keep(entry.select("id", "doc_id", "line_no", "keys", "sketch"), "entry")
-    shared = entry.select("id", F.explode("keys").alias("key"))
+    shared = entry.select("id", F.explode("keys").alias("key")).distinct()
     keys = stage.keep(shared.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
     ids = stage.keep(shared.join(keys, "key", "left_semi").select("id").distinct(), "ids")
     met = stage.keep(entry.join(ids, "id", "left_semi"), "met")
     # Texts of those that meet another: a list of a document's own lines goes to its text.
-    wanted = met.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
+    wanted = met.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id")).alias("wanted"))
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id")
     parts = body.select(F.split("t", "\n", -1).alias("parts"), "wanted").select("parts", F.explode("wanted").alias("w"))
     texts = parts.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("parts", F.col("w.line_no")))).alias("line"))
@@ -96,8 +116,10 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.selectExpr("id as a", "line as la"), "a").join(texts.selectExpr("id as b", "line as lb"), "b")
-        both = both.select("a", "b", *[F.encode(c, "UTF-16BE").alias(c) for c in ("la", "lb")])
-        both = both.select("a", "b", *[F.array_distinct(_shingles(c, chars)).alias(c) for c in ("la", "lb")])
+        for c in ("la", "lb"):
+            both = both.withColumn(c, F.explode(F.array(F.encode(c, "UTF-16BE"))))
+        for c in ("la", "lb"):
+            both = both.withColumn(c, F.explode(F.array(F.array_distinct(_shingles(c, chars)))))
         both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
         return both.filter(100 * F.col("both") >= percent * (F.size("la") + F.size("lb") - F.col("both"))).select("a", "b")
 
@@ -113,7 +135,7 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
         keep = own.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("k"))
         keep = stage.keep(keep.selectExpr("component", "k.doc_id as keep_doc", "k.line_no as keep_line"), "keep")
         keeper = stage.keep(own.select("h1", "h2", "component").join(keep, "component").drop("component"), "keeper")
-    told = slim.select("doc_id", "line_no", "h1", "h2").join(keeper, ["h1", "h2"])
+    told = slim.select("doc_id", "line_no", "h1", "h2").distinct().join(keeper, ["h1", "h2"])
     told = told.select("doc_id", "line_no", "keep_doc", "keep_line", F.expr("doc_id = keep_doc and line_no = keep_line").alias("kept"))
     blank = lines.filter("line is null").selectExpr("doc_id", "line_no", "cast(null as long) as keep_doc", "cast(null as int) as keep_line", "true as kept")
     return told.union(blank)
