@@ -24,7 +24,7 @@ ORDER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_="
 # The null hypothesis is an ordinary token: two of its symbols are equal with this chance (and
 # never less than twice the alphabet's), its class (digit, capital, small letter, other)
 # changes between neighbours with this one, and neighbours correlate so.
-EQUAL, CHANGE, SERIAL = 0.065, 0.10, 0.25
+EQUAL, CHANGE, SERIAL = 0.065, 0.35, 0.25
 # A token is random only if none of the tests rejects that at this level.
 REJECT = 0.001
 STRATA = (16, 24, 32, 48, 64)
