@@ -198,3 +198,24 @@ def _(spark, d):
 def _(spark, d):
     out = climate.basin_climate(grid(spark, d), subbasins(spark, d), layout="era5")
     return rounded(out, ["basin", "member", "init_date", "date"], 6)
+
+
+@query("j4_null_point", f"WITH {GRID} SELECT hybas_id, CASE WHEN hybas_id % 3 <> 0 THEN cell_lon END AS cell_lon FROM near")
+def _(spark, d):
+    x = F.when(F.col("hybas_id") % 3 != 0, F.col("lon"))
+    subs = subbasins(spark, d).select("hybas_id", x.alias("x"))
+    return spatial.nearest_on_axis(subs, grid(spark, d).select("lon").distinct(), "x", "lon", out="cell_lon").select("hybas_id", "cell_lon")
+
+
+@query(
+    "b1_null_cells",
+    f"""WITH {GRID}, f AS (SELECT * REPLACE (CASE WHEN dayofyear(date) % 3 <> 0 OR tmin < tmax - 8 THEN tmax END AS tmax) FROM grid)
+    SELECT basin, CAST(f.member AS INTEGER) AS member, f.init_date, f.date, round(sum(tmin * sub_area) / sum(sub_area), 6) AS tmin,
+      CASE WHEN count(tmax) = count(*) THEN round(sum(tmax * sub_area) / sum(sub_area), 6) END AS tmax
+    FROM near JOIN f ON f.lon = cell_lon AND f.lat = cell_lat GROUP BY 1, 2, 3, 4""",
+)
+def _(spark, d):
+    known = (F.dayofyear("date") % 3 != 0) | (F.col("tmin") < F.col("tmax") - 8)
+    holes = grid(spark, d).withColumn("tmax", F.when(known, F.col("tmax")))
+    out = climate.basin_climate(holes, subbasins(spark, d), layout="era5")
+    return rounded(out.select("basin", "member", "init_date", "date", "tmin", "tmax"), ["basin", "member", "init_date", "date"], 6)

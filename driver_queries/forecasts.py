@@ -68,8 +68,18 @@ def _(spark, d):
     holes = measures(spark, d).select(
         "gage_id", "member", "date", F.when(F.col("m2") > 30, F.col("m2")).alias("m2"), F.when(F.col("m3") < 90, F.col("m3")).alias("m3")
     )
-    # A small exact_rows makes the histogram passes do the work even on small tables.
-    return rounded(gaps.fill_median(holes, ["m2", "m3"], bins=64, exact_rows=500), ["gage_id", "member", "date"])
+    return rounded(gaps.fill_median(holes, ["m2", "m3"], bins=64), ["gage_id", "member", "date"])
+
+
+@query(
+    "g5_infinite",
+    f"""WITH {MEASURES}, h AS (SELECT gage_id, member, date, CASE WHEN m2 > 60 THEN 'inf'::DOUBLE WHEN m2 > 30 THEN m2 WHEN m2 < 5 THEN '-inf'::DOUBLE END AS m2 FROM measures)
+    SELECT gage_id, member, date, round(coalesce(m2, (SELECT median(m2) FROM h)), 4) AS m2 FROM h""",
+)
+def _(spark, d):
+    inf, m2 = F.lit(float("inf")), F.col("m2")
+    holes = measures(spark, d).select("gage_id", "member", "date", F.when(m2 > 60, inf).when(m2 > 30, m2).when(m2 < 5, -inf).alias("m2"))
+    return rounded(gaps.fill_median(holes, ["m2"]), ["gage_id", "member", "date"])
 
 
 @query(
@@ -191,6 +201,20 @@ def _(spark, d):
     return rounded(forecast.forecast_quantiles(traces(spark, d), START, observed(spark, d), keys=GAGE), ["gage_id", "date"], 6)
 
 
+# One total per trace that stops at its first gap; a quantile needs a value of some trace.
+@query(
+    "f2_with_gaps",
+    f"""WITH {MEASURES}, t AS (SELECT gage_id, member, param_id, date, CASE WHEN (dayofyear(date) + param_id) % 60 <> 0 THEN sim END AS v FROM traces
+      WHERE date >= DATE '{START}' AND date < DATE '{START}' + INTERVAL 1 YEAR),
+    c AS (SELECT gage_id, date, CASE WHEN count(*) FILTER (v IS NULL) OVER w = 0 THEN sum(v) OVER w END AS c FROM t WINDOW w AS (PARTITION BY gage_id, member, param_id ORDER BY date)),
+    pred AS (SELECT gage_id, date, {", ".join(f"quantile_cont(c, {p}) AS Pred_{q}" for q, p in forecast.QUANTILES.items())} FROM c GROUP BY 1, 2)
+    SELECT gage_id, date, {round_sql(PRED, 6)} FROM pred""",
+)
+def _(spark, d):
+    holes = traces(spark, d).withColumn("sim", F.when((F.dayofyear("date") + F.col("param_id")) % 60 != 0, F.col("sim")))
+    return rounded(forecast.forecast_quantiles(holes, START, keys=GAGE), ["gage_id", "date"], 6)
+
+
 @query(
     "p20_overlay_observed",
     f"""WITH {MEASURES} SELECT t.gage_id, member, CAST(param_id AS INTEGER) AS param_id, round(sum(coalesce(g.q, t.sim)), 7) AS total FROM traces t
@@ -228,6 +252,17 @@ def _(spark, d):
     return forecast.water_year_history(daily(spark, d), START, "q", GAGE)
 
 
+@query(
+    "f4_with_gaps",
+    f"""WITH {MEASURES}, {PAST.replace("q FROM daily)", "CASE WHEN dayofyear(date) % 97 <> 0 THEN q END AS q FROM daily)")
+        .replace("sum(q) OVER w AS c", "CASE WHEN count(*) FILTER (q IS NULL) OVER w = 0 THEN sum(q) OVER w END AS c").replace("gage_id, date, q, CASE", "gage_id, date, CASE WHEN dayofyear(date) % 97 <> 0 THEN q END AS q, CASE")}
+    SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {', '.join(YEARS)} FROM past""",
+)
+def _(spark, d):
+    holes = daily(spark, d).withColumn("q", F.when(F.dayofyear("date") % 97 != 0, F.col("q")))
+    return forecast.water_year_history(holes, START, "q", GAGE)
+
+
 @query(
     "f4_storage_history",
     f"""WITH {MEASURES}, {PAST.replace("max(c)", "max(q)")} SELECT gage_id, CAST(day_of_wy AS INTEGER) AS day_of_wy, {', '.join(YEARS)} FROM past""",
@@ -377,13 +412,19 @@ dl AS (SELECT gage_id, dayofyear(date) AS doy, avg(loss) AS doy_loss FROM record
 a0 AS (SELECT tr.gage_id, member, param_id, date, s0, CASE WHEN sim <= 1 THEN 1 ELSE sim END AS x, dl.doy_loss, models.* EXCLUDE (gage_id)
   FROM tr JOIN l0 ON l0.gage_id = tr.gage_id JOIN models ON models.gage_id = tr.gage_id
   LEFT JOIN dl ON dl.gage_id = tr.gage_id AND dl.doy = dayofyear(tr.date) WHERE tr.date >= hi),
-a1 AS (SELECT *, greatest({_fit_sql('inflow', 'x')} + {_fit_sql('doy', 'doy_loss')}, 0) AS lif FROM a0),
-a2 AS (SELECT *, sum(x) OVER w AS cx, greatest(s0 + sum(x) OVER w - sum(lif / (1 - (stor_log_weight + stor_lin_weight))) OVER w, 1) AS s1 FROM a1
-  WINDOW w AS (PARTITION BY gage_id, member, param_id ORDER BY date)),
-a3 AS (SELECT *, greatest(lif + {_fit_sql('stor', 's1')}, 0) AS lt FROM a2),
-proj AS (SELECT gage_id, member, param_id, date, greatest(s0 + cx - sum(lt) OVER (PARTITION BY gage_id, member, param_id ORDER BY date), 1) AS stor FROM a3)"""
-def projected(spark, d):
-    levels = reservoir(spark, d).filter(F.col("date") < START)
+a1 AS (SELECT *, CASE WHEN z < 0 THEN 0 ELSE z END AS lif FROM (SELECT *, {_fit_sql('inflow', 'x')} + {_fit_sql('doy', 'doy_loss')} AS z FROM a0)),
+a2 AS (SELECT * EXCLUDE (z), CASE WHEN y < 1 THEN 1 ELSE y END AS s1 FROM (
+  SELECT *, CASE WHEN count(*) FILTER (x IS NULL) OVER w = 0 THEN sum(x) OVER w END AS cx,
+    CASE WHEN count(*) FILTER (x IS NULL OR lif IS NULL) OVER w = 0 THEN s0 + sum(x) OVER w - sum(lif / (1 - (stor_log_weight + stor_lin_weight))) OVER w END AS y FROM a1
+  WINDOW w AS (PARTITION BY gage_id, member, param_id ORDER BY date))),
+a3 AS (SELECT * EXCLUDE (z), CASE WHEN z < 0 THEN 0 ELSE z END AS lt FROM (SELECT *, lif + {_fit_sql('stor', 's1')} AS z FROM a2)),
+proj AS (SELECT gage_id, member, param_id, date, CASE WHEN z < 1 THEN 1 ELSE z END AS stor FROM (
+  SELECT *, CASE WHEN count(*) FILTER (lt IS NULL) OVER w = 0 THEN s0 + cx - sum(lt) OVER w END AS z FROM a3
+  WINDOW w AS (PARTITION BY gage_id, member, param_id ORDER BY date)))"""
+
+
+def projected(spark, d, unseen=0):
+    levels = reservoir(spark, d).filter(F.col("date") < START).filter(F.dayofyear("date") != unseen)
     records = res.loss_records(levels, GAGE).persist()  # models, last level and seasonal means
     inflow = traces(spark, d).withColumnRenamed("sim", "inflow")
     return res.project_storage(inflow, records, res.loss_models(records, GAGE), GAGE)
@@ -397,6 +438,15 @@ def _(spark, d):
     return rounded(projected(spark, d), ["gage_id", "member", "param_id", "date"], 4)
 
 
+@query(
+    "w5_unseen_day",
+    f"""WITH {PROJECT.replace(f"WHERE date < DATE '{START}')", f"WHERE date < DATE '{START}' AND dayofyear(date) <> 330)")}
+    SELECT gage_id, member, CAST(param_id AS INTEGER) AS param_id, date, round(stor, 4) AS stor FROM proj""",
+)
+def _(spark, d):
+    return rounded(projected(spark, d, unseen=330), ["gage_id", "member", "param_id", "date"], 4)
+
+
 @query(
     "w6_storage_quantiles",
     f"""WITH {PROJECT} SELECT gage_id, date, {", ".join(f"round(quantile_cont(stor, {p}), 4) AS Pred_{q}" for q, p in forecast.QUANTILES.items())}

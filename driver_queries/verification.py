@@ -90,6 +90,24 @@ def _(spark, d):
     return rounded(out, [*TRACE_KEYS, "lead", "date", "start_date"], 7)
 
 
+_GAPS = (
+    HINDCAST.replace("sim AS pred", "CASE WHEN day(t.date) <> 17 OR month(t.date) % 4 <> 0 THEN sim END AS pred")
+    .replace("avg(pred) AS p", "CASE WHEN count(pred) = count(*) THEN avg(pred) END AS p")
+    .replace("sum(p * n) OVER w AS pred", "CASE WHEN count(p) OVER w = count(*) OVER w THEN sum(p * n) OVER w END AS pred")
+)
+
+
+@query(
+    "v2_with_gaps",
+    f"""WITH {_GAPS} SELECT gage_id, init_date, member, CAST(param_id AS INTEGER) AS param_id, CAST(lead AS INTEGER) AS lead, date,
+    round(pred, 7) AS pred, round(act, 7) AS act FROM leads""",
+)
+def _(spark, d):
+    known = (F.dayofmonth("date") != 17) | (F.month("date") % 4 != 0)
+    holes = hindcast(spark, d).withColumn("pred", F.when(known, F.col("pred")))
+    return rounded(verify.lead_months(holes, GAGE), [*TRACE_KEYS, "lead", "date"], 7)
+
+
 @query(
     "v3_lead_months_storage",
     f"""WITH {HINDCAST} SELECT gage_id, init_date, member, CAST(param_id AS INTEGER) AS param_id, CAST(lead AS INTEGER) AS lead, fd + 14 AS date,

@@ -45,7 +45,8 @@ def basin_climate(
     """Area-weighted tmin, tmax, tavg, ppt and pet per basin and time step.
 
     Forecast layouts (seas5, seas5Multi) repair crossed temperatures first; era5 does
-    not. Partition a write by init_date to get one output per initialisation.
+    not. Partition a write by init_date to get one output per initialisation. A mean with a
+    cell unknown is unknown: fill the grid first (see plans.climate).
     """
     if layout != "era5":
         grid = grid.withColumn("tmin", ordered_tmin(F.col("tmin"), F.col("tmax")))
@@ -53,7 +54,7 @@ def basin_climate(
     joined = grid.join(weights, ["lon", "lat"])
 
     def mean(v: str):
-        return F.try_divide(F.sum(F.col(v) * F.col("area")), F.sum("area"))
+        return F.when(F.count(v) == F.count("*"), F.try_divide(F.sum(F.col(v) * F.col("area")), F.sum("area")))
 
     out = joined.groupBy("basin", *by).agg(
         adjust(mean("tmin"), offset=temp_offset).alias("tmin"),

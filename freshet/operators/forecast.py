@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.calendar import with_calendar
 from freshet.functions.cleaning import overlay_observed, signif
+from freshet.functions.moments import running_total
 
 BASIN = ["basin"]
 TRACE = ["member", "param_id"]
@@ -129,7 +130,8 @@ def forecast_quantiles(
 ) -> DataFrame:
     """Quantiles across traces by date in the water year; flow accumulates, storage does not.
 
-    Days already observed in this water year take the observation in every trace.
+    Days already observed in this water year take the observation in every trace. A trace's
+    total is unknown from its first day without a value on.
     """
     start = F.lit(water_year_start).cast("date")
     this_year = traces.filter((F.col("date") >= start) & (F.col("date") < F.add_months(start, 12)))
@@ -137,21 +139,24 @@ def forecast_quantiles(
         this_year = overlay_observed(this_year, observed, [*keys, "date"], value, since=water_year_start)
     if cumulative:
         one = Window.partitionBy(*keys, *trace).orderBy("date")
-        this_year = this_year.withColumn(value, F.sum(value).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+        this_year = this_year.withColumn(value, running_total(value, one.rowsBetween(Window.unboundedPreceding, 0)))
     return quantile_columns(this_year, [*keys, "date"], value, "Pred")
 
 
 def water_year_history(
     history: DataFrame, water_year_start: str, value: str = "flow", keys: Sequence[str] = BASIN, cumulative: bool = True
 ) -> DataFrame:
-    """WaterYear_Curr and _1YrAgo.._3YrAgo by day index; the 366th day of a year is dropped."""
+    """WaterYear_Curr and _1YrAgo.._3YrAgo by day index; the 366th day of a year is dropped.
+
+    A year's total is unknown from its first day without a value on.
+    """
     start = F.lit(water_year_start).cast("date")
     years_ago = F.when(F.col("date") >= start, 0)
     for k in (1, 2, 3):
         years_ago = years_ago.when(F.col("date") >= F.add_months(start, -12 * k), k)
     rows = history.select(*keys, "date", F.col(value).alias("v"), years_ago.alias("_ago")).filter("_ago is not null")
     year = Window.partitionBy(*keys, "_ago").orderBy("date")
-    level = F.sum("v").over(year.rowsBetween(Window.unboundedPreceding, 0)) if cumulative else F.col("v")
+    level = running_total("v", year.rowsBetween(Window.unboundedPreceding, 0)) if cumulative else F.col("v")
     rows = rows.withColumns({"day_of_wy": F.row_number().over(year), "_level": level}).filter("day_of_wy <= 365")
     names = {0: "WaterYear_Curr", 1: "WaterYear_1YrAgo", 2: "WaterYear_2YrAgo", 3: "WaterYear_3YrAgo"}
     return rows.groupBy(*keys, "day_of_wy").agg(

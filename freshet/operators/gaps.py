@@ -6,6 +6,7 @@ a running frame: a frame that reaches forward without bound recomputes its
 aggregate for each row.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,45 +79,50 @@ def fill_next(df: DataFrame, keys: Sequence[str], order: str, value: str, out: s
     return df.withColumn(out or value, later)
 
 
-def fill_median(df: DataFrame, values: Sequence[str], bins: int = 4096, exact_rows: int = 50_000) -> DataFrame:
+def fill_median(df: DataFrame, values: Sequence[str], bins: int = 4096) -> DataFrame:
     """Null becomes the exact median of its variable over the whole grid.
 
     The medians come from exact_medians, so no task ever holds a variable whole.
     """
-    medians = exact_medians(df, values, bins, exact_rows)
+    medians = exact_medians(df, values, bins)
     return df.withColumns({v: F.coalesce(F.col(v), F.lit(medians[v]).cast("double")) for v in values})
 
 
-def exact_medians(
-    df: DataFrame, values: Sequence[str], bins: int = 4096, exact_rows: int = 50_000
-) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, values: Sequence[str], bins: int = 4096) -> dict[str, float | None]:
     """Exact medians of unbounded columns by histogram refinement.
 
     A pass over the table counts, for every wanted rank at once, the values of the rank's
     remaining bracket in equal bins. Counts combine before the shuffle and the driver sees
     at most `bins` + 1 of them per rank. The bracket then narrows to the bin that holds the
-    rank. A bin of at most exact_rows rows, or of one value, settles it.
+    rank, until one value is left: the ends of a bracket fall into different bins, so each
+    pass narrows it. Infinities are counted apart, NaN is no value.
     """
     data = df.select(*[F.when(~F.isnan(v), F.col(v).cast("double")).alias(v) for v in values])
+    inf = F.lit(float("inf"))
     head = data.agg(
         *[F.count(v).alias(f"n_{v}") for v in values],
-        *[F.min(v).alias(f"lo_{v}") for v in values],
-        *[F.max(v).alias(f"hi_{v}") for v in values],
+        *[F.count_if(F.col(v) == -inf).alias(f"below_{v}") for v in values],
+        *[F.count_if(F.col(v) == inf).alias(f"above_{v}") for v in values],
+        *[F.min(F.when(F.abs(v) < inf, F.col(v))).alias(f"lo_{v}") for v in values],
+        *[F.max(F.when(F.abs(v) < inf, F.col(v))).alias(f"hi_{v}") for v in values],
     ).first()
     found: dict[tuple[str, int], float] = {}
     open_ranks = {}
     for v in values:
-        for rank in {(head[f"n_{v}"] - 1) // 2, head[f"n_{v}"] // 2} if head[f"n_{v}"] else ():
-            lo, hi = head[f"lo_{v}"], head[f"hi_{v}"]
-            open_ranks[(v, rank)] = (lo, hi, rank, head[f"n_{v}"])
+        n, below, above = head[f"n_{v}"], head[f"below_{v}"], head[f"above_{v}"]
+        for rank in {(n - 1) // 2, n // 2} if n else ():
+            if rank < below:
+                found[(v, rank)] = -math.inf
+            elif rank >= n - above:
+                found[(v, rank)] = math.inf
+            else:
+                open_ranks[(v, rank)] = (head[f"lo_{v}"], head[f"hi_{v}"], rank - below)
     while open_ranks:
-        small = {k: b for k, b in open_ranks.items() if b[3] <= exact_rows or b[0] == b[1]}
-        for key, rows in _bracket_rows(data, small, None).items():
-            found[key] = _pick(rows, small[key][2])[0]["lo"]
-        open_ranks = {k: b for k, b in open_ranks.items() if k not in small}
+        found |= {k: lo for k, (lo, hi, _) in open_ranks.items() if lo == hi}
+        open_ranks = {k: b for k, b in open_ranks.items() if b[0] != b[1]}
         for key, rows in _bracket_rows(data, open_ranks, bins).items():
             row, left = _pick(rows, open_ranks[key][2])
-            open_ranks[key] = (row["lo"], row["hi"], left, row["n"])
+            open_ranks[key] = (row["lo"], row["hi"], left)
     out: dict[str, float | None] = {}
     for v in values:
         middle = [x for (name, _), x in found.items() if name == v]
@@ -133,17 +139,17 @@ def _pick(rows: list, rank: int) -> tuple:
     raise AssertionError("rank beyond the bracket")
 
 
-def _bracket_rows(data: DataFrame, brackets: dict, bins: int | None) -> dict[tuple[str, int], list]:
-    """Counts of each bracket's values by bin, or by value when bins is None, in order."""
+def _bracket_rows(data: DataFrame, brackets: dict, bins: int) -> dict[tuple[str, int], list]:
+    """Counts of each bracket's values by bin, in order."""
     if not brackets:
         return {}
     keys = list(brackets)
     entries = []
     for i, key in enumerate(keys):
-        lo, hi, _, _ = brackets[key]
+        lo, hi, _ = brackets[key]
         v = F.col(key[0])
         # Halving first keeps the width of a bracket finite.
-        step = (hi / 2 - lo / 2) / bins if bins else 0.0
+        step = (hi / 2 - lo / 2) / bins
         slot = F.floor((v / 2 - lo / 2) / step).cast("double") if step else v
         entries.append(
             F.when(v.between(lo, hi), F.struct(F.lit(i).alias("i"), slot.alias("slot"), v.alias("v")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.cleaning import drop_until_complete, floor_at
+from freshet.functions.moments import running_total
 from freshet.functions.units import cfs_to_acft_day
 from freshet.operators.forecast import TRACE, quantile_columns
 from freshet.operators.gaps import interpolate_linear
@@ -108,7 +109,8 @@ def project_storage(
 
     Loss from inflow and season gives a first storage; the storage fits at that level
     complete the loss, and one more water balance gives the result. Storage stays at
-    1 or more.
+    1 or more. An unknown inflow, or a day of year that the records never had a loss for,
+    leaves the storage unknown from there on.
     """
     last = records.groupBy(*keys).agg(F.max(F.struct("date", "stor")).alias("_l"))
     state = models.join(last.select(*keys, F.col("_l.date").alias("_from"), F.col("_l.stor").alias("_s0")), list(keys))
@@ -121,18 +123,21 @@ def project_storage(
     )
     so_far = Window.partitionBy(*keys, *trace).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     ahead = ahead.withColumn(
-        "_loss_if", F.greatest(_weighted_fit("inflow", F.col("_in")) + _weighted_fit("doy", F.col("doy_loss")), F.lit(0.0))
+        "_loss_if", floor_at(_weighted_fit("inflow", F.col("_in")) + _weighted_fit("doy", F.col("doy_loss")), 0.0)
     )
     stor_share = F.col("stor_log_weight") + F.col("stor_lin_weight")
     ahead = ahead.withColumns(
-        {"_cum_in": F.sum("_in").over(so_far), "_cum_if": F.sum(F.try_divide(F.col("_loss_if"), 1 - stor_share)).over(so_far)}
+        {
+            "_cum_in": running_total("_in", so_far),
+            "_cum_if": running_total(F.try_divide(F.col("_loss_if"), 1 - stor_share), so_far),
+        }
     )
     first = floor_at(F.col("_s0") + F.col("_cum_in") - F.col("_cum_if"), 1.0)
     ahead = ahead.withColumn("_s1", first).withColumn(
-        "_loss", F.greatest(F.col("_loss_if") + _weighted_fit("stor", F.col("_s1")), F.lit(0.0))
+        "_loss", floor_at(F.col("_loss_if") + _weighted_fit("stor", F.col("_s1")), 0.0)
     )
-    ahead = ahead.withColumn("_cum_loss", F.sum("_loss").over(so_far))
-    stor = F.greatest(F.col("_s0") + F.col("_cum_in") - F.col("_cum_loss"), F.lit(1.0))
+    ahead = ahead.withColumn("_cum_loss", running_total("_loss", so_far))
+    stor = floor_at(F.col("_s0") + F.col("_cum_in") - F.col("_cum_loss"), 1.0)
     return ahead.select(*keys, *trace, "date", stor.alias("stor"))
 
 

@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# An axis up to this many values is sent to the tasks whole (a few MB); a longer one is
-# joined by tile like any table.
-BROADCAST_AXIS_VALUES = 100_000
+# Up to this many tiles of an axis are sent to the tasks whole (a few MB); more are joined like
+# any table.
+BROADCAST_TILES = 100_000
 
 
 def _edges(ring: Column) -> Column:
@@ -74,8 +74,8 @@ def nearest_on_axis(
 
     The axis is cut into tiles; a point only meets the values of its own tile and the one
     value beyond it on either side, so no point meets the whole axis. Points outside the
-    axis take its end. The tile table has at most range / tile rows. The axis is counted
-    before it is broadcast.
+    axis take its end; a point without a coordinate (null or NaN) has no nearest value. The
+    tile table has range / tile rows, and is broadcast only if those are few.
     """
     order = F.col(rank) if rank else F.col(value)
     lines = (
@@ -88,10 +88,11 @@ def nearest_on_axis(
     own = lines.groupBy("_tile").agg(
         F.collect_list(line).alias("_own"), F.min(line).alias("_lo"), F.max(line).alias("_hi")
     )
-    ends = lines.agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    spine = ends.select(
-        "_min", "_max", F.explode(F.sequence(F.floor(F.col("_min") / tile), F.floor(F.col("_max") / tile))).alias("_tile")
-    )
+    low, high, first, last = lines.agg(F.min("_v"), F.max("_v"), F.min("_tile"), F.max("_tile")).first()
+    lines.unpersist()
+    if low is None:
+        return points.withColumn(out, F.lit(None).cast("double"))
+    spine = points.sparkSession.range(first, last + 1).withColumnRenamed("id", "_tile")
     up, down = Window.orderBy("_tile"), Window.orderBy(F.desc("_tile"))
     tiles = (
         spine.join(own, "_tile", "left")
@@ -108,19 +109,13 @@ def nearest_on_axis(
             ).alias("_near"),
         )
     )
-    # The axis ends are one row: an attribute of the axis, not a table to multiply with.
-    bounds = ends.withColumn("_one", F.lit(1))
-    placed = (
-        points.withColumn("_one", F.lit(1))
-        .join(F.broadcast(bounds), "_one")
-        .withColumn("_x", F.greatest(F.least(F.col(at).cast("double"), F.col("_max")), F.col("_min")))
-        .withColumn("_tile", F.floor(F.col("_x") / tile))
-        .drop("_one", "_min", "_max")
-    )
+    x = F.col(at).cast("double")
+    inside = F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
+    placed = points.withColumn("_x", inside).withColumn("_tile", F.floor(F.col("_x") / tile))
     best = F.array_min(
         F.transform("_near", lambda c: F.struct(F.abs(c["v"] - F.col("_x")).alias("d"), c["r"].alias("r"), c["v"].alias("v")))
     )
-    if lines.count() <= BROADCAST_AXIS_VALUES:
+    if last - first < BROADCAST_TILES:
         tiles = F.broadcast(tiles)
     return placed.join(tiles, "_tile", "left").withColumn(out, best["v"]).drop("_tile", "_x", "_near")
 

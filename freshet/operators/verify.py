@@ -39,7 +39,7 @@ def _months_in_order(hindcast: DataFrame, keys: Sequence[str], trace: Sequence[s
     months = hindcast.groupBy(*keys, *trace, F.month("date").alias("month")).agg(
         F.min("date").alias("first_day"),
         F.count("*").alias("_days"),
-        F.avg("pred").alias("_pred"),
+        F.when(F.count("pred") == F.count("*"), F.avg("pred")).alias("_pred"),
         F.avg("obs").alias("_obs"),
     )
     order = Window.partitionBy(*keys, *trace).orderBy("first_day")
@@ -49,8 +49,9 @@ def _months_in_order(hindcast: DataFrame, keys: Sequence[str], trace: Sequence[s
 def lead_months(hindcast: DataFrame, keys: Sequence[str] = BASIN, trace: Sequence[str] = TRACE) -> DataFrame:
     """Cumulative predicted and observed flow of each trace by lead month, from daily means.
 
-    The date is the 15th day of the month's rows. A month without an observation leaves
-    the observed total unknown from there on.
+    The date is the 15th day of the month's rows. A day without a prediction leaves the
+    month's prediction, and the total from there on, unknown; so does a month without any
+    observation for the observed total.
     """
     so_far = Window.partitionBy(*keys, *trace).orderBy("lead").rowsBetween(Window.unboundedPreceding, 0)
 
@@ -143,7 +144,9 @@ def skill_maps(skill: DataFrame, keys: Sequence[str] = BASIN, cap: float | None
     aggs = []
     for name in ("25", "50", "75"):
         p, c = F.col(f"predMAE{name}"), F.col(f"climMAE{name}")
-        relative = F.median(F.try_divide(F.abs(p) - F.abs(c), F.abs(c))) * 100
+        # An exact climatology is infinitely better than any error.
+        share = F.when((c == 0) & (p != 0), F.lit(float("inf"))).otherwise(F.try_divide(F.abs(p) - F.abs(c), F.abs(c)))
+        relative = F.median(share) * 100
         if cap is not None:
             relative = F.when(relative > 100, F.lit(cap)).otherwise(relative)
         aggs += [F.median(p).alias(f"absMae{name}"), relative.alias(f"relMae{name}")]

@@ -105,7 +105,7 @@ def test_long_axes_join_by_tile_with_the_same_result(spark, monkeypatch):
     axis = spark.range(500).select((F.col("id") * 0.37).alias("v"))
     points = spark.range(300).select((F.col("id") * 0.713 - 5).alias("x"))
     small = spatial.nearest_on_axis(points, axis, "x", "v").collect()
-    monkeypatch.setattr(spatial, "BROADCAST_AXIS_VALUES", 10)
+    monkeypatch.setattr(spatial, "BROADCAST_TILES", 10)
     large = spatial.nearest_on_axis(points, axis, "x", "v").collect()
     assert sorted(small) == sorted(large)
 
@@ -126,4 +126,3 @@ def test_no_temporary_checkpoints_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         graph.ensure_checkpoint_dir(Session())
-    assert F is not None

@@ -40,14 +40,14 @@ def test_interpolation_and_ends(spark):
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=300))
 def test_histogram_medians_are_exact(spark, numbers):
     df = spark.createDataFrame([(float(x), float(-x)) for x in numbers] + [(None, None)], "x double, y double")
-    got = gaps.exact_medians(df, ["x", "y"], bins=4, exact_rows=3)
+    got = gaps.exact_medians(df, ["x", "y"], bins=4)
     assert got["x"] == pytest.approx(np.median(numbers)) and got["y"] == pytest.approx(-np.median(numbers))
 
 
 def test_medians_when_one_value_holds_a_third_of_the_rows(spark):
     df = spark.range(3001).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") / 7.0).alias("x"))
     want = float(np.median([5.0 if i % 3 == 0 else i / 7.0 for i in range(3001)]))
-    assert gaps.exact_medians(df, ["x"], bins=8, exact_rows=50)["x"] == pytest.approx(want)
+    assert gaps.exact_medians(df, ["x"], bins=8)["x"] == pytest.approx(want)
 
 
 def test_median_of_nothing_is_null(spark):

@@ -76,7 +76,7 @@ def test_contingency_sums_to_one_and_maps(spark):
         assert all(r["s"] == pytest.approx(1) for r in sums)
     maps = {r["month"]: r for r in verify.skill_maps(skill).collect()}
     assert maps[2]["med_hit_rate"] == 1 and maps[3]["med_hit_rate"] == 0 and maps[1]["low_hit_rate"] is None
-    assert maps[3]["relMae50"] is None  # the climatology is exactly right: no relative error
+    assert maps[3]["relMae50"] == 99.9  # the climatology is exactly right: any error is infinitely worse
     assert verify.skill_maps(skill, cap=None).filter("relMae25 > 100").count() >= maps[3]["relMae25"] // 99.9
 
 
@@ -154,3 +154,19 @@ def test_monthly_tables_and_split(spark):
     assert features.split_rows(df, share=0.75, validate="rest").filter("is_validation").count() == 25
     assert features.split_by_date(df, "2001-04-01").filter("is_validation").count() == 10
     assert math.isclose(features.mean_loss_by_month(features.monthly_table(df)).first()["mean_loss"], 2 * 30.4375)
+
+
+def test_a_month_without_inflow_or_loss_stops_the_projection(spark):
+    rows = [("a", 1, 100.0, 10.0, 5.0, 5.0, 0.5), ("a", 2, 100.0, None, 5.0, 5.0, 0.5), ("a", 3, 100.0, 10.0, 5.0, 5.0, 0.5)]
+    rows += [("b", 1, 100.0, 10.0, 5.0, 5.0, 0.5), ("b", 2, 100.0, 10.0, None, 5.0, 0.5)]
+    months = spark.createDataFrame(rows, "trace string, lead int, stor0 double, inflow double, mean_loss double, model_loss double, r2 double")
+    got = {(r["trace"], r["lead"]): r["stor"] for r in features.project_months(months, ["trace"]).collect()}
+    assert got == {("a", 1): 105.0, ("a", 2): None, ("a", 3): None, ("b", 1): 105.0, ("b", 2): None}
+
+
+def test_an_exact_climatology_shows_as_the_cap(spark):
+    rows = [("g", 1, 1, 2, 2, *[5.0, 0.0] * 3), ("g", 1, 1, 2, 2, *[3.0, 0.0] * 3), ("g", 1, 1, 2, 2, *[1.0, 2.0] * 3)]
+    names = ", ".join(f"{w}MAE{q} double" for q in ("25", "50", "75") for w in ("pred", "clim"))
+    skill = spark.createDataFrame(rows, f"basin string, leadTime int, month int, predTerc int, actTerc int, {names}")
+    got = verify.skill_maps(skill, ["basin"]).first()
+    assert got["relMae50"] == 99.9 and got["absMae50"] == 3.0
