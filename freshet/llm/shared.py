@@ -116,12 +116,16 @@ def merge_buckets(
     """
     links = labels = None
     before = 0
+    # A pair is compared in the first bucket that it shares: 32 bits of each key tell which.
+    carry = [*carry, "marks"]
+    met = met.withColumn("marks", F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    near = f"{near} and array_position(zip_with(marks_a, marks_b, (x, y) -> x = y), true) = band_a + 1"
     for turn in range(turns + 1):
         now = met.withColumn("label", F.col("id"))
         if labels is not None:
             now = met.join(labels.withColumnRenamed("node", "id"), "id", "left")
             now = now.withColumn("label", F.coalesce("component", "id")).drop("component")
-        entry = now.select(F.explode("keys").alias("key"), "id", "label", *carry)
+        entry = now.select(F.posexplode("keys").alias("band", "key"), "id", "label", *carry)
         mixed = entry.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         mixed = stage.keep(mixed.select("key"), "mixed")
         open_ = stage.keep(entry.join(mixed, "key", "left_semi"), "open")
@@ -139,7 +143,7 @@ def merge_buckets(
         last = turn == turns or (turn > 0 and (left <= left_rows or 2 * left > before))
         before = left
         side_a, side_b = (
-            ["key", f"id as {x}", f"label as label_{x}", *[f"{c} as {c}_{x}" for c in carry]] for x in "ab"
+            ["key", f"band as band_{x}", f"id as {x}", f"label as label_{x}", *[f"{c} as {c}_{x}" for c in carry]] for x in "ab"
         )
         if last:
             top = by_key.selectExpr("key", "top.label as top")
