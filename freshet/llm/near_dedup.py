@@ -15,6 +15,8 @@ UNIVERSE_BITS = 20
 LEFT_PER_ROW = 20
 # Longs of 30 two-bit coordinates that a sketch keeps.
 SKETCH = 4
+# Longs of parity bits: bit i tells whether an odd number of shingles fall on i.
+PARITY = 8
 
 
 def near_duplicates(
@@ -39,9 +41,10 @@ def near_duplicates(
     leader at a time is compared with the members of other components, and links merge
     components, so a large group of copies costs one pair per member, not all pairs. What is
     left (members outside a bucket's largest component) is compared with all members of
-    other components. Pairs whose sizes rule the similarity out, or whose 120 two-bit
-    coordinates agree six deviations too rarely (one true pair in a billion), are not
-    fetched; all others are compared exactly, on full sets.
+    other components. Three bounds spare pairs the exact comparison: sizes too unlike; more
+    differing parity bits than shingles may differ (each such bit needs one of its own, so
+    no link is lost); 120 two-bit coordinates that agree six deviations too rarely (one true
+    pair in a billion). All others are compared exactly, on full sets.
 
     Edge cases: a null or empty text, or one without words, has an empty set, is linked with
     nothing and stays. A row without doc_id stays, with a null component. Rows that repeat a
@@ -53,7 +56,7 @@ def near_duplicates(
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
 
     sets = stage.keep(
-        source.mapInArrow(_signer(words, bands, rows), "id long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"), "sets"
+        source.mapInArrow(_signer(words, bands, rows), "id long, n long, f1 long, f2 long, keys array<long>, sketch array<long>, parity array<long>"), "sets"
     )
     # Equal sets: the smallest id stands for all.
     first = stage.keep(
@@ -61,7 +64,10 @@ def near_duplicates(
     )
     member = stage.keep(
         sets.join(first, ["f1", "f2", "n"], "left").selectExpr(
-            "id", "n", "case when id is not null then coalesce(rep, id) end as rep", "case when id = rep then keys end as keys", "sketch"
+            "id",
+            "n",
+            "case when id is not null then coalesce(rep, id) end as rep",
+            *[f"case when id = rep then {c} end as {c}" for c in ("keys", "sketch", "parity")],
         ),
         "member",
     )
@@ -71,15 +77,16 @@ def near_duplicates(
     shared = stage.keep(entry.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
     ids = stage.keep(entry.join(shared, "key", "left_semi").select("id").distinct(), "ids")
     # Sketches and texts of the documents that meet another one.
-    met = member.filter("keys is not null").select(F.col("rep").alias("id"), "n", "keys", "sketch").dropDuplicates(["id"])
+    met = member.filter("keys is not null").select(F.col("rep").alias("id"), "n", "keys", "sketch", "parity").dropDuplicates(["id"])
     met = stage.keep(met.join(ids, "id", "left_semi"), "met")
     texts = stage.keep(source.join(ids, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "texts")
     size = member.count()
     stage.drop(shared, ids)
 
-    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {_agreement()} >= {agree}"
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    near += f" and {100 + percent} * {_differing()} <= {100 - percent} * (n_a + n_b) and {_agreement()} >= {agree}"
     labels = merge_buckets(
-        stage, met, ["n", "sketch"], near, lambda pairs: _verified(pairs, texts, words, percent), LEFT_PER_ROW * size
+        stage, met, ["n", "sketch", "parity"], near, lambda pairs: _verified(pairs, texts, words, percent), LEFT_PER_ROW * size
     )
     stage.drop(met, texts)
     out = member.select("id", "n", "rep")
@@ -96,7 +103,7 @@ def near_duplicates(
 
 
 def _signer(words: int, bands: int, rows: int):
-    """Set size, two 64-bit fingerprints of the set, and a key for each band."""
+    """Set size, two 64-bit fingerprints of the set, a key for each band, sketch and parity bits."""
 
     def sign(batches):
         size, hashes = 1 << UNIVERSE_BITS, bands * rows
@@ -112,10 +119,15 @@ def _signer(words: int, bands: int, rows: int):
                 keys = np.zeros((len(n), bands), np.int64)
                 bits = np.zeros((len(n), SKETCH), np.int64)
                 prints = np.zeros((2, len(n)), np.uint64)
+                odd = np.zeros((len(n), PARITY), np.int64)
                 if len(some):
                     at = start[:-1][some]
                     for i, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
                         prints[i, some] = np.add.reduceat(ta.mix(value ^ np.uint64(salt)), at)
+                    spread = ta.mix(value ^ np.uint64(0x082EFA98EC4E6C89))
+                    bit, word = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) % np.uint64(PARITY)
+                    for w in range(PARITY):
+                        odd[some, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at).view(np.int64)
                     sigma = (ta.mix(value + np.uint64(0xA4093822299F31D0)) & mask).astype(np.intp)
                     for band in range(bands):
                         key = np.full(len(some), band + 1, np.uint64)
@@ -137,8 +149,11 @@ def _signer(words: int, bands: int, rows: int):
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(0, SKETCH * len(n) + 1, SKETCH, dtype=np.int32)), pa.array(bits.ravel())
                         ),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(0, PARITY * len(n) + 1, PARITY, dtype=np.int32)), pa.array(odd.ravel())
+                        ),
                     ],
-                    names=["id", "n", "f1", "f2", "keys", "sketch"],
+                    names=["id", "n", "f1", "f2", "keys", "sketch", "parity"],
                 )
 
     return sign
@@ -153,6 +168,11 @@ def _agreement() -> str:
     return "(" + " + ".join(each) + ")"
 
 
+def _differing() -> str:
+    """SQL: how many parity bits differ, at most the number of shingles that one set alone has."""
+    return "(" + " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY)) + ")"
+
+
 def _least_agreement(hashes: int, percent: int) -> int:
     """Six deviations below what a pair at the threshold agrees in; at two bits, a quarter agrees by chance."""
     n = 30 * SKETCH
