@@ -13,6 +13,8 @@ BANDS, ROWS = 10, 3
 # Coordinates of which a sketch keeps two bits.
 SKETCH = 30
 LEFT_PER_ROW = 20
+# Longs of parity bits: a bit tells whether an odd number of a line's shingles fall on it.
+PARITY = 4
 
 
 def _shingles(units: str, chars: int) -> Column:
@@ -69,6 +71,25 @@ def _agreement(least: int) -> str:
     return f"{SKETCH} - bit_count(({x} | shiftright({x}, 1)) & 6148914691236517205L) >= {least}"
 
 
+def _traits(texts: DataFrame, chars: int) -> DataFrame:
+    """id, n (distinct shingles), parity of lines: what bounds the similarity of two of them."""
+    units = texts.select("id", F.explode(F.array(F.encode("line", "UTF-16BE"))).alias("units"))
+    sets = units.select("id", F.explode(F.array(F.array_distinct(_shingles("units", chars)))).alias("h"))
+
+    def odd(word: int) -> Column:
+        own = F.filter("h", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARITY - 1)) == word)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return sets.select("id", F.size("h").alias("n"), F.array(*[odd(w) for w in range(PARITY)]).alias("parity"))
+
+
+def _possible(percent: int) -> str:
+    """SQL that every link meets: each parity bit that differs needs a shingle that one line alone has."""
+    differ = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY))
+    sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    return f"{sizes} and {100 + percent} * ({differ}) <= {100 - percent} * (n_a + n_b)"
+
+
 def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line of each document: doc_id, line_no, keep_doc, keep_line, kept.
 
@@ -80,7 +101,8 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     Method. A line's signature is made of the shingles that begin at its words (of all of them
     where words are few or long). Equal lines collapse by two 64-bit hashes. The rest meet in buckets of BANDS bands
     of ROWS MinHash coordinates (a pair whose signed shingles are 0.8 alike is missed once in 1,300 times), are compared
-    by merge_buckets(), exactly, and joined by distributed union-find. All in DataFrame
+    by merge_buckets(), exactly (unless their numbers of shingles or the parity bits of these rule
+    a link out, which loses none), and joined by distributed union-find. All in DataFrame
     functions; no group is gathered in one task.
 
     Edge cases: a null or empty text has one line without a word; a row without doc_id is left
@@ -112,7 +134,8 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     parts = body.select(F.split("t", "\n", -1).alias("parts"), "wanted").select("parts", F.explode("wanted").alias("w"))
     texts = parts.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("parts", F.col("w.line_no")))).alias("line"))
     texts = stage.keep(texts.dropDuplicates(["id"]), "texts")
-    stage.drop(entry, keys, ids)
+    bounded = stage.keep(met.select("id", "keys", "sketch").join(_traits(texts, chars), "id"), "bounded")
+    stage.drop(entry, keys, ids, met)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.selectExpr("id as a", "line as la"), "a").join(texts.selectExpr("id as b", "line as lb"), "b")
@@ -125,8 +148,10 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
 
     p = percent / 100 + (1 - percent / 100) / 4
     least = int(SKETCH * p - 6 * (SKETCH * p * (1 - p)) ** 0.5)
-    labels = merge_buckets(stage, met.select("id", "keys", "sketch"), ["sketch"], _agreement(least), verify, LEFT_PER_ROW * slim.count())
-    stage.drop(met, texts)
+    labels = merge_buckets(
+        stage, bounded, ["sketch", "n", "parity"], f"{_possible(percent)} and {_agreement(least)}", verify, LEFT_PER_ROW * slim.count()
+    )
+    stage.drop(bounded, texts)
     if labels is None:
         keeper = first.select("h1", "h2", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
     else:
