@@ -378,3 +378,29 @@ def test_chunks_carry_running_digests(spark, tmp_path):
     for r in rows:
         digest.update(r["data"])
         assert r["sha1"] == base64.b32encode(digest.digest()).decode() and r["last"] == (r["n_bytes"] == 10_000)
+
+
+def test_parity_bits_never_differ_more_than_the_sets():
+    import pyarrow as pa
+
+    import random
+
+    draw = random.Random(5)
+    texts = ["", None, "one"]
+    for n in (3, 40, 300, 3000):
+        words = [f"w{draw.randrange(n)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for share in (0.02, 0.1, 0.5):
+            texts.append(" ".join(f"x{draw.randrange(n)}" if draw.random() < share else w for w in words))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "t"])
+    got = [r for b in near_dedup._signer(2, 24, 5)([batch]) for r in b.to_pylist()]
+
+    def pairs(text):
+        words = (text or "").split()
+        return set(zip(words, words[1:])) or {tuple(words)} - {()}
+
+    for a, x in zip(got, texts):
+        for b, y in zip(got, texts):
+            differing = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(a["parity"], b["parity"]))
+            assert differing <= len(pairs(x) ^ pairs(y))
+            assert differing > 0 or pairs(x) == pairs(y)
