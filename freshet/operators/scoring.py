@@ -113,10 +113,21 @@ def best(
 
 
 def best_composite(
-    scored: DataFrame, keys: Sequence[str], counts: dict[str, int] | None = None, tie: str = "run_id"
+    scored: DataFrame,
+    keys: Sequence[str],
+    counts: dict[str, int] | None = None,
+    tie: str = "run_id",
+    cache: bool = True,
 ) -> DataFrame:
-    """Union of the best runs by each score; a run may appear once per score."""
+    """Union of the best runs by each score; a run may appear once per score.
+
+    Each score ranks all runs, so the scored table is cached (memory, then disk);
+    spark.catalog.clearCache() frees it after the write. With cache=False each score goes
+    back to the source.
+    """
     counts = counts or COMPOSITE_COUNTS
+    if cache:
+        scored = scored.persist()
     orders = {
         "kge": F.desc("kgeAll"),
         "bias": F.asc(F.abs("biasAll")),
