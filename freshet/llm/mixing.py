@@ -61,12 +61,14 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    row: str | None = None,
 ) -> DataFrame:
     """Which words of each document the mix takes.
 
     One row per document: doc_id, size (words), source, source_size, target (its source's
     tokens), taken (words, repeats counted) and spans, an array of (pass, first, end): the
-    word ranges that each pass over the document takes, end exclusive.
+    word ranges that each pass over the document takes, end exclusive. `row` names a column of
+    docs that the result has too.
 
     Sources in code point order, null last, have the weights in turn; `share` of all tokens is
     shared by weight, none over `most` times its source's tokens.
@@ -85,15 +87,19 @@ def mix(
 
     Edge cases: a null text has no words; such documents and empty ones take none; a null
     source is a source; a null doc_id is hashed as null; rows that repeat a doc_id are mixed
-    each by itself; other columns are not read; an empty table gives an empty result.
+    each by itself (of rows equal in doc_id, source and text, reruns may swap the ranges);
+    other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "mix")
+    own = [row] if row else []
     slim = stage.keep(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(F.col(text)).alias("h"),
+            *own,
         ),
         "sizes",
     )
@@ -118,9 +124,11 @@ def mix(
     quota = spark.createDataFrame(quotas, "source string, shard long, blocks long, passes long, extra long")
     quota = stage.keep(quota, "quota")
 
-    order = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size")
+    # By rows: with a range, equal rows would all stand at the end of the last of them.
+    order = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size", "h")
+    order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = placed.withColumn("mark", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("stop", F.sum("size").over(order))
-    run = stage.keep(run.select("doc_id", "size", "source", "source_size", "target", "shard", "stop"), "run")
+    run = stage.keep(run.select("doc_id", "size", "source", "source_size", "target", "shard", "stop", *own), "run")
     # The blocks that get one more pass are those up to the `extra`-th lowest hash of a shard.
     numbered = quota.filter("extra > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     numbered = numbered.withColumn("lot", F.xxhash64(F.lit(seed + 2), "source", "shard", "block"))
@@ -157,7 +165,7 @@ def mix(
     out = out.withColumn("spans", F.coalesce(spans, F.array().cast(kind)))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
     stage.drop(slim, quota)
-    return out.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "spans")
+    return out.select(*own, "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "spans")
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -193,16 +201,19 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
 
     A pass over a whole document keeps its text as it is; a pass that takes some ranges holds
     them in order, a line break between two. Documents of which nothing is taken go. A column
-    n_chars, if there is one, is set to the new text's length.
+    n_chars, if there is one, is set to the new text's length. Rows go by a number that they
+    get once docs is written, so rows that repeat a doc_id or have none are cut each by itself.
     """
-    plan = mix(docs, doc_id=doc_id, text=text, **options).filter("taken > 0")
-    parts = plan.select(F.col("doc_id").alias("_id"), "size", F.explode("spans").alias("s"))
-    parts = parts.groupBy("_id", "size", F.col("s.pass").alias("_pass")).agg(
+    # The written table fixes the numbers: the plan and the texts must read the same.
+    docs = Stage(docs.sparkSession, "mixed").keep(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    plan = mix(docs, doc_id=doc_id, text=text, row="_row", **options).filter("taken > 0")
+    parts = plan.select("_row", "size", F.explode("spans").alias("s"))
+    parts = parts.groupBy("_row", "size", F.col("s.pass").alias("_pass")).agg(
         F.sort_array(F.collect_list(F.struct("s.first", "s.end"))).alias("_cuts")
     )
     whole = (F.size("_cuts") == 1) & (F.col("_cuts")[0]["end"] - F.col("_cuts")[0]["first"] == F.col("size"))
-    parts = parts.select("_id", "_pass", F.when(~whole, F.col("_cuts")).alias("_cuts"))
-    joined = docs.join(parts, F.col(doc_id).eqNullSafe(F.col("_id")))
+    parts = parts.select("_row", F.when(~whole, F.col("_cuts")).alias("_cuts"))
+    joined = docs.join(parts, "_row")
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
@@ -219,7 +230,7 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
     joined = joined.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_cuts"))))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+    return joined.select([c for c in docs.columns if c != "_row"])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

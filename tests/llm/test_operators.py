@@ -214,6 +214,30 @@ def test_mix_of_awkward_rows(awkward, nothing):
     assert mixing.mix(nothing).collect() == []
 
 
+def test_apply_mix_cuts_each_row_by_itself(spark):
+    rows = [(7, " ".join(f"same{i}" for i in range(40)))] * 2  # equal rows
+    rows += [(8, "two sizes of one id"), (8, " ".join(f"long{i}" for i in range(90)))]
+    rows += [(9, " ".join(f"{c}{i}" for i in range(30))) for c in "pq"]  # one id, one size, two texts
+    rows += [(None, " ".join(f"null{j}x{i}" for i in range(20 + j // 2))) for j in range(6)]
+    rows += [(None, None), (None, ""), (10, None)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    size = sum(len(words(t)) for _, t in rows if t)
+    for share, most in ((1.5, 2), (0.6, 2), (2.0, 2)):
+        plan = mixing.mix(docs, share=share, most=most, block=4).collect()
+        assert len(plan) == len(rows) and abs(sum(r["taken"] for r in plan) - share * size) <= 4
+        out = mixing.apply_mix(docs, share=share, most=most, block=4)
+        assert out.columns == docs.columns
+        got = collections.Counter()
+        for r in out.collect():
+            got.update((r["doc_id"], w) for w in words(r["text"]))
+        held = collections.Counter((i, w) for i, t in rows for w in words(t or ""))
+        assert abs(got.total() - share * size) <= 4
+        # No row's words come more than `most` times, nor from a row of another id.
+        assert all(n <= most * held[w] for w, n in got.items())
+        if share == 2.0:
+            assert got == held + held and out.count() == 2 * 12
+
+
 def test_apportionment_is_by_highest_quotients():
     votes, seats = [53.0, 24.0, 23.0, 0.0], 17
     want = [0] * 4
