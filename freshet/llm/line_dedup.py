@@ -10,8 +10,6 @@ from freshet.llm.shared import WORD, Stage, documents, merge_buckets
 CHARS = 10
 # Of 32 coordinates, 30 are banded.
 BANDS, ROWS = 10, 3
-# Coordinates of which a sketch keeps two bits.
-SKETCH = 30
 LEFT_PER_ROW = 20
 # Longs of parity bits: a bit tells whether an odd number of a line's shingles fall on it.
 PARITY = 4
@@ -44,7 +42,7 @@ def _families(lines: DataFrame, chars: int) -> DataFrame:
 
 
 def signatures(lines: DataFrame, chars: int = CHARS) -> DataFrame:
-    """Adds keys (one of each band) and sketch to lines with a column `line`, see _families().
+    """Adds keys (one of each band) to lines with a column `line`, see _families().
 
     One hash spreads the shingles over 32 equal ranges; the least hash of a range is its
     coordinate, and an empty range takes that of the next one that is not (around the end).
@@ -62,13 +60,7 @@ def signatures(lines: DataFrame, chars: int = CHARS) -> DataFrame:
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get("c", b * ROWS + i) for i in range(ROWS)])
     )
-    sketch = F.aggregate(F.slice("c", 1, SKETCH), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 2) + x.bitwiseAND(F.lit(3)))
-    return out.withColumn("keys", keys).withColumn("sketch", sketch).drop("c")
-
-
-def _agreement(least: int) -> str:
-    x = "(sketch_a ^ sketch_b)"
-    return f"{SKETCH} - bit_count(({x} | shiftright({x}, 1)) & 6148914691236517205L) >= {least}"
+    return out.withColumn("keys", keys).drop("c")
 
 
 def _traits(texts: DataFrame, chars: int) -> DataFrame:
@@ -122,8 +114,8 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     first = slim.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Each distinct line gets a number, which is fixed once it is written.
     first = stage.keep(first.select("h1", "h2", "first.*", F.monotonically_increasing_id().alias("id")), "first")
-    entry = first.join(slim, ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["id", "sketch"])
-    entry = stage.keep(entry.select("id", "doc_id", "line_no", "keys", "sketch"), "entry")
+    entry = first.join(slim, ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["id", "keys"])
+    entry = stage.keep(entry.select("id", "doc_id", "line_no", "keys"), "entry")
     shared = entry.select("id", F.explode("keys").alias("key")).distinct()
     keys = stage.keep(shared.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
     ids = stage.keep(shared.join(keys, "key", "left_semi").select("id").distinct(), "ids")
@@ -134,7 +126,7 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     parts = body.select(F.split("t", "\n", -1).alias("parts"), "wanted").select("parts", F.explode("wanted").alias("w"))
     texts = parts.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("parts", F.col("w.line_no")))).alias("line"))
     texts = stage.keep(texts.dropDuplicates(["id"]), "texts")
-    bounded = stage.keep(met.select("id", "keys", "sketch").join(_traits(texts, chars), "id"), "bounded")
+    bounded = stage.keep(met.select("id", "keys").join(_traits(texts, chars), "id"), "bounded")
     stage.drop(entry, keys, ids, met)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -146,11 +138,9 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
         both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
         return both.filter(100 * F.col("both") >= percent * (F.size("la") + F.size("lb") - F.col("both"))).select("a", "b")
 
-    p = percent / 100 + (1 - percent / 100) / 4
-    least = int(SKETCH * p - 6 * (SKETCH * p * (1 - p)) ** 0.5)
-    labels = merge_buckets(
-        stage, bounded, ["sketch", "n", "parity"], f"{_possible(percent)} and {_agreement(least)}", verify, LEFT_PER_ROW * slim.count()
-    )
+    # No sketch of the coordinates rules a pair out: empty ranges copy others, so those of a
+    # short line are not independent, and few shingles that differ can change most of them.
+    labels = merge_buckets(stage, bounded, ["n", "parity"], _possible(percent), verify, LEFT_PER_ROW * slim.count())
     stage.drop(bounded, texts)
     if labels is None:
         keeper = first.select("h1", "h2", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))

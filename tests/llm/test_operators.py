@@ -365,6 +365,20 @@ def test_lines_equal_brute_force(docs, texts):
     assert {r["doc_id"]: r["dropped"] for r in got} == {d: ",".join(gone[d]) for d in texts}
 
 
+def test_short_lines_that_meet_are_linked(spark):
+    import random
+
+    draw = random.Random(5)
+    # 4 and 5 shingles, 0.8 alike.
+    short = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=13)) for _ in range(1500)]
+    rows = [(2 * i, s) for i, s in enumerate(short)] + [(2 * i + 1, f"{s}z") for i, s in enumerate(short)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r["doc_id"]: set(r["keys"]) for r in line_dedup.signatures(docs.withColumnRenamed("text", "line")).collect()}
+    met = {i for i in range(1500) if keys[2 * i] & keys[2 * i + 1]}
+    gone = {r["doc_id"] // 2 for r in line_dedup.duplicate_lines(docs).filter("not kept").collect()}
+    assert len(met) >= 1495 and gone == met
+
+
 def test_lines_of_awkward_rows(awkward, nothing):
     got = {r["doc_id"]: r for r in line_dedup.by_document(line_dedup.duplicate_lines(awkward)).collect()}
     assert set(got) == {*range(len(AWKWARD)), 100}
