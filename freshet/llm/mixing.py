@@ -56,6 +56,7 @@ def mix(
     most: int = 2,
     block: int = 64,
     shard_tokens: int = 250_000,
+    shard_rows: int = 50_000,
     max_cells: int = 1_000_000,
     seed: int = 1,
     doc_id: str = "doc_id",
@@ -73,8 +74,9 @@ def mix(
     Sources in code point order, null last, have the weights in turn; `share` of all tokens is
     shared by weight, none over `most` times its source's tokens.
 
-    Method. Documents go to shards of about shard_tokens tokens of their source by a seeded
-    hash, and stand there in the order of another. Their words, end to end, are cut into
+    Method. Documents go to shards of about shard_tokens tokens or shard_rows rows of their
+    source, whichever makes more shards, by a seeded hash of doc_id and text, and stand there in
+    the order of another. Documents without words stand in no shard. Their words, end to end, are cut into
     blocks of `block` tokens. The blocks of the whole mix are apportioned to the sources by
     Sainte-Laguë, and each source's blocks to its shards in the same way, a shard having
     `most` times its blocks at most. A shard with quota q of n blocks takes all of them
@@ -83,10 +85,10 @@ def mix(
 
     Only sizes move: one row per (source, shard) cell comes to the driver, and shards are
     taken larger once there would be more than max_cells cells. ValueError if there are more
-    sources than that. A hot source has as many shards as its tokens need.
+    sources than that. A hot source has as many shards as its tokens and rows need.
 
     Edge cases: a null text has no words; such documents and empty ones take none; a null
-    source is a source; a null doc_id is hashed as null; rows that repeat a doc_id are mixed
+    source is a source; a null doc_id is hashed as null, with its text; rows that repeat a doc_id are mixed
     each by itself (of rows equal in doc_id, source and text, reruns may swap the ranges);
     other columns are not read; an empty table gives an empty result.
     """
@@ -103,23 +105,28 @@ def mix(
         ),
         "sizes",
     )
-    by_source = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    by_source = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n"))
     rows = by_source.limit(max_cells + 1).collect()
     if len(rows) > max_cells:
         raise ValueError(f"more than {max_cells} sources")
-    sizes = {r["source"]: r["size"] for r in rows}
+    sizes, filled = {r["source"]: r["size"] for r in rows}, {r["source"]: r["n"] for r in rows}
     # Python orders strings by code point.
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     total = sum(sizes.values())
     targets = target_tokens(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share * total, most)
-    grain = max(shard_tokens, -(-total // max(1, max_cells - len(names))))
+    # Half of the cells are for tokens, half for rows.
+    half = max(1, (max_cells - len(names)) // 2)
+    grain, grain_rows = max(shard_tokens, -(-total // half)), max(shard_rows, -(-sum(filled.values()) // half))
     table = spark.createDataFrame(
-        [(s, sizes[s], float(targets[s]), max(1, -(-sizes[s] // grain))) for s in names],
+        [(s, sizes[s], float(targets[s]), max(1, -(-sizes[s] // grain), -(-filled[s] // grain_rows))) for s in names],
         "source string, source_size long, target double, shards long",
     )
     placed = _join(slim, table, ["source"])
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
-    cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("tokens")).filter("tokens > 0").collect()
+    # A document without words has no shard: it takes nothing and need not meet others.
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.col("shards"))
+    placed = placed.withColumn("shard", F.when(F.col("size") > 0, shard))
+    empty, placed = placed.filter("size = 0"), placed.filter("size > 0")
+    cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("tokens")).collect()
     quotas = _quotas(cells, names, targets, block, most)
     quota = spark.createDataFrame(quotas, "source string, shard long, blocks long, passes long, extra long")
     quota = stage.keep(quota, "quota")
@@ -127,7 +134,8 @@ def mix(
     # By rows: with a range, equal rows would all stand at the end of the last of them.
     order = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size", "h")
     order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = placed.withColumn("mark", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("stop", F.sum("size").over(order))
+    run = placed.withColumn("mark", F.xxhash64(F.lit(seed + 1), "doc_id", "h")).withColumn("stop", F.sum("size").over(order))
+    run = run.unionByName(empty.withColumn("stop", F.lit(0).cast("long")), allowMissingColumns=True)
     run = stage.keep(run.select("doc_id", "size", "source", "source_size", "target", "shard", "stop", *own), "run")
     # The blocks that get one more pass are those up to the `extra`-th lowest hash of a shard.
     numbered = quota.filter("extra > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -238,6 +238,28 @@ def test_apply_mix_cuts_each_row_by_itself(spark):
             assert got == held + held and out.count() == 2 * 12
 
 
+def test_mix_bounds_the_rows_of_a_shard(spark):
+    # Short texts without ids, and empty ones: their tokens alone make one shard.
+    rows = [(None, f"w{i}", "s") for i in range(400)] + [(None, None, "s")] * 300 + [(None, "", "s")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    met, plain = [], mixing.Stage.keep
+
+    def keep(self, df, label="table"):
+        kept = plain(self, df, label)
+        if label == "run":
+            met.append(collections.Counter(r["shard"] for r in kept.filter("stop > 0").collect()))
+            assert kept.filter("size = 0 and shard is null").count() == 600
+        return kept
+
+    mixing.Stage.keep = keep
+    try:
+        plan = mixing.mix(docs, block=4, shard_rows=50).collect()
+    finally:
+        mixing.Stage.keep = plain
+    assert len(plan) == 1000 and abs(sum(r["taken"] for r in plan) - 600) <= 32
+    assert len(met[0]) == 8 and max(met[0].values()) <= 100
+
+
 def test_apportionment_is_by_highest_quotients():
     votes, seats = [53.0, 24.0, 23.0, 0.0], 17
     want = [0] * 4
