@@ -362,7 +362,7 @@ def _(spark, d):
 
 @query("l1_release_model")
 def _(spark, d):
-    """A small forest on every basin's records; scores of calibration and hold-out rows."""
-    rows = release.training_rows(res.loss_records(reservoir(spark, d), GAGE), GAGE).na.drop()
-    model = release.pipeline(trees=20).fit(rows.filter("not is_validation"))
-    return release.fit_quality(release.predict(model, rows), GAGE)
+    """A forest for each basin's raw records, with all its folds, repeats and settings (hours, see
+    README); scores of calibration and hold-out rows."""
+    rows = release.training_rows(release.raw_records(reservoir(spark, d), GAGE), GAGE)
+    return release.fit_quality(release.fit_by_basin(rows, GAGE), GAGE)

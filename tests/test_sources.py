@@ -115,6 +115,43 @@ def test_release_model_learns_and_reloads(spark, tmp_path):
     assert again.select("prediction").count() == 5
 
 
+def test_release_query_fits_each_basin_with_all_settings(spark, monkeypatch):
+    from driver_queries import verification
+
+    # Two basins of opposite rule: one pooled forest cannot follow both.
+    rows = [
+        (g, dt.date(2001, 1, 1) + dt.timedelta(days=i), s, 10.0, s if g else 400.0 - s)
+        for g in (0, 1) for i in range(200) for s in [100.0 + (i * 37) % 91]
+    ]
+    records = spark.createDataFrame(rows, "gage_id int, date date, stor double, inflow double, loss double")
+    asked, whole = [], release.fit
+
+    def fit(train, **settings):
+        asked.append(settings)
+        return whole(train, **{"trees": 10, "folds": 2, "repeats": 1, **settings})
+
+    monkeypatch.setattr(release, "fit", fit)
+    monkeypatch.setattr(release, "raw_records", lambda *_: records)
+    monkeypatch.setattr(verification, "reservoir", lambda *_: records)
+    monkeypatch.setattr(verification.res, "loss_records", lambda *_: records)
+    got = verification.QUERIES["l1_release_model"](spark, "").collect()
+    assert asked == [{}, {}]  # the defaults: all trees, folds, repeats and settings
+    assert len(got) == 4 and all(r["r2"] > 0.7 for r in got)
+
+
+def test_release_records_are_raw(spark):
+    from freshet.functions.units import cfs_to_acft_day
+
+    days = [dt.date(2001, 1, d) for d in range(1, 6)]
+    stor, inflow = [100.0, None, 300.0, 250.0, 250.0], [10.0, 20.0, None, 40.0, 5.0]
+    frame = spark.createDataFrame([("a", *r) for r in zip(days, stor, inflow)], "basin string, date date, stor double, inflow double")
+    got = release.raw_records(frame).withColumn("unit", cfs_to_acft_day(F.lit(1.0))).orderBy("date").collect()
+    u = got[0]["unit"]
+    assert [r["stor"] for r in got] == [100.0, 200.0, 300.0, 250.0, 250.0]
+    assert [r["inflow"] for r in got] == pytest.approx([10 * u, 20 * u, 30 * u, 40 * u, 5 * u])
+    assert [r["loss"] for r in got][:4] == pytest.approx([0.0, 0.0, 50 + 30 * u, 40 * u]) and got[4]["loss"] is None
+
+
 def test_signature_product_has_the_whole_contract(series):
     q = [5 + (i % 11) + (i % 7) / 10 for i in range(365 * 4)]
     out = signatures.gage_summary(series({("a", "2001-01-01"): q}), min_years=3)
