@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and
 all but the last return the columns of documents. Null or empty texts fail the quality
-stage; rows that repeat a doc_id are judged alike; empty tables pass through all stages.
+stage; rows that repeat a doc_id are judged alike by near-duplicates, each by itself by the other
+stages; empty tables pass through all stages.
 """
 
 from __future__ import annotations

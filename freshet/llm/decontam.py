@@ -51,21 +51,46 @@ def leaks(
     a repeated document row is reported for each row; a null doc_id is reported as null;
     other columns are not read. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_id).cast("long"), F.col(item_text)).limit(max_items + 1).toArrow()
-    if rows.num_rows > max_items:
-        raise ValueError(f"the benchmark has more than {max_items} items; search it in parts")
-    items = _prepare(rows, words)
-    sent = spark.sparkContext.broadcast(items)
+    sent = _sent(benchmark, words, max_items, item_id, item_text)
     source = docs.select(F.col(doc_id).cast("long"), F.col(text))
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
     return source.mapInArrow(_searcher(sent, words, percent), schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold a benchmark item; a row without doc_id stays."""
-    found = leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_anti")
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    max_items: int = 200_000,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of docs that hold no benchmark item, all columns as they are, without a shuffle.
+
+    Each row is judged by its own text, as in leaks(): no id is read.
+    """
+    search = _searcher(_sent(benchmark, words, max_items, item_id, item_text), words, percent)
+
+    def run(batches):
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            place = pa.array(np.arange(batch.num_rows))
+            own = pa.record_batch([place, batch.column(batch.schema.get_field_index(text))], names=["doc_id", "text"])
+            for found in search([own]):
+                kept[found.column(0).to_numpy()] = False
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _sent(benchmark: DataFrame, words: int, max_items: int, item_id: str, item_text: str):
+    """The prepared items as a broadcast."""
+    rows = benchmark.select(F.col(item_id).cast("long"), F.col(item_text)).limit(max_items + 1).toArrow()
+    if rows.num_rows > max_items:
+        raise ValueError(f"the benchmark has more than {max_items} items; search it in parts")
+    return benchmark.sparkSession.sparkContext.broadcast(_prepare(rows, words))
 
 
 def _lowered(texts) -> pa.Array:

@@ -192,6 +192,16 @@ def test_leaks_of_awkward_rows(spark, awkward, nothing):
     assert decontam.leaks(awkward, bench.limit(0)).collect() == []
 
 
+def test_decontamination_judges_each_row(spark):
+    item = "what is the capital of france and which river flows through the middle of it today"
+    clean = "an entirely different text about growing tomatoes in a small garden behind the house"
+    rows = [(1, f"so {item} then"), (1, clean), (None, item), (None, clean), (2, item), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = collections.Counter(tuple(r) for r in decontam.decontaminate(docs, bench).collect())
+    assert got == collections.Counter([(1, clean), (None, clean), (3, None)])
+
+
 def test_mix_meets_targets(spark, docs):
     rows = mixing.mix(docs, block=16).collect()
     assert rows and sorted(rows) == sorted(mixing.mix(docs.repartition(3), block=16).collect())
