@@ -46,7 +46,7 @@ def basin_climate(
 
     Forecast layouts (seas5, seas5Multi) repair crossed temperatures first; era5 does
     not. Partition a write by init_date to get one output per initialisation. A mean with a
-    cell unknown is unknown: fill the grid first (see plans.climate).
+    cell unknown is unknown: fill the grid first, no plan does so yet.
     """
     if layout != "era5":
         grid = grid.withColumn("tmin", ordered_tmin(F.col("tmin"), F.col("tmax")))
