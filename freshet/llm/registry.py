@@ -4,7 +4,8 @@ from importlib import import_module
 from importlib.util import find_spec
 
 NAMES = [
-    "secrets", "mixing", "sharding", "token_counts", "quality", "decontam", "language", "line_dedup", "near_dedup", "warc"
+    "secrets", "mixing", "sharding", "token_counts", "quality", "decontam", "language", "line_dedup", "near_dedup", "warc",
+    "private", "phrases", "search",
 ]
 
 
