@@ -371,13 +371,16 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.mapInArrow(cut, schema)
 
 
+def _of(kinds: tuple[str, ...]) -> Column:
+    return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+
 def _joined(kinds: tuple[str, ...]) -> Column:
-    some = F.filter("spans", lambda s: s["kind"].isin(*kinds))
-    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(_of(kinds), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(_of((k,))).cast("long").alias(f"n_{k}") for k in BASE]
     found = scan(documents(spark, sf_dir))
     return found.select("doc_id", *counts, F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
 
