@@ -82,6 +82,36 @@ def _(spark, d):
     return rounded(gaps.fill_median(holes, ["m2"]), ["gage_id", "member", "date"])
 
 
+@query(
+    "g5_median_by_cube",
+    f"""WITH {MEASURES}, h AS (SELECT gage_id, member, date, CAST(date_trunc('month', date) AS DATE) AS cube,
+      CASE WHEN dayofyear(date) % 4 <> gage_id % 4 THEN m2 END AS m2, CASE WHEN dayofyear(date) % 3 <> 0 AND month(date) <> 5 THEN m3 END AS m3 FROM measures),
+    k AS (SELECT cube, median(m2) AS k2, median(m3) AS k3 FROM h GROUP BY 1)
+    SELECT gage_id, member, date, round(coalesce(m2, k2), 4) AS m2, round(coalesce(m3, k3), 4) AS m3 FROM h JOIN k USING (cube)""",
+)
+def _(spark, d):
+    """Months as cubes, one in twelve without any value of m3."""
+    day = F.dayofyear("date")
+    holes = measures(spark, d).select(
+        "gage_id", "member", "date", F.trunc("date", "month").alias("cube"),
+        F.when(day % 4 != F.col("gage_id") % 4, F.col("m2")).alias("m2"),
+        F.when((day % 3 != 0) & (F.month("date") != 5), F.col("m3")).alias("m3"),
+    )
+    filled = gaps.fill_median(holes, ["m2", "m3"], bins=64, by=["cube"]).drop("cube")
+    return rounded(filled, ["gage_id", "member", "date"])
+
+
+@query(
+    "g4_mean_fill_null_key",
+    f"""WITH {MEASURES}, h AS (SELECT nullif(gage_id, 3) AS gage_id, member, date, CASE WHEN dayofyear(date) % 5 <> 0 THEN m2 END AS m2 FROM measures)
+    SELECT gage_id, member, date, round(coalesce(m2, avg(m2) OVER (PARTITION BY gage_id)), 4) AS m2 FROM h""",
+)
+def _(spark, d):
+    gage = F.when(F.col("gage_id") != 3, F.col("gage_id")).alias("gage_id")
+    holes = measures(spark, d).select(gage, "member", "date", F.when(F.dayofyear("date") % 5 != 0, F.col("m2")).alias("m2"))
+    return rounded(gaps.fill_mean(holes, ["gage_id"], "m2"), ["gage_id", "member", "date"])
+
+
 @query(
     "g6_next_value",
     f"""WITH {GAPPY} SELECT gage_id, date, first_value(q IGNORE NULLS) OVER (PARTITION BY gage_id ORDER BY date

@@ -45,8 +45,8 @@ def basin_climate(
     """Area-weighted tmin, tmax, tavg, ppt and pet per basin and time step.
 
     Forecast layouts (seas5, seas5Multi) repair crossed temperatures first; era5 does
-    not. Partition a write by init_date to get one output per initialisation. A mean with a
-    cell unknown is unknown: fill the grid first, no plan does so yet.
+    not. A mean with a cell unknown is unknown: plans.climate fills the grid first, and writes one
+    output per initialisation.
     """
     if layout != "era5":
         grid = grid.withColumn("tmin", ordered_tmin(F.col("tmin"), F.col("tmax")))

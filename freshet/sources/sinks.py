@@ -1,8 +1,8 @@
 """Writing products, resuming and stacking them."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,38 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_per_key(
+    source: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, key: str, batch: int = 64, most: int | None = None
+) -> DataFrame:
+    """Writes compute(source) under path, one folder per value of key, and reads it back.
+
+    The keys (initialisations, runs: as many as a calendar has) go through compute in order,
+    `batch` of them a job. A job replaces only the folders of its own keys, and they enter the
+    ledger (_done under path) after it, so a run that was stopped, or was allowed only `most`
+    jobs, goes on with the keys that the ledger lacks and repeats at most one job.
+    """
+    spark = source.sparkSession
+    ledger = f"{path}/_done"
+    todo = source.select(key).filter(F.col(key).isNotNull()).distinct()
+    if _exists(spark, ledger):
+        todo = not_done(todo, spark.read.parquet(ledger), [key])
+    keys = sorted(r[0] for r in todo.collect())
+    for job, at in enumerate(range(0, len(keys), batch)):
+        if job == most:
+            break
+        own = keys[at : at + batch]
+        rows = compute(source.filter(F.col(key).isin(own)))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        names = spark.createDataFrame([(str(k),) for k in own], f"{key} string")
+        names.coalesce(1).write.mode("append").parquet(ledger)
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def write_forecast(product: DataFrame, path: str, fmt: str = "parquet", keys: Sequence[str] = ("basin",)) -> None:
     """All basins and both kinds in one dataset, one folder per basin."""
     writer = product.repartition(*keys).write.mode("overwrite").partitionBy(*keys)
