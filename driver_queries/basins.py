@@ -25,14 +25,10 @@ def river(spark, d):
     )
 
 
-def closure(spark, d):
-    basins = river(spark, d)
-    return graph.upstream_closure(basins, basins.select(F.col("hybas_id").alias("outlet")))
-
-
 @query("j6_upstream", f"WITH RECURSIVE {RIVER} SELECT outlet, member FROM up")
 def _(spark, d):
-    return closure(spark, d)
+    basins = river(spark, d)
+    return graph.upstream_closure(basins, basins.select(F.col("hybas_id").alias("outlet")))
 
 
 @query(
@@ -41,7 +37,8 @@ def _(spark, d):
     FROM up JOIN river ON member = hybas_id GROUP BY 1""",
 )
 def _(spark, d):
-    out = graph.basin_summary(closure(spark, d), river(spark, d).select("hybas_id", "sub_area"))
+    basins = river(spark, d)
+    out = graph.basin_summary(basins, basins, basins.select(F.col("hybas_id").alias("outlet")))
     return rounded(out, ["outlet", "num_upstream_basins"], 2)
 
 
@@ -53,7 +50,7 @@ def _(spark, d):
 def _(spark, d):
     basins = river(spark, d)
     outlets = basins.filter("sub_area < 1000").select(F.col("hybas_id").alias("outlet"))
-    inside = graph.members_of(basins, graph.upstream_closure(basins, outlets))
+    inside = graph.members_of(basins, graph.upstream_of(basins, outlets))
     return inside.select("hybas_id", F.round("sub_area", 2).alias("sub_area"))
 
 
@@ -64,7 +61,21 @@ def _(spark, d):
 )
 def _(spark, d):
     gages = table(spark, d, "supplier").select(F.col("s_name").alias("gage_id"), F.col("s_suppkey").alias("hybas_id"))
-    return graph.gage_upstream_counts(gages, closure(spark, d))
+    basins = river(spark, d)
+    return graph.gage_upstream_counts(gages, graph.river_sums(basins, basins))
+
+
+@query(
+    "j12_drains_to",
+    f"""WITH RECURSIVE {RIVER}, p AS (SELECT DISTINCT l_suppkey AS member, l_suppkey // (1 + l_linenumber) + l_orderkey % 2 AS outlet FROM lineitem)
+    SELECT p.member, p.outlet, u.member IS NOT NULL OR p.member = p.outlet AS drains FROM p LEFT JOIN up u ON u.outlet = p.outlet AND u.member = p.member""",
+)
+def _(spark, d):
+    """Pairs of suppliers, some of them along one river, some unknown."""
+    key = F.col("l_suppkey")
+    outlet = F.floor(key / (1 + F.col("l_linenumber"))) + F.col("l_orderkey") % 2
+    pairs = table(spark, d, "lineitem").select(key.alias("member"), outlet.alias("outlet")).distinct()
+    return graph.drains_to(pairs, graph.river_labels(river(spark, d)))
 
 
 # Suppliers as quadrilateral basins, customers as gage points, on one plane that grows
@@ -175,7 +186,7 @@ def _(spark, d):
     cells = grid(spark, d)
     subs = subbasins(spark, d).select("hybas_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     out = spatial.nearest_on_axis(subs, cells.select("lon").distinct(), "x", "lon", out="cell_lon")
-    out = spatial.nearest_on_axis(out, cells.select("lat").distinct(), "y", "lat", tile=0.5, out="cell_lat")
+    out = spatial.nearest_on_axis(out, cells.select("lat").distinct(), "y", "lat", out="cell_lat")
     return out.select("hybas_id", "cell_lon", "cell_lat")
 
 

@@ -16,7 +16,7 @@ SERIES = ["member", "init_date", "date"]
 
 
 def cell_weights(
-    subbasins: DataFrame, grid: DataFrame, tile: float = 1.0, axes: tuple[DataFrame, DataFrame] | None = None
+    subbasins: DataFrame, grid: DataFrame, axes: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """(basin, lon, lat, area): the area each grid cell stands for in a basin.
 
@@ -25,8 +25,8 @@ def cell_weights(
     """
     lons, lats = axes or (grid.select("lon").distinct(), grid.select("lat").distinct())
     slim = subbasins.select("basin", "sub_area", F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"))
-    picked = nearest_on_axis(slim, lons, "at_lon", "lon", tile=tile, out="cell_lon")
-    picked = nearest_on_axis(picked, lats, "at_lat", "lat", tile=tile, out="cell_lat")
+    picked = nearest_on_axis(slim, lons, "at_lon", "lon", out="cell_lon")
+    picked = nearest_on_axis(picked, lats, "at_lat", "lat", out="cell_lat")
     return picked.groupBy("basin", F.col("cell_lon").alias("lon"), F.col("cell_lat").alias("lat")).agg(
         F.sum("sub_area").alias("area")
     )
@@ -39,7 +39,6 @@ def basin_climate(
     temp_offset: float | None = None,
     precip_factor: float | None = None,
     by: Sequence[str] = SERIES,
-    tile: float = 1.0,
     axes: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Area-weighted tmin, tmax, tavg, ppt and pet per basin and time step.
@@ -50,7 +49,7 @@ def basin_climate(
     """
     if layout != "era5":
         grid = grid.withColumn("tmin", ordered_tmin(F.col("tmin"), F.col("tmax")))
-    weights = cell_weights(subbasins, grid, tile, axes)
+    weights = cell_weights(subbasins, grid, axes)
     joined = grid.join(weights, ["lon", "lat"])
 
     def mean(v: str):

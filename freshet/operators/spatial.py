@@ -7,10 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-# Up to this many tiles of an axis are sent to the tasks whole (a few MB); more are joined like
-# any table.
-BROADCAST_TILES = 100_000
+from freshet.sources.staging import Staging
 
 
 def _edges(ring: Column) -> Column:
@@ -68,56 +67,52 @@ def centroids(polygons: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def nearest_on_axis(
-    points: DataFrame, axis: DataFrame, at: str, value: str, rank: str | None = None, tile: float = 1.0, out: str = "nearest"
+    points: DataFrame, axis: DataFrame, at: str, value: str, rank: str | None = None, out: str = "nearest"
 ) -> DataFrame:
     """Adds the axis value closest to column `at`; ties go to the lower rank (or value).
 
-    The axis is cut into tiles; a point only meets the values of its own tile and the one
-    value beyond it on either side, so no point meets the whole axis. Points outside the
-    axis take its end; a point without a coordinate (null or NaN) has no nearest value. The
-    tile table has range / tile rows, and is broadcast only if those are few.
+    The distinct coordinates and the axis values are range partitioned together, so each
+    partition has one stretch of the axis, however far apart its values lie. Windows find the
+    value before and the one after a coordinate within its partition; where a partition has
+    none, those of the partitions beside it are carried over, a table of one row a partition.
+    Points outside the axis take its end; a point without a coordinate (null or NaN) has no
+    nearest value. The answers join back on the coordinate.
     """
+    spark = points.sparkSession
+    staging = Staging(spark, "nearest")
     order = F.col(rank) if rank else F.col(value)
-    lines = (
-        axis.groupBy(F.col(value).cast("double").alias("_v"))
-        .agg(F.min(order).alias("_rank"))
-        .withColumn("_tile", F.floor(F.col("_v") / tile))
-        .persist()
+    lines = axis.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.min(order).alias("r"))
+    line = F.struct(F.col("x").alias("v"), "r")
+    places = points.select(F.col(at).cast("double").alias("x")).filter("x is not null and not isnan(x)").distinct()
+    both = lines.select("x", line.alias("line")).unionByName(places, allowMissingColumns=True)
+    both = staging.keep(both.repartitionByRange("x").withColumn("part", F.spark_partition_id()))
+    ends = both.groupBy("part").agg(
+        F.min(F.when(F.col("line").isNotNull(), F.struct("x", "line")))["line"].alias("first"),
+        F.max(F.when(F.col("line").isNotNull(), F.struct("x", "line")))["line"].alias("last"),
     )
-    line = F.struct(F.col("_v").alias("v"), F.col("_rank").alias("r"))
-    own = lines.groupBy("_tile").agg(
-        F.collect_list(line).alias("_own"), F.min(line).alias("_lo"), F.max(line).alias("_hi")
-    )
-    low, high, first, last = lines.agg(F.min("_v"), F.max("_v"), F.min("_tile"), F.max("_tile")).first()
-    lines.unpersist()
-    if low is None:
-        return points.withColumn(out, F.lit(None).cast("double"))
-    spine = points.sparkSession.range(first, last + 1).withColumnRenamed("id", "_tile")
-    up, down = Window.orderBy("_tile"), Window.orderBy(F.desc("_tile"))
-    tiles = (
-        spine.join(own, "_tile", "left")
-        .withColumns(
-            {
-                "_below": F.last("_hi", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)),
-                "_above": F.last("_lo", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)),
-            }
-        )
-        .select(
-            "_tile",
-            F.filter(
-                F.concat(F.coalesce("_own", F.array()), F.array("_below", "_above")), lambda c: c.isNotNull()
-            ).alias("_near"),
-        )
-    )
-    x = F.col(at).cast("double")
-    inside = F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
-    placed = points.withColumn("_x", inside).withColumn("_tile", F.floor(F.col("_x") / tile))
+    # One row a partition: what comes before it and after it on the axis.
+    parts = sorted(ends.collect())
+    before, after, carried = None, None, {}
+    for part, _, last in parts:
+        carried[part] = [before]
+        before = last or before
+    for part, first, _ in reversed(parts):
+        carried[part].append(after)
+        after = first or after
+    schema = StructType([StructField("part", IntegerType()), *[StructField(c, both.schema["line"].dataType) for c in ("before", "after")]])
+    beside = spark.createDataFrame([(part, *c) for part, c in carried.items()], schema)
+    up = Window.partitionBy("part").orderBy("x", F.col("line").isNull())
+    down = Window.partitionBy("part").orderBy(F.desc("x"), F.col("line").isNull())
+    near = both.withColumns(
+        {"below": F.last("line", ignorenulls=True).over(up), "above": F.last("line", ignorenulls=True).over(down)}
+    ).filter("line is null")
+    near = near.join(F.broadcast(beside), "part")
+    found = F.filter(F.array(F.coalesce("below", "before"), F.coalesce("above", "after")), lambda c: c.isNotNull())
     best = F.array_min(
-        F.transform("_near", lambda c: F.struct(F.abs(c["v"] - F.col("_x")).alias("d"), c["r"].alias("r"), c["v"].alias("v")))
+        F.transform(found, lambda c: F.struct(F.abs(c["v"] - F.col("x")).alias("d"), c["r"].alias("r"), c["v"].alias("v")))
     )
-    if last - first < BROADCAST_TILES:
-        tiles = F.broadcast(tiles)
-    return placed.join(tiles, "_tile", "left").withColumn(out, best["v"]).drop("_tile", "_x", "_near")
+    told = near.select(F.col("x").alias("_x"), best["v"].alias(out))
+    return points.join(told, F.col(at).cast("double") == F.col("_x"), "left").drop("_x")
 
 
 def _tiles(low: Column, high: Column, tile: float) -> Column:

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.operators import climate, graph, spatial
+from freshet.sources import staging
 
 
 def edges(spark, pairs):
@@ -24,15 +27,69 @@ def test_closure_of_a_long_chain_takes_few_rounds(spark):
     assert {r["outlet"]: r["count"] for r in counts} == {"0": 301, "250": 51}
 
 
+def test_sums_of_a_chain_of_a_hundred_thousand_basins(spark):
+    river = spark.range(1, 100_000).selectExpr("id as hybas_id", "id - 1 as next_down")
+    outlets = spark.createDataFrame([(0,), (60_000,), (99_999,)], "outlet long")
+    areas = spark.range(100_000).selectExpr("id as hybas_id", "1.0D as sub_area")
+    got = {r["outlet"]: (r["num_upstream_basins"], r["area"]) for r in graph.river_sums(river, areas, outlets).collect()}
+    assert got == {0: (100_000, 100_000.0), 60_000: (40_000, 40_000.0), 99_999: (1, 1.0)}
+
+
+def upstream_by_hand(pairs):
+    """{node: all nodes that drain to it}, itself included."""
+    up = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            up.setdefault(b, set()).add(a)
+    out = {}
+    for node in {n for p in pairs for n in p if n is not None}:
+        seen, todo = {node}, [node]
+        while todo:
+            for n in up.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        out[node] = seen
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sums_labels_and_marks_equal_walking_upstream(spark, seed):
+    rng = random.Random(seed)
+    # Trees, many basins above one node, self loops, unknown mouths, and cycles in seeds 2 and 3.
+    pairs = [(i, rng.choice([0, max(0, i - rng.randint(1, 5)), i // 2])) for i in range(1, 120)] + [(0, None), (300, 300)]
+    pairs += [(200 + i, 200 + (i + 1) % 4) for i in range(4)] if seed > 1 else []
+    pairs += [(210, 202), (211, 210), (400, 401), (401, 400)] if seed > 2 else []
+    want = upstream_by_hand(pairs)
+    river = spark.createDataFrame(pairs, "hybas_id long, next_down long").repartition(3)
+    area = {i: float(i % 7) for i in want if i % 5}
+    areas = spark.createDataFrame(list(area.items()), "hybas_id long, sub_area double")
+    got = {r["outlet"]: (r["num_upstream_basins"], r["area"]) for r in graph.river_sums(river, areas).collect()}
+    assert got == {n: (len(m), sum(area[x] for x in m if x in area) if any(x in area for x in m) else None) for n, m in want.items() if n in got}
+    assert set(got) >= set(want) - {300}
+    labels = graph.river_labels(river)
+    tests = spark.createDataFrame([(a, b) for a in want for b in rng.sample(sorted(want), 8)], "member long, outlet long")
+    for r in graph.drains_to(tests, labels).collect():
+        assert r["drains"] == (r["member"] in want[r["outlet"]]), r
+    ends = rng.sample(sorted(want), 3)
+    marked = graph.upstream_of(river, spark.createDataFrame([(e,) for e in ends], "outlet long"))
+    assert sorted(r["member"] for r in marked.collect()) == sorted(set().union(*[want[e] for e in ends]))
+
+
+def test_a_basin_with_two_ways_down_is_refused(spark):
+    with pytest.raises(ValueError, match="more than one"):
+        graph.river_sums(edges(spark, [("a", "b"), ("a", "c")]), spark.createDataFrame([], "hybas_id string, sub_area double"))
+
+
 def test_summary_and_membership(spark):
     river = edges(spark, [("b", "a"), ("c", "a"), ("a", "sea")])
-    closure = graph.upstream_closure(river, spark.createDataFrame([("a",)], "outlet string"))
+    outlets = spark.createDataFrame([("a",)], "outlet string")
     areas = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 4.0), ("z", 8.0)], "hybas_id string, sub_area double")
-    row = graph.basin_summary(closure, areas).first()
+    row = graph.basin_summary(river, areas, outlets).first()
     assert (row["num_upstream_basins"], row["area"]) == (3, 7.0)
-    assert graph.members_of(areas, closure).count() == 3
+    assert graph.members_of(areas, graph.upstream_of(river, outlets)).count() == 3
     gages = spark.createDataFrame([("g1", "a"), ("g2", None)], "gage_id string, hybas_id string")
-    counts = {r["gage_id"]: r["num_upstream_basins"] for r in graph.gage_upstream_counts(gages, closure).collect()}
+    counts = {r["gage_id"]: r["num_upstream_basins"] for r in graph.gage_upstream_counts(gages, graph.river_sums(river, areas)).collect()}
     assert counts == {"g1": 3, "g2": None}
 
 
@@ -101,13 +158,18 @@ def test_a_tile_that_holds_most_points(spark):
     assert got.count() == 3000 and got.filter("hybas_id = 1").count() == inside
 
 
-def test_long_axes_join_by_tile_with_the_same_result(spark, monkeypatch):
-    axis = spark.range(500).select((F.col("id") * 0.37).alias("v"))
-    points = spark.range(300).select((F.col("id") * 0.713 - 5).alias("x"))
-    small = spatial.nearest_on_axis(points, axis, "x", "v").collect()
-    monkeypatch.setattr(spatial, "BROADCAST_TILES", 10)
-    large = spatial.nearest_on_axis(points, axis, "x", "v").collect()
-    assert sorted(small) == sorted(large)
+def test_nearest_with_a_value_far_off_and_hot_points(spark):
+    values = [i * 0.37 for i in range(500)] + [1e9]
+    xs = [i * 0.713 - 5 for i in range(300)] + [50.0] * 600 + [4e8, 6e8, 2e9, float("nan"), None]
+    axis = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    points = spark.createDataFrame(list(enumerate(xs)), "id int, x double").repartition(4)
+    near = spatial.nearest_on_axis(points, axis, "x", "v")
+    got = {r["id"]: r["nearest"] for r in near.collect()}
+    for i, x in enumerate(xs):
+        want = None if x is None or x != x else min(values, key=lambda v: (abs(v - x), v))
+        assert got[i] == want
+    assert "SinglePartition" not in near._jdf.queryExecution().toString()
+    assert spatial.nearest_on_axis(points, axis.limit(0), "x", "v").filter("nearest is not null").count() == 0
 
 
 def test_no_temporary_checkpoints_on_a_cluster(spark, monkeypatch):
@@ -125,4 +187,4 @@ def test_no_temporary_checkpoints_on_a_cluster(spark, monkeypatch):
         conf = {}
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        graph.ensure_checkpoint_dir(Session())
+        staging.shared_folder(Session())
