@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.calendar import water_year
 from freshet.functions.moments import correlation
+from freshet.operators.gaps import group_ranks, join_null_safe
 
 PERIODS = ("Calibration", "Validation", "All")
 SCORES = ("kge", "nse", "mae", "rmse", "bias")
@@ -84,6 +85,37 @@ def scores(pairs: DataFrame, run_keys: Sequence[str], date: str = "date") -> Dat
     return wide.withColumn("mnthSumAbsBias", sum(months[1:], months[0]) / 12)
 
 
+# Up to this many rows a group, Spark drops the others before the shuffle (its group limit).
+GROUP_LIMIT = 1000
+PARTS = 64
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], by: Column, tie: str, k: int, rank: str = "rank") -> DataFrame:
+    """The k rows of each group that come first by a number and then by `tie`, with their rank.
+
+    A null number comes last but counts. A longer list than Spark limits by itself is cut by the
+    k-th number of its group first, which group_ranks() finds without sorting a group; then
+    parts of each group are ranked, and the first k of these against each other, so no window
+    holds more of a group than a part of the rows tied there, or PARTS * k rows.
+    """
+    order = [by.asc_nulls_last(), F.col(tie)]
+    if k <= GROUP_LIMIT:
+        ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ranked.filter(F.col(rank) <= k)
+    number = by.cast("double")
+    work = df.withColumn("_by", F.when(~F.isnan(number), number))
+    last = group_ranks(work, keys, [("_by", lambda n: F.least(F.lit(k), n) - 1)])
+    # Without k numbers all rows stay; the rows beyond the k-th number cannot be among the first k.
+    counts = work.groupBy(*keys).agg(F.count("_by").alias("_n"))
+    cut = join_null_safe(join_null_safe(work, last, keys), counts, keys)
+    cut = cut.filter((F.col("_n") < k) | (F.col("_by") <= F.col("rank_0"))).drop("rank_0", "_n", "_by")
+    part = F.pmod(F.xxhash64(tie), F.lit(PARTS))
+    few = cut.withColumn("_part", part)
+    few = few.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).filter(F.col(rank) <= k)
+    ranked = few.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col(rank) <= k).drop("_part")
+
+
 def accept(
     scored: DataFrame, keys: Sequence[str], run_number: str = "run_number", target: float = 0.81,
     block: int = 200_000, wanted: int = 200, step: float = 0.01,
@@ -91,25 +123,21 @@ def accept(
     """First `wanted` runs per basin, in run order, whose calibration and validation KGE
     both beat a threshold that starts one step under target and falls a step per block.
 
-    The ranked filter is applied before the shuffle as a partial limit, so a basin with
-    most of the runs sends no more than `wanted` per task.
+    See first_rows() for how a basin with most of the runs is cut.
     """
     blocks = F.floor((F.col(run_number) - 1) / block)
     limit = F.round(F.lit(target) - step * (blocks + 1), 10)
     passed = scored.withColumn("threshold", limit).filter(
         (F.col("kgeCalibration") > F.col("threshold")) & (F.col("kgeValidation") > F.col("threshold"))
     )
-    order = Window.partitionBy(*keys).orderBy(run_number)
-    return passed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= wanted).drop("_rank")
+    return first_rows(passed, keys, F.col(run_number), run_number, wanted, "_rank").drop("_rank")
 
 
 def best(
     scored: DataFrame, keys: Sequence[str], k: int = 40, by: str = "mnthSumAbsBias", tie: str = "run_id"
 ) -> DataFrame:
     """The k runs per basin with the smallest absolute bias, among runs that have a KGE."""
-    order = Window.partitionBy(*keys).orderBy(F.abs(by), tie)
-    ranked = scored.filter("kgeAll is not null").withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+    return first_rows(scored.filter("kgeAll is not null"), keys, F.abs(by), tie, k)
 
 
 def best_composite(
@@ -129,21 +157,16 @@ def best_composite(
     if cache:
         scored = scored.persist()
     orders = {
-        "kge": F.desc("kgeAll"),
-        "bias": F.asc(F.abs("biasAll")),
-        "nse": F.desc("nseAll"),
-        "mae": F.asc("maeAll"),
-        "rmse": F.asc("rmseAll"),
+        "kge": -F.col("kgeAll"),
+        "bias": F.abs("biasAll"),
+        "nse": -F.col("nseAll"),
+        "mae": F.col("maeAll"),
+        "rmse": F.col("rmseAll"),
     }
     out = None
     for score, k in counts.items():
-        order = Window.partitionBy(*keys).orderBy(orders[score], tie)
-        part = (
-            scored.filter(F.col(f"{score}All").isNotNull())
-            .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k)
-            .withColumn("chosen_by", F.lit(score))
-        )
+        known = scored.filter(F.col(f"{score}All").isNotNull())
+        part = first_rows(known, keys, orders[score], tie, k).withColumn("chosen_by", F.lit(score))
         out = part if out is None else out.unionByName(part)
     return out
 

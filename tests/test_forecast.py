@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from freshet.functions import calendar, cleaning
 from freshet.operators import forecast, gaps, reservoir
 from freshet.plans import weekly
+from freshet.sources import sinks
 
 
 def days(first, n):
@@ -56,6 +57,53 @@ def test_median_of_nothing_is_null(spark):
     assert gaps.fill_median(df, ["x"]).first()["x"] is None
 
 
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 14), st.floats(allow_nan=True), st.floats(-10, 10)), min_size=1, max_size=200))
+def test_group_medians_are_exact(spark, rows):
+    df = spark.createDataFrame([(k if k else None, x, y if k != 3 else None) for k, x, y in rows], "k int, x double, y double")
+    got = {r["k"]: (r["x"], r["y"]) for r in gaps.group_medians(df, ["k"], ["x", "y"], bins=4).collect()}
+    groups = {}
+    for k, x, y in rows:
+        xs, ys = groups.setdefault(k if k else None, ([], []))
+        xs += [x] if x == x else []
+        ys += [y] if k != 3 else []
+    assert set(got) == set(groups)
+    for k, (xs, ys) in groups.items():
+        for value, numbers in zip(got[k], (xs, ys)):
+            middle = sorted(numbers)[(len(numbers) - 1) // 2 : len(numbers) // 2 + 1]
+            want = sum(m / 2 for m in middle) * (2 if len(middle) == 1 else 1) if middle else None
+            assert value == want or value == pytest.approx(want, nan_ok=True)
+
+
+def test_mean_and_median_fill_keep_rows_with_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, None), ("a", None), ("b", 2.0), ("b", None), ("b", 5.0)], "k string, v double")
+    mean = sorted(gaps.fill_mean(df, ["k"], "v").collect(), key=str)
+    assert sorted(str(r["v"]) for r in mean) == sorted(["1.0", "1.0", "None", "2.0", "3.5", "5.0"])
+    middle = gaps.fill_median(df, ["v"], by=["k"])
+    assert sorted(str(r["v"]) for r in middle.collect()) == sorted(["1.0", "1.0", "None", "2.0", "3.5", "5.0"])
+    assert gaps.fill_median(df.limit(0), ["v"], by=["k"]).collect() == []
+
+
+def test_writes_per_key_resume_and_replace_only_their_own(spark, tmp_path):
+    rows = spark.createDataFrame([(k, v) for k in "abcde" for v in range(3)], "run string, v int")
+    ran = []
+
+    def compute(todo):
+        ran.append(sorted(r["run"] for r in todo.select("run").distinct().collect()))
+        if len(ran) == 3:
+            raise RuntimeError("lost")
+        return todo.groupBy("run").agg(F.sum("v").alias("v"))
+
+    path = str(tmp_path / "out")
+    with pytest.raises(RuntimeError, match="lost"):
+        sinks.write_per_key(rows, compute, path, "run", batch=2)
+    got = sinks.write_per_key(rows, compute, path, "run", batch=2).collect()
+    assert ran == [["a", "b"], ["c", "d"], ["e"], ["e"]]
+    assert sorted((r["run"], r["v"]) for r in got) == [(k, 3) for k in "abcde"]
+    sinks.write_per_key(rows, compute, path, "run")
+    assert len(ran) == 4
+
+
 def test_water_year_calendar(spark):
     df = table(spark, [1] * 400, first="2003-09-30")
     row = {r["date"]: r for r in df.select("date", calendar.water_year(F.col("date")).alias("wy"), calendar.wy_day(F.col("date")).alias("n")).collect()}

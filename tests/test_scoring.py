@@ -1,7 +1,9 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from freshet.operators import scoring
@@ -78,6 +80,21 @@ def test_best_runs(spark):
     assert [r["run_id"] for r in got] == [20, 21, 19]
 
 
+@pytest.mark.parametrize("k", [3, 40, 1000])
+def test_first_rows_beyond_the_group_limit_equal_a_window(spark, monkeypatch, k):
+    rng = random.Random(k)
+    rows = [
+        (rng.choice(["a", "a", "b", None]), i, rng.choice([None, float("nan"), -1.0, 0.0, 0.0, rng.random(), rng.random()]))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, "basin string, run_id int, v double").repartition(4)
+    order = Window.partitionBy("basin").orderBy(F.col("v").asc_nulls_last(), "run_id")
+    want = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).collect()
+    monkeypatch.setattr(scoring, "GROUP_LIMIT", 2)
+    got = scoring.first_rows(df, ["basin"], F.col("v"), "run_id", k).select("basin", "run_id", "rank").collect()
+    assert sorted((str(r["basin"]), r["run_id"], r["rank"]) for r in got) == sorted((str(r["basin"]), r["run_id"], r["rank"]) for r in want)
+
+
 def test_composite_keeps_duplicates(spark):
     got = scoring.best_composite(scored(spark), ["basin"])
     assert got.count() == 40
