@@ -32,11 +32,20 @@ def target_tokens(sizes: dict, weights: dict, total: float, most: float = 2.0) -
 def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     """Integer quotas: each seat goes to the highest votes / (2 * seats so far + 1), never over `most`.
 
-    All but a few seats a party are given at once: below the final quotient every party has
-    at least its share by the divisor less one. Ties go to the earlier party.
+    A divisor is bisected until the quotients above it are no more than the seats; a party has
+    those for sure, less one for rounding, and a heap gives the few seats left one by one. Ties
+    go to the earlier party.
     """
-    total = sum(v for v, m in zip(votes, most) if m > 0)
-    quota = [min(m, max(0, int(seats * v / total) - 1)) if total else 0 for v, m in zip(votes, most)]
+
+    def above(divisor: float) -> list[int]:
+        return [min(m, int((v / divisor + 1) / 2)) if v > 0 else 0 for v, m in zip(votes, most)]
+
+    low, high = 0.0, 2.0 * max(votes, default=0.0) + 1.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        if low < middle < high:
+            low, high = (low, middle) if sum(above(middle)) <= seats else (middle, high)
+    quota = [max(0, q - 1) for q in above(high)]
     heap = [(-v / (2 * q + 1), i) for i, (v, q, m) in enumerate(zip(votes, quota, most)) if q < m and v > 0]
     heapq.heapify(heap)
     for _ in range(seats - sum(quota)):
