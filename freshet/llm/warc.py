@@ -16,7 +16,7 @@ CHUNK = 1 << 18
 # Rows go to Spark in batches of about this many bytes.
 BATCH = 1 << 22
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNKS = "page_id long, url string, record string, chunk_no int, data binary, n_bytes long, sha1 string, last boolean"
+CHUNKS = "row long, page_id long, url string, record string, chunk_no int, data binary, n_bytes long, sha1 string, last boolean"
 
 
 def _base32(digest) -> str:
@@ -42,20 +42,21 @@ class _Batches:
 
 
 _CHUNK_SCHEMA = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("record", pa.string()), ("chunk_no", pa.int32()), ("data", pa.binary()),
-     ("n_bytes", pa.int64()), ("sha1", pa.string()), ("last", pa.bool_())]
+    [("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record", pa.string()), ("chunk_no", pa.int32()),
+     ("data", pa.binary()), ("n_bytes", pa.int64()), ("sha1", pa.string()), ("last", pa.bool_())]
 )
 
 
 def chunked(pages: DataFrame, chunk: int = CHUNK, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """The chunk table: page_id, url, record, chunk_no, data, n_bytes, sha1, last.
+    """The chunk table: row, page_id, url, record, chunk_no, data, n_bytes, sha1, last.
 
-    page_id and record (the whole payload's digest) name the record. n_bytes and sha1 (upper-case base32) are running: they cover the payload up to and with
+    row numbers the rows of pages, so equal rows are records of their own; page_id and record (the
+    whole payload's digest) lead to the entry of records(). n_bytes and sha1 (upper-case base32) are running: they cover the payload up to and with
     this chunk, so the last chunk's are the whole payload's. A null or empty payload is one
     empty chunk. url is carried by chunk 0 alone; a page table without urls has null ones.
     """
     link = F.col(url) if url in pages.columns else F.lit(None)
-    source = pages.select(F.col(page_id).cast("long"), link.cast("string"), F.col(payload).cast("binary"))
+    source = pages.select(F.col(page_id).cast("long"), link.cast("string"), F.col(payload).cast("binary"), F.monotonically_increasing_id())
 
     def cut(batches):
         out = _Batches(_CHUNK_SCHEMA)
@@ -63,13 +64,13 @@ def chunked(pages: DataFrame, chunk: int = CHUNK, page_id: str = "page_id", url:
             for i in range(batch.num_rows):
                 buffer = batch.column(2)[i].as_buffer()
                 view = memoryview(buffer) if buffer is not None else memoryview(b"")
-                page, address = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                page, address, number = (batch.column(c)[i].as_py() for c in (0, 1, 3))
                 digest, record = hashlib.sha1(), _base32(hashlib.sha1(view))
                 for no, at in enumerate(range(0, max(1, len(view)), chunk)):
                     part = bytes(view[at : at + chunk])
                     digest.update(part)
                     end = at + len(part)
-                    row = (page, address if no == 0 else None, record, no, part, end, _base32(digest), end == len(view))
+                    row = (number, page, address if no == 0 else None, record, no, part, end, _base32(digest), end == len(view))
                     yield from out.add(row, len(part))
         yield out.flush()
 
@@ -123,10 +124,10 @@ def write(chunks: DataFrame, index: DataFrame, folder: str, most_bytes: int = 25
     """
     notes = index.select(F.col("page_id").alias("_id"), "n_bytes", F.col("sha1").alias("_sha1"), "refers_to")
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("record") == F.col("_sha1"))
-    joined = chunks.select("page_id", "url", "record", "chunk_no", "data").join(notes, same)
+    joined = chunks.select("row", "page_id", "url", "record", "chunk_no", "data").join(notes, same)
     # A revisit's body is not read again.
     joined = joined.filter("refers_to is null or chunk_no = 0").withColumn("data", F.expr("if(refers_to is null, data, null)"))
-    joined = joined.sortWithinPartitions("page_id", "record", "chunk_no")
+    joined = joined.sortWithinPartitions("page_id", "record", "row", "chunk_no")
 
     def put(batches):
         import uuid
@@ -134,7 +135,7 @@ def write(chunks: DataFrame, index: DataFrame, folder: str, most_bytes: int = 25
         system, top = _open(folder)
         system.create_dir(top, recursive=True)
         sink = packer = None
-        done, path, count, size, before = [], "", 0, 0, None
+        done, path, count, size = [], "", 0, 0
 
         def close():
             nonlocal sink, packer
@@ -144,10 +145,6 @@ def write(chunks: DataFrame, index: DataFrame, folder: str, most_bytes: int = 25
 
         for batch in batches:
             for r in batch.to_pylist():
-                key = (r["page_id"], r["record"], r["chunk_no"])
-                if key == before:
-                    continue
-                before = key
                 if r["chunk_no"] == 0:
                     close()
                     if sink is not None and size >= most_bytes:
@@ -239,8 +236,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Edge cases: a null or empty html is an empty payload; a null url is left out; a page
-    without page_id is a response, with a null id; rows that repeat a page_id and its payload
-    are one record; with different payloads each is a record. Other columns are not read. No pages, no records.
+    without page_id is a response, with a null id; rows that repeat a page_id are a record each,
+    with equal payloads all of the same type. Other columns are not read. No pages, no records.
     """
     stage = Stage(pages.sparkSession, "warc")
     # Hash partitions of pages hold whole records, so what one task writes is bounded by it.
