@@ -63,13 +63,14 @@ def frequent(docs: DataFrame, definition: str, sample_rows: int = 4096, size: in
     """Token lengths of up to `size` pre-tokens that are frequent in about sample_rows rows.
 
     Only what is found often goes into the table, and the counts do not depend on it: a
-    missing pre-token is encoded where it is met. Eight tasks count, each sends `size` at most.
+    missing pre-token is encoded where it is met. Each task of the scan counts its own share of
+    the sample, the counts are added up by pre-token, and `size` of them reach the driver.
     """
     special, pattern = splitter(definition)
     n = docs.count()
     if not n:
         return {}
-    sample = docs.select(F.col(text)).sample(min(1.0, sample_rows / n), seed=13).coalesce(8)
+    sample = docs.select(F.col(text)).sample(min(1.0, sample_rows / n), seed=13)
 
     def count(batches):
         word, found = regex.compile(pattern), Counter()
@@ -81,10 +82,8 @@ def frequent(docs: DataFrame, definition: str, sample_rows: int = 4096, size: in
         top = found.most_common(size)
         yield pa.record_batch([pa.array([w for w, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], names=["w", "c"])
 
-    total = Counter()
-    for r in sample.mapInArrow(count, "w string, c long").toLocalIterator():
-        total[r["w"]] += r["c"]
-    words = [w for w, c in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size] if c > 1]
+    total = sample.mapInArrow(count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1")
+    words = [r["w"] for r in total.orderBy(F.desc("c"), "w").limit(size).collect()]
     return dict(zip(words, _encode(_tokenizer(definition)[0], words)))
 
 
