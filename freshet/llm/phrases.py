@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +33,10 @@ _BREAK[list(BREAKS)] = True
 class HatTrie:
     """Counts of paths of word numbers, in hash containers below a shallow trie.
 
-    Inner nodes (_Node) go by one word number; a container is a dict from the rest of a path to
-    its count. A container of more than `burst` entries becomes a node with one container for
-    each next word. The trie's words and entries are what memory holds; spill() writes whole
-    subtrees as sorted runs, the largest first, and takes them out.
+    Inner nodes go by one word number and hold the language and all words of a path but the last
+    two. Below them a container is a dict from the last words, packed into one number, to their
+    count; one of more than `burst` entries bursts into a node with a container for each next
+    word. spill() takes whole subtrees out as sorted runs, the largest first.
     """
 
     def __init__(self, burst: int = 4096):
@@ -41,68 +44,77 @@ class HatTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.root = _Node()
+        # Containers by path; None marks a path whose container has burst.
+        self.below: dict[tuple[int, ...], dict[int, int] | None] = {}
         self.size = self.bytes = 0
         self.numbers: dict[bytes, int] = {}
         self.words: list[bytes] = []
 
-    def number(self, word: bytes) -> int:
-        n = self.numbers.setdefault(word, len(self.words))
-        if n == len(self.words):
-            self.words.append(word)
-            self.bytes += len(word)
-        return n
-
-    def add(self, path: tuple[int, ...], count: int) -> None:
-        node, at = self.root, 0
-        while True:
-            below = node.below.get(path[at])
-            at += 1
-            if type(below) is not _Node:
-                break
-            node = below
-        if below is None:
-            below = node.below[path[at - 1]] = {}
-        rest = path[at:]
-        if rest in below:
-            below[rest] += count
-            return
-        below[rest] = count
-        self.size += 1
-        if len(below) > self.burst and len(rest) > 1:
-            node.below[path[at - 1]] = burst = _Node()
-            for r, c in below.items():
-                burst.below.setdefault(r[0], {})[r[1:]] = c
-
-    def subtrees(self):
-        """(path of the container, its parent, container) of all containers."""
-        todo = [((), self.root)]
-        while todo:
-            path, node = todo.pop()
-            for n, below in node.below.items():
-                if type(below) is _Node:
-                    todo.append(((*path, n), below))
-                else:
-                    yield (*path, n), node, below
-
-    def spill(self, keep: int):
-        """(words of the path, sorted run of (other words, count)) of whole containers until at most `keep` entries stay."""
-        for path, parent, container in sorted(self.subtrees(), key=lambda s: -len(s[2])):
+    def number(self, words: list[bytes]) -> np.ndarray:
+        """The trie's numbers of words."""
+        numbers, known = self.numbers, self.words
+        new = [w for w in words if w not in numbers]
+        numbers.update(zip(new, range(len(known), len(known) + len(new))))
+        known += new
+        self.bytes += sum(map(len, new))
+        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+
+    def add(self, paths: list[np.ndarray], counts: np.ndarray) -> None:
+        """Adds distinct paths (one array for each step) in their order."""
+        head = max(1, len(paths) - 2)
+        self._add(paths[:head], paths[head:], counts)
+
+    def _add(self, head: list[np.ndarray], rest: list[np.ndarray], counts: np.ndarray) -> None:
+        n = len(counts)
+        new = np.zeros(n, bool)
+        new[0] = True
+        for column in head:
+            new[1:] |= column[1:] != column[:-1]
+        cuts = np.flatnonzero(new)
+        keys = (rest[0] if len(rest) == 1 else (rest[0] << 32) | rest[1]).tolist()
+        values, ends = counts.tolist(), [*cuts[1:].tolist(), n]
+        for path, lo, hi in zip(zip(*[c[cuts].tolist() for c in head]), cuts.tolist(), ends):
+            into = self.below.setdefault(path, {})
+            if into is None:
+                self._add([c[lo:hi] for c in [*head, rest[0]]], [rest[1][lo:hi]], counts[lo:hi])
+                continue
+            before = len(into)
+            fresh = dict(zip(keys[lo:hi], values[lo:hi]))
+            for key in into.keys() & fresh.keys():
+                fresh[key] += into[key]
+            into.update(fresh)
+            self.size += len(into) - before
+            if len(into) > self.burst and len(rest) == 2:
+                self.below[path] = None
+                for key, c in into.items():
+                    self.below.setdefault((*path, key >> 32), {})[key & 0xFFFFFFFF] = c
+
+    def spill(self, keep: int, batch: int):
+        """(word numbers of each step, counts) of whole containers until at most `keep` entries stay."""
+        length, todo = 0, []
+        for path, into in sorted(((p, c) for p, c in self.below.items() if c), key=lambda s: -len(s[1])):
             if self.size <= keep:
                 break
-            words = self.words
-            yield [words[n] for n in path], sorted(([words[n] for n in rest], c) for rest, c in container.items())
-            del parent.below[path[-1]]
-            self.size -= len(container)
-        if not self.size:
-            self.clear()
-
-
-class _Node:
-    __slots__ = ("below",)
-
-    def __init__(self):
-        self.below: dict = {}
+            todo.append((path, into))
+            del self.below[path]
+            self.size -= len(into)
+            length += len(into)
+            if length >= batch:
+                yield self._columns(todo)
+                length, todo = 0, []
+        if todo:
+            yield self._columns(todo)
+
+    @staticmethod
+    def _columns(subtrees):
+        """Arrays of containers whose paths may differ in length."""
+        for size in sorted({len(p) for p, _ in subtrees}):
+            some = [(p, c) for p, c in subtrees if len(p) == size]
+            times = [len(c) for _, c in some]
+            head = [np.repeat(np.array(x, np.int64), times) for x in zip(*[p for p, _ in some])]
+            n = sum(times)
+            keys = np.fromiter(itertools.chain.from_iterable(c for _, c in some), np.int64, n)
+            yield head, keys, np.fromiter(itertools.chain.from_iterable(c.values() for _, c in some), np.int64, n)
 
 
 def _runs(texts: pa.Array):
@@ -142,7 +154,7 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     border = stop.astype(np.int32)
     border[edge] += 1
-    piece = np.cumsum(border)[start]
+    piece = np.cumsum(border, dtype=np.int32)[start]
     row = np.searchsorted(offsets, start, "right") - 1
     at = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=at[1:])
@@ -150,7 +162,15 @@ def _words(data: np.ndarray, offsets: np.ndarray):
         pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[inside[:-1]])]
     )
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), row, piece, coded.dictionary.to_pylist()
+    return coded.indices.to_numpy().astype(np.int64), row, piece, _list(coded.dictionary)
+
+
+def _list(words: pa.LargeBinaryArray) -> list[bytes]:
+    """The words of an array without nulls, sliced out of its bytes."""
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(at, at[1:])]
 
 
 def _chain(seed: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
@@ -162,11 +182,11 @@ def _chain(seed: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def _seeds(langs: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in langs], np.uint64)
+    return _hashes([b"\n" + x.encode() for x in langs])
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _bits(hashes: np.ndarray) -> list[np.ndarray]:
@@ -183,21 +203,28 @@ def _passes(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrases(ids, row, piece, dictionary, langs, k, known):
-    """(language codes, k arrays of word numbers, language names) of the phrases that may be frequent."""
-    names = sorted(set(langs))
-    code = np.array([names.index(x) for x in langs], np.int64)[row]
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * k, names
-    good = piece[:n] == piece[k - 1 :]
-    if k > 1:
-        # A phrase of k words is frequent only if both of its phrases of k - 1 words are.
+def _phrases(ids, row, piece, dictionary, langs, sizes, known, below):
+    """(k, language codes, k arrays of word numbers) of the phrases that may be frequent, for each size k.
+
+    A phrase is frequent only if all phrases of `below` words in it are, which the filter tells.
+    """
+    names, code = langs
+    code = code[row]
+    if known is not None:
+        n = len(ids) - below + 1
         word, seed = _hashes(dictionary)[ids], _seeds(names)[code]
-        part = _passes(known, _chain(seed[: n + 1], [word[i : i + n + 1] for i in range(k - 1)]))
-        good &= part[:n] & part[1:]
-    at = np.flatnonzero(good)
-    return code[at], [ids[at + i] for i in range(k)], names
+        part = _passes(known, _chain(seed[:n], [word[i : i + n] for i in range(below)])) if n > 0 else np.zeros(0, bool)
+    for k in sizes:
+        n = len(ids) - k + 1
+        if n <= 0:
+            continue
+        good = piece[:n] == piece[k - 1 :]
+        if known is not None:
+            for i in range(k - below + 1):
+                good &= part[i : i + n]
+        at = np.flatnonzero(good)
+        if len(at):
+            yield k, code[at], [ids[at + i] for i in range(k)]
 
 
 def _distinct(code: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,78 +237,80 @@ def _distinct(code: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray,
     return first, count
 
 
-def _counter(k: int, filter_, hot, limit: int):
-    """Task that counts the phrases of k words: lang, part, phrase, c; a null phrase has the number of words."""
+def _counter(sizes: list[int], filter_, hot, limit: int):
+    """Task that counts the phrases of these sizes: lang, part, phrase, c; a null phrase has the number of words."""
 
-    def count(batches):
-        known = filter_.value if filter_ else None
-        hot_here, trie, total = hot.value, HatTrie(), {}
-
-        def part(lang: str, words: list[bytes]) -> int:
-            """The prefix partition: of the shortest prefix that is not hot."""
-            size = 1
-            while size < k and (lang, b" ".join(words[:size]).decode()) in hot_here:
-                size += 1
-            return xxhash.xxh3_64_intdigest(lang.encode() + b"\n" + b" ".join(words[:size])) - (1 << 63)
-
-        def batch_of(rows):
-            langs, parts, texts, counts = zip(*rows)
-            return pa.record_batch(
-                [
-                    pa.array(langs, pa.string()),
-                    pa.array(parts, pa.int64()),
-                    pa.array(texts, pa.binary()).cast(pa.string()),
-                    pa.array(counts, pa.int64()),
-                ],
-                names=["lang", "part", "phrase", "c"],
-            )
+    def part(k: int, head: np.ndarray, words: list[np.ndarray], hot_here: np.ndarray) -> np.ndarray:
+        """The prefix partition: a hash of the shortest prefix that is not hot."""
+        out = _chain(head, words[:1])
+        for size in range(2, k + 1):
+            out = np.where(np.isin(out, hot_here), _chain(head, words[:size]), out)
+        return out.view(np.int64)
 
-        def rows(keep):
-            out = []
-            for path, run in trie.spill(keep):
-                lang, head = path[0][1:].decode(), path[1:]
-                # Where the path has a word and that is not hot, a subtree is in one partition.
-                alike = part(lang, head) if head and (lang, head[0].decode()) not in hot_here else None
-                for rest, c in run:
-                    words = [*head, *rest]
-                    out.append((lang, part(lang, words) if alike is None else alike, b" ".join(words), c))
-                if len(out) >= BATCH:
-                    yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
+    def rows(k: int, trie: HatTrie, keep: int, hot_here: np.ndarray):
+        """Sorted runs of whole subtrees."""
+        if not trie.size:
+            return
+        words, hashes = pa.array(trie.words, pa.binary()), _hashes(trie.words)
+        # The first step of a path is the language, which a line feed marks.
+        names = pa.array([w[1:] if w[:1] == b"\n" else b"" for w in trie.words], pa.binary())
+        for columns in trie.spill(keep, BATCH):
+            for head, keys, counts in columns:
+                steps = [*head, keys] if len(head) == k else [*head, keys >> 32, keys & 0xFFFFFFFF]
+                texts = pc.binary_join_element_wise(*[words.take(pa.array(s)) for s in steps[1:]], b" ")
+                run = pa.record_batch(
+                    [
+                        names.take(pa.array(steps[0])).cast(pa.string()),
+                        pa.array(part(k, hashes[steps[0]], [hashes[s] for s in steps[1:]], hot_here)),
+                        texts.cast(pa.string()),
+                        pa.array(counts),
+                    ],
+                    names=["lang", "part", "phrase", "c"],
+                )
+                yield run.sort_by([("lang", "ascending"), ("phrase", "ascending")])
 
+    def count(batches):
+        known = filter_.value if filter_ else None
+        hot_here, total = hot.value, {}
+        tries = {k: HatTrie() for k in sizes}
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            names = sorted(set(batch.column(0).to_pylist()))
+            code = pc.index_in(batch.column(0), pa.array(names, pa.string())).to_numpy().astype(np.int64)
             for lo, data, offsets in _runs(batch.column(1)):
                 ids, row, piece, dictionary = _words(data, offsets)
-                if not len(ids):
-                    continue
-                code, columns, names = _phrases(
-                    ids, row, piece, dictionary, langs[lo : lo + len(offsets) - 1], k, known
-                )
-                if k == 1:
-                    for i, c in enumerate(np.bincount(code, minlength=len(names)).tolist()):
+                here = code[lo : lo + len(offsets) - 1]
+                if sizes[0] == 1:
+                    for i, c in enumerate(np.bincount(here[row], minlength=len(names)).tolist()):
                         total[names[i]] = total.get(names[i], 0) + c
-                if not len(code):
-                    continue
-                first, counts = _distinct(code, columns)
-                # Numbers of the trie for the words that occur; a language is the first word of a path.
-                own = [trie.number(b"\n" + x.encode()) for x in names]
-                paths = [[own[c] for c in code[first].tolist()]]
-                for column in columns:
-                    used, back = np.unique(column[first], return_inverse=True)
-                    numbers = np.array([trie.number(dictionary[i]) for i in used.tolist()], np.int64)
-                    paths.append(numbers[back].tolist())
-                for path, c in zip(zip(*paths), counts.tolist()):
-                    trie.add(path, c)
-                if trie.size > limit:
-                    yield from rows(limit // 2)
-                if len(trie.words) > 4 * limit or trie.bytes > 32 * limit:
-                    yield from rows(0)
-        yield from rows(0)
+                for k, langs, columns in _phrases(ids, row, piece, dictionary, (names, here), sizes, known, sizes[0] - 1):
+                    trie = tries[k]
+                    first, counts = _distinct(langs, columns)
+                    # The trie's numbers of the words that occur; a language is the first step of a path.
+                    used = np.zeros(len(dictionary), bool)
+                    for column in columns:
+                        used[column[first]] = True
+                    numbers = np.zeros(len(dictionary), np.int64)
+                    numbers[used] = trie.number([dictionary[i] for i in np.flatnonzero(used).tolist()])
+                    own = trie.number([b"\n" + x.encode() for x in names])
+                    trie.add([own[langs[first]], *[numbers[c[first]] for c in columns]], counts)
+                    if trie.size > limit:
+                        yield from rows(k, trie, limit // 2, hot_here)
+                    if len(trie.words) > 4 * limit or trie.bytes > 32 * limit:
+                        yield from rows(k, trie, 0, hot_here)
+                        trie.clear()
+        for k, trie in tries.items():
+            yield from rows(k, trie, 0, hot_here)
         if total:
-            yield batch_of([(x, part(x, [b""]), None, c) for x, c in sorted(total.items())])
+            some = sorted(total)
+            yield pa.record_batch(
+                [
+                    pa.array(some, pa.string()),
+                    pa.array(_seeds(some).view(np.int64)),
+                    pa.nulls(len(some), pa.string()),
+                    pa.array([total[x] for x in some], pa.int64()),
+                ],
+                names=["lang", "part", "phrase", "c"],
+            )
 
     return count
 
@@ -311,29 +340,34 @@ def count_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): lang, phrase, k, f of all phrases with f >= least; lang, n words.
 
-    One pass over the texts for each length. In each task a HAT-trie counts; beyond `limit`
-    entries its largest subtrees leave as sorted runs, which are merged per prefix partition
-    (the first words of a phrase, one more where a prefix is hot). Phrases whose two parts of
-    one word less are not both frequent are ruled out by a filter of fixed size: it may let
-    others through, never stop a frequent one, so counts are exact.
+    Three passes over the texts: for words, for pairs, for longer phrases. In each task a HAT-trie
+    for each length counts; beyond `limit` entries its largest subtrees leave as sorted runs,
+    which are merged per prefix partition (the first words of a phrase, one more where a prefix
+    is hot). Phrases that hold a word or pair that is not frequent are ruled out by a filter of
+    fixed size: it may let others through, never stop a frequent one, so counts are exact.
     """
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text))
-    levels, hot, known, totals = [], set(), None, None
-    for k in range(1, longest + 1):
-        send = spark.sparkContext.broadcast(frozenset(hot))
-        runs = source.mapInArrow(_counter(k, known, send, limit), "lang string, part long, phrase string, c long")
+    levels, hot, known, totals = [], np.zeros(0, np.uint64), None, None
+    for sizes in ([1], [2], list(range(3, longest + 1))):
+        if not sizes or sizes[0] > longest:
+            break
+        send = spark.sparkContext.broadcast(hot)
+        runs = source.mapInArrow(_counter(sizes, known, send, limit), "lang string, part long, phrase string, c long")
         merged = runs.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("c").alias("f"))
-        level = stage.keep(merged.filter((F.col("f") >= least) | F.col("phrase").isNull()).drop("part"), f"level{k}")
-        if k == 1:
+        level = stage.keep(merged.filter((F.col("f") >= least) | F.col("phrase").isNull()).drop("part"), f"level{sizes[0]}")
+        if sizes[0] == 1:
             totals = level.filter("phrase is null").select("lang", F.col("f").alias("n"))
             all_words = totals.agg(F.sum("n")).first()[0] or 0
             level = level.filter("phrase is not null")
-        levels.append(level.select("lang", "phrase", F.lit(k).alias("k"), "f"))
-        if k == longest or not level.limit(1).count():
+        levels.append(level.select("lang", "phrase", (F.size(F.split("phrase", " "))).alias("k"), "f"))
+        k = sizes[-1]
+        if k > 2 or k == longest or not level.limit(1).count():
             break
         # At most HOT_SHARE phrases of a length are hot.
-        hot |= {(r["lang"], r["phrase"]) for r in level.filter(F.col("f") * HOT_SHARE >= all_words).collect()}
+        often = level.filter(F.col("f") * HOT_SHARE >= all_words).collect()
+        parts = [_hashes([r["phrase"].split(" ")[i].encode() for r in often]) for i in range(k)]
+        hot = np.concatenate([hot, _chain(_seeds([r["lang"] for r in often]), parts)])
         known = spark.sparkContext.broadcast(_filter(spark, level, k))
     out = levels[0]
     for level in levels[1:]:
