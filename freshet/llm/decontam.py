@@ -17,8 +17,8 @@ from freshet.llm.shared import by_value, documents
 # (deviation 3); within radius 20 some block differs in at most 2 bits (8 * 3 > 20).
 RADIUS = 20
 BLOCKS = 8
-# A window may start this share of the item's length away from where a shared shingle puts it.
-SLACK = 0.25
+# Words that the running sums of signs span at a time.
+SPAN = 8192
 
 
 def leaks(
@@ -26,7 +26,7 @@ def leaks(
     benchmark: DataFrame,
     words: int = 5,
     percent: int = 80,
-    max_items: int = 200_000,
+    max_items: int = 100_000,
     doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
@@ -40,12 +40,14 @@ def leaks(
     as the item. similarity is the weighted Jaccard coefficient of the two multisets, and a
     document is reported with its best window (the first of equals) at percent / 100 or more.
 
-    Method. A window without any shingle of an item has similarity 0, so only windows around
-    a shared shingle are fingerprinted: all that a similarity of 0.8 allows. Each window's
-    SimHash is looked up in blocks: two fingerprints within RADIUS agree in some block up to
-    2 bits, so the union over blocks holds all items within the radius. Those candidates are
-    verified exactly. Documents are never shuffled: the benchmark's arrays go to all tasks,
-    after max_items has bounded their number (more items raise ValueError).
+    Method. Windows are taken for every length that items have. One can only be similar enough
+    if its shingles that some item holds weigh percent / 100 of the lightest item of its length;
+    all others are passed over, so ordinary text is hardly ever fingerprinted. The SimHash of
+    each window left is looked up in blocks: two fingerprints within RADIUS agree in some block
+    up to 2 bits, so the union over blocks holds all items within the radius, in whatever order
+    their words stand. These candidates are verified exactly. Documents are never shuffled: the
+    benchmark's arrays go to all tasks (some 300 bytes an item besides its shingles), after
+    max_items has bounded their number (more items raise ValueError).
 
     Edge cases: null or empty texts and items match nothing; equal items are reported each;
     a repeated document row is reported for each row; a null doc_id is reported as null;
@@ -62,7 +64,7 @@ def decontaminate(
     benchmark: DataFrame,
     words: int = 5,
     percent: int = 80,
-    max_items: int = 200_000,
+    max_items: int = 100_000,
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
@@ -81,6 +83,7 @@ def decontaminate(
             for found in search([own]):
                 kept[found.column(0).to_numpy()] = False
             yield batch.filter(pa.array(kept))
+        ta.release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -99,7 +102,7 @@ def _lowered(texts) -> pa.Array:
 
 
 def _prepare(rows: pa.Table, words: int) -> dict:
-    """The items' shingles, weights, fingerprints and the postings from shingle to item."""
+    """The items' shingles, weights and fingerprints, and for each length what is near to which."""
     ids, sets = [], []
     for lo, _, data, offsets in ta.chunks(_lowered(rows.column(1))):
         w = ta.Words(data, offsets, lower=True, strip=True)
@@ -116,9 +119,6 @@ def _prepare(rows: pa.Table, words: int) -> dict:
     top = _weight(len(sets), 0)
     known = np.array(sorted(rare), np.uint64)
     weight = np.array([rare[h] for h in known.tolist()], np.int64)
-    post = [(h, k, o) for k, (_, s) in enumerate(sets) for o, h in enumerate(s.tolist())]
-    post.sort()
-    at = np.searchsorted(np.array([p[0] for p in post], np.uint64), known, "left")
     prints = np.array([_simhash(s, known, weight, top) for _, s in sets], np.uint64)
     by_length: dict[int, list[int]] = {}
     for k, (n, _) in enumerate(sets):
@@ -128,8 +128,9 @@ def _prepare(rows: pa.Table, words: int) -> dict:
     for n, group in by_length.items():
         blocks = prints[group].view(np.uint8).reshape(len(group), BLOCKS)
         # For each block, which of 256 values leads to which item of this length.
-        table = near[np.arange(256)[None, :, None] ^ blocks.T[:, None, :]]
-        index[n] = (np.array(group), np.packbits(table, axis=2))
+        table = np.stack([np.packbits(near[np.arange(256)[:, None] ^ blocks[:, i]], axis=1) for i in range(BLOCKS)])
+        least = min(int(_weights(sets[k][1], known, weight, top).sum()) for k in group)
+        index[n] = (np.array(group), table, least)
     # A filter of a few bits a shingle goes before the sorted search.
     bits = 12
     while (1 << bits) < 32 * max(1, len(known)):
@@ -138,9 +139,7 @@ def _prepare(rows: pa.Table, words: int) -> dict:
     sieve[known & np.uint64((1 << bits) - 1)] = True
     return {
         "ids": ids, "sets": sets, "known": known, "weight": weight, "top": top, "prints": prints, "index": index,
-        "at": np.append(at, len(post)), "item": np.array([p[1] for p in post], np.int64),
-        "offset": np.array([p[2] for p in post], np.int64), "sieve": sieve, "mask": np.uint64((1 << bits) - 1),
-        "short": sorted({n for n, _ in sets if n < words}),
+        "sieve": sieve, "mask": np.uint64((1 << bits) - 1), "short": sorted({n for n, _ in sets if n < words}),
     }
 
 
@@ -200,28 +199,23 @@ def _searcher(sent, words: int, percent: int):
         items = sent.value
         if not items["ids"]:
             return
-        lengths = np.array([n for n, _ in items["sets"]])
         for batch in batches:
             ids, out = batch.column(0), []
             for lo, _, data, offsets in ta.chunks(_lowered(batch.column(1))):
                 w = ta.Words(data, offsets, lower=True, strip=True)
-                rows = w.row_of()
+                rows, best = w.row_of(), {}
                 for k, values, position, shingle in anchors(w, items):
                     if not len(position):
                         continue
-                    # All (row, item, start) that a shared shingle points at.
-                    n = items["at"][shingle + 1] - items["at"][shingle]
-                    post = np.repeat(items["at"][shingle] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                    item, start = items["item"][post], np.repeat(position, n) - items["offset"][post]
-                    row = rows[np.repeat(position, n)]
-                    fits = (lengths[item] >= words) if k == words else (lengths[item] == k)
-                    found = np.unique(np.stack([row[fits], item[fits], start[fits]], 1), axis=0)
-                    edge = np.flatnonzero(np.any(found[1:, :2] != found[:-1, :2], axis=1)) + 1
-                    for group in np.split(found, edge) if len(found) else []:
-                        best = self_match(w, values, group, k, lengths, items)
-                        if best:
-                            r, i, s, similarity = best
-                            out.append((lo + r, i, s - int(w.rows[r]), int(lengths[i]), similarity))
+                    sums = np.append(0, np.cumsum(items["weight"][shingle]))
+                    for size in [n for n in items["index"] if (n >= words if k == words else n == k)]:
+                        starts, spans = windows(w, rows, position, sums, size, k, percent * items["index"][size][2])
+                        for i, s, similarity in matches(values, starts, spans, size, items):
+                            key = int(rows[s]), i
+                            if key not in best or (similarity, -s) > (best[key][1], -best[key][0]):
+                                best[key] = s, similarity
+                for (r, i), (s, similarity) in sorted(best.items()):
+                    out.append((lo + r, i, s - int(w.rows[r]), items["sets"][i][0], similarity))
             yield pa.record_batch(
                 [
                     ids.take(pa.array([o[0] for o in out], pa.int64())),
@@ -231,38 +225,53 @@ def _searcher(sent, words: int, percent: int):
                 names=["doc_id", "item_id", "start_word", "n_words", "similarity"],
             )
 
-    def self_match(w, values, group, k, lengths, items):
-        """The best verified window of one document for one item."""
-        r, i = int(group[0, 0]), int(group[0, 1])
-        size = int(lengths[i])
-        slack = int(SLACK * size)
-        starts = np.unique(group[:, 2][:, None] + np.arange(-slack, slack + 1)[None, :])
-        first, end = int(w.rows[r]), int(w.rows[r + 1])
+    def windows(w, rows, position, sums, size, k, need):
+        """(starts, shingles) of all windows whose shared shingles weigh `need` hundredths or more.
+
+        position has the places of shared shingles, sums their running weights. Windows that
+        begin behind one place and not behind the next hold at most what lies within a window's
+        length of the latter, so only places that pass are looked at one start at a time.
+        """
+        first, count = w.rows[rows[position]], w.counts()[rows[position]]
         # A text shorter than the item is one window.
-        starts = np.unique(np.clip(starts, first, max(first, end - size)))
-        span = min(size, end - first) - k + 1
-        if span < 1:
-            return None
-        base = int(starts[0])
-        part = values[base : int(starts[-1]) + span]
-        signs = _signs(part) * _weights(part, items["known"], items["weight"], items["top"])[:, None]
-        sums = np.zeros((len(part) + 1, 64), np.int64)
-        np.cumsum(signs, axis=0, out=sums[1:])
-        prints = np.packbits(sums[starts - base + span] - sums[starts - base] > 0, axis=1)
-        group_ids, table = items["index"][size]
-        at = int(np.searchsorted(group_ids, i))
-        near = np.zeros((len(starts), table.shape[2]), np.uint8)
-        for block in range(BLOCKS):
-            near |= table[block, prints[:, block]]
-        candidate = (near[:, at // 8] >> (7 - at % 8)) & 1 == 1
-        apart = np.bitwise_count(prints.view(np.uint64)[:, 0] ^ items["prints"][i])
-        best = None
-        for s in starts[candidate & (apart <= RADIUS)]:
-            window = part[s - base : s - base + span]
-            similarity = _similarity(window, items["sets"][i][1], items)
-            if 100 * similarity >= percent - 1e-9 and (best is None or similarity > best[3]):
-                best = (r, i, int(s), similarity)
-        return best
+        span = np.minimum(size, count) - k + 1
+        last_start = first + np.maximum(0, count - size)
+        ahead = sums[np.searchsorted(position, position + span)] - sums[:-1]
+        before = np.append(-1, position[:-1])
+        low = np.maximum(np.maximum(before + 1, position - span + 1), first)
+        high = np.minimum(position, last_start)
+        good = np.flatnonzero((100 * ahead >= need) & (low <= high) & (span > 0))
+        n = high[good] - low[good] + 1
+        starts = np.repeat(low[good] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        spans = np.repeat(span[good], n)
+        held = sums[np.searchsorted(position, starts + spans)] - sums[np.searchsorted(position, starts)]
+        full = 100 * held >= need
+        return starts[full], spans[full]
+
+    def matches(values, starts, spans, size, items):
+        """(item, start, similarity) of each verified window; the sums span SPAN words and a window at a time."""
+        group, table, _ = items["index"][size]
+        at = 0
+        while at < len(starts):
+            end = int(np.searchsorted(starts, starts[at] + SPAN))
+            s, m = starts[at:end], spans[at:end]
+            at, base = end, int(s[0])
+            part = values[base : int((s + m).max())]
+            signs = _signs(part) * _weights(part, items["known"], items["weight"], items["top"])[:, None]
+            sums = np.zeros((len(part) + 1, 64), np.int64)
+            np.cumsum(signs, axis=0, out=sums[1:])
+            prints = np.packbits(sums[s - base + m] - sums[s - base] > 0, axis=1)
+            near = np.zeros((len(s), table.shape[2]), np.uint8)
+            for block in range(BLOCKS):
+                near |= table[block, prints[:, block]]
+            for byte in np.flatnonzero(near.any(0)):
+                window, bit = np.nonzero(np.unpackbits(near[:, byte][:, None], axis=1))
+                item = group[np.minimum(8 * byte + bit, len(group) - 1)]
+                apart = np.bitwise_count(prints.view(np.uint64)[window, 0] ^ items["prints"][item])
+                for j, i in zip(window[apart <= RADIUS].tolist(), item[apart <= RADIUS].tolist()):
+                    similarity = _similarity(part[s[j] - base : s[j] - base + m[j]], items["sets"][i][1], items)
+                    if 100 * similarity >= percent - 1e-9:
+                        yield i, int(s[j]), similarity
 
     return search
 
