@@ -102,6 +102,22 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, without all but one of each group of near-duplicates.
+
+    Rows go by a number that they get once docs is written: of a group the row with the least
+    doc_id stays (null last, of equal ones the first), so a doc_id that two texts have, or none,
+    does no harm. Rows without a word stay.
+    """
+    stage = Stage(docs.sparkSession, "single")
+    # The written table fixes the numbers: signatures and texts must read the same.
+    rows = stage.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, words, percent, doc_id="_row", text=text)
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", F.col(doc_id).alias("_id")), "_row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(docs.columns)
+
+
 def _signer(words: int, bands: int, rows: int):
     """Set size, two 64-bit fingerprints of the set, a key for each band, sketch and parity bits."""
 
@@ -155,6 +171,7 @@ def _signer(words: int, bands: int, rows: int):
                     ],
                     names=["id", "n", "f1", "f2", "keys", "sketch", "parity"],
                 )
+        ta.release()
 
     return sign
 
@@ -204,6 +221,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 good[i] = 100 * shared >= percent * (len(a) + len(b) - shared)
             keep = pa.array(good)
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        ta.release()
 
     with_a = pairs.join(texts.selectExpr("id as a", "t as ta"), "a")
     with_both = with_a.join(texts.selectExpr("id as b", "t as tb"), "b").select("a", "b", "ta", "tb")

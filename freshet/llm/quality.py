@@ -207,6 +207,7 @@ def filter_documents(docs: DataFrame, order: list[str] | None = None, text: str
             for _, _, data, offsets in ta.chunks(batch.column(batch.schema.get_field_index(text))):
                 kept.append(_cascade(Texts(data, offsets), order)[2])
             yield batch.filter(pa.array(np.concatenate(kept)))
+        ta.release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,14 @@ _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]]
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: a worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -25,14 +35,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+    """Powers of the base and of its inverse modulo 2^64; a worker keeps those of a chunk."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
+        made = []
+        size = max(n, CHUNK_BYTES + 1)
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        if size > CHUNK_BYTES + 1:
+            return made[0], made[1]
+        _POWERS["up"], _POWERS["down"] = made
     return _POWERS["up"], _POWERS["down"]
 
 
@@ -100,11 +114,24 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from start to end, equal for equal bytes wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """A hash of the bytes from start to end, equal for equal bytes wherever they stand.
+
+    Spans are in order. Those of a long text are taken some at a time: what is held does not
+    grow with the text, only with its longest span.
+    """
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK_BYTES, "right")))
+        base = int(start[at])
+        piece = data[base : int(end[stop - 1])]
+        up, down = _powers(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_TABLE[piece] * up[: len(piece)], out=sums[1:])
+        a, b = start[at:stop] - base, end[at:stop] - base
+        out[at:stop] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = stop
+    return out
 
 
 def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:

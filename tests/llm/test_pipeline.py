@@ -16,6 +16,7 @@ def test_stages_take_effect(spark):
     single = steps["near_duplicates"](spark, good, DATA)
     assert single.columns == docs.columns
     stays = {r["doc_id"] for r in near_dedup.near_duplicates(good).filter("kept").collect()}
+    assert single.count() == len(stays)
     assert {r["doc_id"] for r in single.collect()} == stays
     clean = steps["decontamination"](spark, single, DATA)
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
@@ -31,3 +32,11 @@ def test_stages_pass_empty_tables(spark):
     for _, step in pipeline.STAGES[:-1]:
         assert step(spark, docs, DATA).collect() == []
     assert pipeline.shard(spark, docs, DATA).collect() == []
+
+
+def test_near_duplicates_go_by_row(spark):
+    a, b = "the first text has some ten words of its own in it", "another text about quite different things that nobody else has written"
+    rows = [(5, a), (1, a), (5, b), (None, a), (None, a), (2, None), (2, ""), (None, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in pipeline.near_duplicates(spark, docs, DATA).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (2, None), (2, ""), (None, "short")], key=str)
