@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and
 all but the last return the columns of documents. Null or empty texts fail the quality
-stage; rows that repeat a doc_id are judged alike by near-duplicates, each by itself by the other
-stages; empty tables pass through all stages.
+stage; every stage judges each row by itself, whether its doc_id is repeated or null; empty
+tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -20,10 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least doc_id."""
-    found = near_dedup.near_duplicates(docs, words=5)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates: that with the least doc_id, null last, of equal ones the first."""
+    return near_dedup.drop_near_duplicates(docs, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written and read again."""
+    """All stages over documents; each one's rows are written and read again, and go once the next are."""
     stage = Stage(spark, "pipeline")
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, step in STAGES:
         docs = stage.keep(step(spark, docs, sf_dir), name)
+        if before is not None:
+            stage.drop(before)
+        before = docs
     return docs
