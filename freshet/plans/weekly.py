@@ -9,6 +9,7 @@ from freshet.functions.cleaning import correct_monthly_bias, negative_to_null
 from freshet.functions.units import cfs_to_acft_day, mm_to_acft
 from freshet.operators import forecast, reservoir
 from freshet.operators.gaps import interpolate_linear
+from freshet.sources.staging import Staging
 
 BASIN = ["basin"]
 
@@ -20,14 +21,17 @@ def streamflow(
     """Cumulative streamflow product in acre-feet.
 
     traces(keys, member, param_id, date, sim in mm/day); sensor(keys, date, value in cfs);
-    basins(keys, lat, lon, max_storage, area km2); params adds monthly biases to remove.
+    basins(keys, lat, lon, max_storage, area km2); params adds monthly biases to remove. The filled
+    flow and the traces are written once, and all three parts of the product read these.
     """
+    staging = Staging(traces.sparkSession, "streamflow")
     flow = sensor.select(*keys, "date", cfs_to_acft_day(negative_to_null(F.col("value"))).alias("flow"))
-    flow = interpolate_linear(flow, keys, "date", "flow", ends="edge")
+    flow = staging.keep(interpolate_linear(flow, keys, "date", "flow", ends="edge"))
     if params is not None:
         traces = correct_monthly_bias(traces, params, [*keys, "param_id"])
     areas = basins.select(*keys, "area")
     traces = traces.join(areas, list(keys)).withColumn("sim", mm_to_acft(F.col("sim"), F.col("area"))).drop("area")
+    traces = staging.keep(traces)
     return forecast.forecast_product(
         basins.drop("area"),
         forecast.forecast_quantiles(traces, water_year_start, flow.withColumnRenamed("flow", "obs"), keys=keys),
@@ -41,16 +45,17 @@ def streamflow(
 
 def storage(
     basins: DataFrame, traces: DataFrame, levels: DataFrame, water_year_start: str,
-    params: DataFrame | None = None, keys: Sequence[str] = BASIN, cache: bool = True,
+    params: DataFrame | None = None, keys: Sequence[str] = BASIN,
 ) -> DataFrame:
     """Storage product: loss models from the record, projected along every trace.
 
     levels(keys, date, stor acre-feet, inflow cfs); traces as for streamflow. The filled
-    records feed the models, the projection and the climatology, so they are cached.
+    records feed the models, the projection and the climatology, and the projected traces the
+    quantiles, so each is written once.
     """
-    records = reservoir.loss_records(levels, keys)
-    if cache:
-        records = records.persist()
+    staging = Staging(traces.sparkSession, "storage")
+    records = staging.keep(reservoir.loss_records(levels, keys))
+    traces = staging.keep(traces)
     models = reservoir.loss_models(records, keys)
     if params is not None:
         traces = correct_monthly_bias(traces, params, [*keys, "param_id"])
@@ -61,7 +66,7 @@ def storage(
     past = traces.select(*keys, *forecast.TRACE).distinct().join(
         records.join(last, list(keys)).filter(F.col("date") < F.col("_last")).select(*keys, "date", "stor"), list(keys)
     )
-    whole = past.unionByName(projected)
+    whole = staging.keep(past.unionByName(projected))
     return forecast.forecast_product(
         basins.drop("area"),
         forecast.forecast_quantiles(whole, water_year_start, value="stor", keys=keys, cumulative=False),
