@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from freshet.llm.shared import WORD, Stage, documents, merge_buckets
 
 CHARS = 10
+# Characters of a line that are looked at together.
+BLOCK = 128
 # Of 32 coordinates, 30 are banded.
 BANDS, ROWS = 10, 3
 LEFT_PER_ROW = 20
@@ -15,10 +17,21 @@ LEFT_PER_ROW = 20
 PARITY = 4
 
 
-def _shingles(units: str, chars: int) -> Column:
-    """Hashes of all runs of `chars` characters of a UTF-16BE column; a shorter line is one run."""
-    last = F.greatest(F.floor(F.octet_length(units) / 2) - chars, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * chars))))
+def _shingles(line: str, chars: int) -> Column:
+    """Hashes of all runs of `chars` characters of a line; a shorter line is one run.
+
+    Characters are found by counting from the start of a string, so a line is cut into blocks
+    (each with the start of the next) and the runs out of these.
+    """
+    last = F.greatest(F.length(line) - chars, F.lit(0))
+
+    def runs(block, b):
+        own = F.sequence(F.lit(0), F.least(F.lit(BLOCK - 1), last - BLOCK * b))
+        return F.transform(own, lambda i: F.xxhash64(F.substring(block, i + 1, F.lit(chars))))
+
+    starts = F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda b: F.substring(F.col(line), BLOCK * b + 1, F.lit(BLOCK + chars - 1)))
+    return F.flatten(F.transform(blocks, runs))
 
 
 def _families(lines: DataFrame, chars: int) -> DataFrame:
@@ -34,9 +47,7 @@ def _families(lines: DataFrame, chars: int) -> DataFrame:
     by_word = (n >= 12) & (20 * n >= size)
     whole = (n < 20) | (12 * n < size)
     words = F.sort_array(F.transform("w", lambda x: F.xxhash64(F.lit(1), x)))
-    # Encoded in a column of its own: a lambda would encode the line anew for each shingle.
-    out = out.withColumn("units", F.explode(F.array(F.when(whole, F.encode("line", "UTF-16BE")))))
-    every = F.sort_array(_shingles("units", chars))
+    every = F.sort_array(_shingles("line", chars))
     families = F.array(F.when(by_word, words), F.when(whole, every))
     return out.select(*lines.columns, F.explode(F.filter(families, lambda h: h.isNotNull())).alias("h"))
 
@@ -52,10 +63,13 @@ def signatures(lines: DataFrame, chars: int = CHARS) -> DataFrame:
     out = _families(lines, chars)
     least = F.filter("h", lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get("h", i - 1), 59)))
     out = out.withColumn("c", F.explode(F.array(least))).drop("h")
-    filled = F.transform(
-        F.sequence(F.lit(-16), F.lit(15)),
-        lambda b: F.coalesce(F.get(F.filter("c", lambda x: F.shiftright(x, 59) >= b), 0), F.get("c", 0)),
+    # A range holds its own hash and, before it, all empty ranges since the one filled before.
+    place = F.shiftright
+    ahead = F.transform(
+        "c", lambda x, i: F.array_repeat(x, (place(x, 59) - F.coalesce(place(F.get("c", i - 1), 59), F.lit(-17))).cast("int"))
     )
+    around = F.array_repeat(F.get("c", F.lit(0)), (15 - place(F.element_at("c", -1), 59)).cast("int"))
+    filled = F.concat(F.flatten(ahead), around)
     out = out.withColumn("c", F.explode(F.array(F.when(F.size("c") == 32, F.col("c")).otherwise(filled))))
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get("c", b * ROWS + i) for i in range(ROWS)])
@@ -65,14 +79,14 @@ def signatures(lines: DataFrame, chars: int = CHARS) -> DataFrame:
 
 def _traits(texts: DataFrame, chars: int) -> DataFrame:
     """id, n (distinct shingles), parity of lines: what bounds the similarity of two of them."""
-    units = texts.select("id", F.explode(F.array(F.encode("line", "UTF-16BE"))).alias("units"))
-    sets = units.select("id", F.explode(F.array(F.array_distinct(_shingles("units", chars)))).alias("h"))
-
-    def odd(word: int) -> Column:
-        own = F.filter("h", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARITY - 1)) == word)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    sets = texts.select("id", F.explode(F.array(F.array_distinct(_shingles("line", chars)))).alias("h"))
 
-    return sets.select("id", F.size("h").alias("n"), F.array(*[odd(w) for w in range(PARITY)]).alias("parity"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("x", 6).bitwiseAND(F.lit(PARITY - 1))
+    odd = [F.bit_xor(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(PARITY)]
+    # All shingles of a line are in one task, so partial sums leave one row a line for the shuffle.
+    each = sets.select("id", F.explode("h").alias("x")).groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd)
+    return each.select("id", "n", F.array(*[f"p{w}" for w in range(PARITY)]).alias("parity"))
 
 
 def _possible(percent: int) -> str:
@@ -116,8 +130,8 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     first = stage.keep(first.select("h1", "h2", "first.*", F.monotonically_increasing_id().alias("id")), "first")
     entry = first.join(slim, ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["id", "keys"])
     entry = stage.keep(entry.select("id", "doc_id", "line_no", "keys"), "entry")
-    shared = entry.select("id", F.explode("keys").alias("key")).distinct()
-    keys = stage.keep(shared.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
+    shared = entry.select("id", F.explode("keys").alias("key"))
+    keys = stage.keep(shared.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "keys")
     ids = stage.keep(shared.join(keys, "key", "left_semi").select("id").distinct(), "ids")
     met = stage.keep(entry.join(ids, "id", "left_semi"), "met")
     # Texts of those that meet another: a list of a document's own lines goes to its text.
@@ -131,8 +145,6 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.selectExpr("id as a", "line as la"), "a").join(texts.selectExpr("id as b", "line as lb"), "b")
-        for c in ("la", "lb"):
-            both = both.withColumn(c, F.explode(F.array(F.encode(c, "UTF-16BE"))))
         for c in ("la", "lb"):
             both = both.withColumn(c, F.explode(F.array(F.array_distinct(_shingles(c, chars)))))
         both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
