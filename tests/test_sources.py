@@ -124,18 +124,18 @@ def test_release_query_fits_each_basin_with_all_settings(spark, monkeypatch):
         for g in (0, 1) for i in range(200) for s in [100.0 + (i * 37) % 91]
     ]
     records = spark.createDataFrame(rows, "gage_id int, date date, stor double, inflow double, loss double")
-    asked, whole = [], release.fit
+    asked, whole = [], release.fit_by_basin
 
-    def fit(train, **settings):
+    def fit(rows, keys, **settings):
         asked.append(settings)
-        return whole(train, **{"trees": 10, "folds": 2, "repeats": 1, **settings})
+        return whole(rows, keys, **{"trees": 20, "folds": 2, "repeats": 1, **settings})
 
-    monkeypatch.setattr(release, "fit", fit)
+    monkeypatch.setattr(release, "fit_by_basin", fit)
     monkeypatch.setattr(release, "raw_records", lambda *_: records)
     monkeypatch.setattr(verification, "reservoir", lambda *_: records)
     monkeypatch.setattr(verification.res, "loss_records", lambda *_: records)
     got = verification.QUERIES["l1_release_model"](spark, "").collect()
-    assert asked == [{}, {}]  # the defaults: all trees, folds, repeats and settings
+    assert asked == [{}]  # the defaults: all trees, folds, repeats and settings
     assert len(got) == 4 and all(r["r2"] > 0.7 for r in got)
 
 
