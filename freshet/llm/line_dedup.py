@@ -2,91 +2,124 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.shared import WORD, Stage, documents, merge_buckets
+from freshet.llm import textarrays as ta
+from freshet.llm.shared import WORD, Stage, by_value, documents, merge_buckets
 
 CHARS = 10
-# Characters of a line that are looked at together.
-BLOCK = 128
-# Of 32 coordinates, 30 are banded.
 BANDS, ROWS = 10, 3
 LEFT_PER_ROW = 20
 # Longs of parity bits: a bit tells whether an odd number of a line's shingles fall on it.
 PARITY = 4
+# Bytes of lines that are looked at together.
+RUN_BYTES = 1 << 18
 
 
-def _shingles(line: str, chars: int) -> Column:
-    """Hashes of all runs of `chars` characters of a line; a shorter line is one run.
-
-    Characters are found by counting from the start of a string, so a line is cut into blocks
-    (each with the start of the next) and the runs out of these.
-    """
-    last = F.greatest(F.length(line) - chars, F.lit(0))
-
-    def runs(block, b):
-        own = F.sequence(F.lit(0), F.least(F.lit(BLOCK - 1), last - BLOCK * b))
-        return F.transform(own, lambda i: F.xxhash64(F.substring(block, i + 1, F.lit(chars))))
-
-    starts = F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda b: F.substring(F.col(line), BLOCK * b + 1, F.lit(BLOCK + chars - 1)))
-    return F.flatten(F.transform(blocks, runs))
+def _shingles(data: np.ndarray, offsets: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number by line, hashes in order) of all runs of `chars` characters; a shorter line is one run."""
+    # A character starts at each byte that does not go on with another one.
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    begin = np.searchsorted(at, offsets)
+    size = np.diff(begin)
+    n = np.maximum(size - chars + 1, np.minimum(size, 1))
+    first = np.repeat(begin[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    last = np.minimum(first + chars, np.repeat(begin[1:], n))
+    return n, ta.span_hashes(data, at[first], np.append(at, len(data))[last])
 
 
-def _families(lines: DataFrame, chars: int) -> DataFrame:
-    """Rows (all columns, h): sorted shingle hashes for the signature, one or two rows a line.
+def _sets(n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(line numbers, line number and hash in one, bits of the hash) of the distinct shingles of each line.
 
-    A line of many words is signed by its shingles that begin at a word: a part that the text
-    itself selects, so near lines select alike. Lines of few or very long words are signed by
-    all shingles. The two ranges overlap, so lines near to each other share a family.
+    As many low bits of a hash give way as the line number takes, so two shingles of a run of
+    lines fall together about as seldom as 64-bit hashes of its whole text do.
     """
-    anchored = F.regexp_extract_all("line", F.lit(f"(?s)(?<![^\\x20\\x09-\\x0D])(?=([^\\x20\\x09-\\x0D].{{0,{chars - 1}}}))"), F.lit(1))
-    out = lines.withColumn("w", F.explode(F.array(anchored)))
-    n, size = F.size("w"), F.length("line")
-    by_word = (n >= 12) & (20 * n >= size)
-    whole = (n < 20) | (12 * n < size)
-    words = F.sort_array(F.transform("w", lambda x: F.xxhash64(F.lit(1), x)))
-    every = F.sort_array(_shingles("line", chars))
-    families = F.array(F.when(by_word, words), F.when(whole, every))
-    return out.select(*lines.columns, F.explode(F.filter(families, lambda h: h.isNotNull())).alias("h"))
+    room = 64 - int(len(n)).bit_length()
+    line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    both = np.sort((line << np.uint64(room)) | (hashes >> np.uint64(64 - room)))
+    if len(both):
+        both = both[np.append(True, both[1:] != both[:-1])]
+    return (both >> np.uint64(room)).astype(np.int64), both, room
+
+
+def _signer(chars: int):
+    """Number of distinct shingles, parity bits and a key for each band, by line."""
+
+    def lists(values: np.ndarray) -> pa.Array:
+        rows, width = values.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, width * rows + 1, width, dtype=np.int32)), pa.array(values.ravel()))
+
+    def sign(batches):
+        draw = np.random.default_rng(11)
+        salts, odd = (draw.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+        for batch in batches:
+            for lo, hi, data, offsets in ta.chunks(batch.column(batch.schema.get_field_index("line")), RUN_BYTES):
+                n, hashes = _shingles(data, offsets, chars)
+                line, both, room = _sets(n, hashes)
+                parity = np.zeros((len(n), PARITY), np.uint64)
+                keys = np.zeros((len(n), BANDS), np.uint64)
+                count = np.bincount(line, minlength=len(n))
+                some = np.flatnonzero(n)
+                if len(some):
+                    place = (both >> np.uint64(room - 8)) & np.uint64(255)
+                    bit, word = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6)
+                    starts = (np.cumsum(count) - count)[some]
+                    for w in range(PARITY):
+                        parity[some, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), starts)
+                    starts = (np.cumsum(n) - n)[some]
+                    for band in range(BANDS):
+                        key = np.full(len(some), band + 1, np.uint64)
+                        for k in range(band * ROWS, band * ROWS + ROWS):
+                            low = np.minimum.reduceat((hashes ^ salts[k]) * odd[k], starts)
+                            key = ta.mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
+                        keys[some, band] = key
+                own = batch.slice(lo, hi - lo)
+                made = [pa.array(count.astype(np.int32)), lists(parity.view(np.int64)), lists(keys.view(np.int64))]
+                yield pa.record_batch([*own.columns, *made], names=[*own.schema.names, "n", "parity", "keys"])
+        ta.release()
+
+    return sign
 
 
 def signatures(lines: DataFrame, chars: int = CHARS) -> DataFrame:
-    """Adds keys (one of each band) to lines with a column `line`, see _families().
-
-    One hash spreads the shingles over 32 equal ranges; the least hash of a range is its
-    coordinate, and an empty range takes that of the next one that is not (around the end).
-    So all coordinates come from one sorted array.
-    """
-    # Exploding an array of one keeps the optimizer from writing a column out where it is used.
-    out = _families(lines, chars)
-    least = F.filter("h", lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get("h", i - 1), 59)))
-    out = out.withColumn("c", F.explode(F.array(least))).drop("h")
-    # A range holds its own hash and, before it, all empty ranges since the one filled before.
-    place = F.shiftright
-    ahead = F.transform(
-        "c", lambda x, i: F.array_repeat(x, (place(x, 59) - F.coalesce(place(F.get("c", i - 1), 59), F.lit(-17))).cast("int"))
-    )
-    around = F.array_repeat(F.get("c", F.lit(0)), (15 - place(F.element_at("c", -1), 59)).cast("int"))
-    filled = F.concat(F.flatten(ahead), around)
-    out = out.withColumn("c", F.explode(F.array(F.when(F.size("c") == 32, F.col("c")).otherwise(filled))))
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.get("c", b * ROWS + i) for i in range(ROWS)])
-    )
-    return out.withColumn("keys", keys).drop("c")
-
-
-def _traits(texts: DataFrame, chars: int) -> DataFrame:
-    """id, n (distinct shingles), parity of lines: what bounds the similarity of two of them."""
-    sets = texts.select("id", F.explode(F.array(F.array_distinct(_shingles("line", chars)))).alias("h"))
-
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright("x", 6).bitwiseAND(F.lit(PARITY - 1))
-    odd = [F.bit_xor(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(PARITY)]
-    # All shingles of a line are in one task, so partial sums leave one row a line for the shuffle.
-    each = sets.select("id", F.explode("h").alias("x")).groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd)
-    return each.select("id", "n", F.array(*[f"p{w}" for w in range(PARITY)]).alias("parity"))
+    """Adds n (distinct shingles), parity and keys (one of each band) to rows with a column `line`."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(_signer(chars), f"{columns}, n int, parity array<long>, keys array<long>")
+
+
+def _linker(chars: int, percent: int):
+    """Of rows (a, b, la, lb) the pairs whose sets of shingles are alike."""
+
+    def link(batches):
+        for batch in batches:
+            a, b, la, lb = batch.columns
+            bytes_ = np.asarray(pc.binary_length(la)).astype(np.int64) + np.asarray(pc.binary_length(lb))
+            ends = np.cumsum(bytes_)
+            at = 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
+                sizes, keys = [], []
+                # One run of pairs on each side, so both sides give its lines the same numbers.
+                for side in (la, lb):
+                    run = side.slice(at, stop - at)
+                    ((_, _, data, offsets),) = ta.chunks(run, int(ends[stop - 1] - before) + 1)
+                    line, both, room = _sets(*_shingles(data, offsets, chars))
+                    sizes.append(np.bincount(line, minlength=stop - at))
+                    keys.append(both)
+                merged = np.sort(np.concatenate(keys))
+                twice = merged[1:][merged[1:] == merged[:-1]] >> np.uint64(room)
+                shared = np.bincount(twice.astype(np.int64), minlength=stop - at)
+                alike = pa.array(100 * shared >= percent * (sizes[0] + sizes[1] - shared))
+                yield pa.record_batch([c.slice(at, stop - at).filter(alike) for c in (a, b)], names=["a", "b"])
+                at = stop
+        ta.release()
+
+    return link
 
 
 def _possible(percent: int) -> str:
@@ -97,88 +130,80 @@ def _possible(percent: int) -> str:
 
 
 def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line of each document: doc_id, line_no, keep_doc, keep_line, kept.
+    """One row per line of each row of docs: row, doc_id, line_no, keep_doc, keep_line, kept.
 
     Lines are what line feeds separate; they are compared trimmed and in small letters. Two
     lines are linked when 100 * intersection >= percent * union of their sets of `chars`
-    characters; of each component the line with the least (doc_id, line_no) is kept, and
-    keep_doc and keep_line name it. A line without a word has nulls there and stays.
-
-    Method. A line's signature is made of the shingles that begin at its words (of all of them
-    where words are few or long). Equal lines collapse by two 64-bit hashes. The rest meet in buckets of BANDS bands
-    of ROWS MinHash coordinates (a pair whose signed shingles are 0.8 alike is missed once in 1,300 times), are compared
-    by merge_buckets(), exactly (unless their numbers of shingles or the parity bits of these rule
-    a link out, which loses none), and joined by distributed union-find. All in DataFrame
-    functions; no group is gathered in one task.
-
-    Edge cases: a null or empty text has one line without a word; a row without doc_id is left
-    out; rows that repeat a doc_id with the same text are one document; a line shorter than
-    `chars` is one shingle, so it only links equal ones; other columns are not read; an empty
-    table gives an empty result.
+    characters; of each component the line with the least (doc_id, row, line_no) is kept, null
+    ids last, and keep_doc and keep_line name it. A line without a word has nulls there and stays.
+
+    Method. Equal lines collapse by two 64-bit hashes. Each distinct line is signed once, by
+    all its shingles. Lines meet in buckets of BANDS bands of ROWS MinHash coordinates (a pair
+    that is 0.8 alike is missed once in 1,300 times), are compared by merge_buckets(), exactly
+    (unless their numbers of shingles or the parity bits of these rule a link out, which loses
+    none), and joined by distributed union-find. Shingles are made in Arrow batches: in native
+    functions each costs a microsecond (see the README). No group is gathered in one task.
+
+    Edge cases: a null or empty text has one line without a word; each row of docs is a
+    document by itself, whether its doc_id is repeated or null (`row` tells them apart; of
+    equal rows any may come first); a line shorter than `chars` is one shingle, so it only links equal ones;
+    other columns are not read; an empty table gives an empty result.
     """
     stage = Stage(docs.sparkSession, "lines")
-    lines = docs.filter(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line")
-    )
-    lines = lines.withColumn("line", F.when(F.col("line").rlike(WORD), F.lower(F.trim("line"))))
-    hashes = [F.xxhash64(F.lit(i), "line").alias(f"h{i}") for i in (1, 2)]
-    signed = signatures(lines.filter("line is not null").select("doc_id", "line_no", "line", *hashes), chars)
-    slim = stage.keep(signed.drop("line"), "slim")
-    # A line can have two rows, one a family.
-    first = slim.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    # Each distinct line gets a number, which is fixed once it is written.
-    first = stage.keep(first.select("h1", "h2", "first.*", F.monotonically_increasing_id().alias("id")), "first")
-    entry = first.join(slim, ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["id", "keys"])
-    entry = stage.keep(entry.select("id", "doc_id", "line_no", "keys"), "entry")
+
+    def split(rows: DataFrame, *columns: str) -> DataFrame:
+        parts = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+        lines = rows.select(*columns, F.posexplode(parts).alias("line_no", "line"))
+        lines = lines.withColumn("line", F.when(F.col("line").rlike(WORD), F.lower(F.trim("line"))))
+        return lines.withColumns({f"h{i}": F.when(F.col("line").isNotNull(), F.xxhash64(F.lit(i), "line")) for i in (1, 2)})
+
+    # Rows get numbers here alone (before their lines are told apart), which are fixed once this is written.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = stage.keep(split(rows, "row", "doc_id").drop("line"), "slim")
+    filled = slim.filter("h1 is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
+    first = stage.keep(filled.groupBy("h1", "h2").agg(F.min(order).alias("k")), "first")
+    # Each distinct line gets a number.
+    texts = split(docs.select(F.col(text).alias("text"))).filter("line is not null").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    entry = stage.keep(signatures(texts.withColumn("id", F.monotonically_increasing_id()), chars), "entry")
     shared = entry.select("id", F.explode("keys").alias("key"))
     keys = stage.keep(shared.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "keys")
     ids = stage.keep(shared.join(keys, "key", "left_semi").select("id").distinct(), "ids")
     met = stage.keep(entry.join(ids, "id", "left_semi"), "met")
-    # Texts of those that meet another: a list of a document's own lines goes to its text.
-    wanted = met.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id")).alias("wanted"))
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).join(wanted, "doc_id")
-    parts = body.select(F.split("t", "\n", -1).alias("parts"), "wanted").select("parts", F.explode("wanted").alias("w"))
-    texts = parts.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("parts", F.col("w.line_no")))).alias("line"))
-    texts = stage.keep(texts.dropDuplicates(["id"]), "texts")
-    bounded = stage.keep(met.select("id", "keys").join(_traits(texts, chars), "id"), "bounded")
-    stage.drop(entry, keys, ids, met)
+    stage.drop(entry, keys, ids)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.selectExpr("id as a", "line as la"), "a").join(texts.selectExpr("id as b", "line as lb"), "b")
-        for c in ("la", "lb"):
-            both = both.withColumn(c, F.explode(F.array(F.array_distinct(_shingles(c, chars)))))
-        both = both.withColumn("both", F.size(F.array_intersect("la", "lb")))
-        return both.filter(100 * F.col("both") >= percent * (F.size("la") + F.size("lb") - F.col("both"))).select("a", "b")
-
-    # No sketch of the coordinates rules a pair out: empty ranges copy others, so those of a
-    # short line are not independent, and few shingles that differ can change most of them.
-    labels = merge_buckets(stage, bounded, ["n", "parity"], _possible(percent), verify, LEFT_PER_ROW * slim.count())
-    stage.drop(bounded, texts)
-    if labels is None:
-        keeper = first.select("h1", "h2", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
-    else:
-        own = first.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        own = stage.keep(own.withColumn("component", F.coalesce("component", "id")), "own")
-        keep = own.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("k"))
-        keep = stage.keep(keep.selectExpr("component", "k.doc_id as keep_doc", "k.line_no as keep_line"), "keep")
-        keeper = stage.keep(own.select("h1", "h2", "component").join(keep, "component").drop("component"), "keeper")
-    told = slim.select("doc_id", "line_no", "h1", "h2").distinct().join(keeper, ["h1", "h2"])
-    told = told.select("doc_id", "line_no", "keep_doc", "keep_line", F.expr("doc_id = keep_doc and line_no = keep_line").alias("kept"))
-    blank = lines.filter("line is null").selectExpr("doc_id", "line_no", "cast(null as long) as keep_doc", "cast(null as int) as keep_line", "true as kept")
+        both = pairs.join(met.selectExpr("id as a", "line as la"), "a").join(met.selectExpr("id as b", "line as lb"), "b")
+        return both.select("a", "b", "la", "lb").mapInArrow(_linker(chars, percent), "a long, b long")
+
+    bounds = met.select("id", "keys", "n", "parity")
+    labels = merge_buckets(stage, bounds, ["n", "parity"], _possible(percent), verify, LEFT_PER_ROW * slim.count())
+    keeper = first
+    if labels is not None:
+        named = stage.keep(labels.withColumnRenamed("node", "id").join(met.select("id", "h1", "h2"), "id").drop("id"), "named")
+        own = stage.keep(first.join(named, ["h1", "h2"]), "own")
+        least = own.groupBy("component").agg(F.min("k").alias("least"))
+        linked = own.join(least, "component").select("h1", "h2", "least")
+        keeper = stage.keep(first.join(linked, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "k").alias("k")), "keeper")
+        stage.drop(first, named, own)
+    stage.drop(met)
+    told = filled.join(keeper, ["h1", "h2"]).select(
+        "row", "doc_id", "line_no", F.col("k.doc_id").alias("keep_doc"), F.col("k.line_no").alias("keep_line"),
+        F.expr("row = k.row and line_no = k.line_no").alias("kept"),
+    )
+    blank = slim.filter("h1 is null").selectExpr("row", "doc_id", "line_no", "cast(null as long)", "cast(null as int)", "true")
     return told.union(blank)
 
 
 def by_document(lines: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines (with a word), n_dropped, dropped.
+    """One row per row of docs: doc_id, n_lines (with a word), n_dropped, dropped.
 
     dropped lists the lines that go, each with the line that stays: line_no:doc_id:line_no,
-    by line number, joined by commas.
+    by line number, joined by commas (the doc_id left out where it is null).
     """
-    named = F.when(~F.col("kept"), F.struct("line_no", F.concat_ws(":", "line_no", "keep_doc", "keep_line").alias("name")))
-    grouped = lines.groupBy("doc_id").agg(
-        F.size(F.collect_set(F.when(F.col("keep_doc").isNotNull(), F.col("line_no")))).cast("long").alias("n_lines"),
-        F.array_sort(F.collect_set(named)).alias("gone"),
-    )
+    name = F.concat_ws(":", "line_no", F.coalesce(F.col("keep_doc").cast("string"), F.lit("")), "keep_line")
+    named = F.when(~F.col("kept"), F.struct("line_no", name.alias("name")))
+    grouped = lines.groupBy("row", "doc_id").agg(F.count("keep_line").alias("n_lines"), F.array_sort(F.collect_list(named)).alias("gone"))
     return grouped.select(
         "doc_id", "n_lines", F.size("gone").cast("long").alias("n_dropped"), F.array_join(F.col("gone.name"), ",").alias("dropped")
     )
@@ -191,3 +216,5 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op8_line_dedup": op8}
 # Sets of all lines, each pair that shares one and the closure of links: tests use brute force.
 SQL: dict[str, str] = {}
+
+by_value(__name__)
