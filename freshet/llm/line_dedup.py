@@ -149,7 +149,7 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     equal rows any may come first); a line shorter than `chars` is one shingle, so it only links equal ones;
     other columns are not read; an empty table gives an empty result.
     """
-    stage = Stage(docs.sparkSession, "lines")
+    stage = Stage(docs.sparkSession, "lines", lean=True)
 
     def split(rows: DataFrame, *columns: str) -> DataFrame:
         parts = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
@@ -169,14 +169,15 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
     shared = entry.select("id", F.explode("keys").alias("key"))
     keys = stage.keep(shared.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "keys")
     ids = stage.keep(shared.join(keys, "key", "left_semi").select("id").distinct(), "ids")
-    met = stage.keep(entry.join(ids, "id", "left_semi"), "met")
-    stage.drop(entry, keys, ids)
+    stage.drop(keys)
+    bounds = stage.keep(entry.select("id", "keys", "n", "parity").join(ids, "id", "left_semi"), "bounds")
+    met = stage.keep(entry.select("id", "h1", "h2", "line").join(ids, "id", "left_semi"), "met")
+    stage.drop(entry, ids)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(met.selectExpr("id as a", "line as la"), "a").join(met.selectExpr("id as b", "line as lb"), "b")
         return both.select("a", "b", "la", "lb").mapInArrow(_linker(chars, percent), "a long, b long")
 
-    bounds = met.select("id", "keys", "n", "parity")
     labels = merge_buckets(stage, bounds, ["n", "parity"], _possible(percent), verify, LEFT_PER_ROW * slim.count())
     keeper = first
     if labels is not None:
@@ -186,7 +187,7 @@ def duplicate_lines(docs: DataFrame, chars: int = CHARS, percent: int = 80, doc_
         linked = own.join(least, "component").select("h1", "h2", "least")
         keeper = stage.keep(first.join(linked, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "k").alias("k")), "keeper")
         stage.drop(first, named, own)
-    stage.drop(met)
+    stage.drop(met, bounds)
     told = filled.join(keeper, ["h1", "h2"]).select(
         "row", "doc_id", "line_no", F.col("k.doc_id").alias("keep_doc"), F.col("k.line_no").alias("keep_line"),
         F.expr("row = k.row and line_no = k.line_no").alias("kept"),

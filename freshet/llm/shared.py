@@ -42,11 +42,12 @@ class Stage:
     """Written tables in the shared folder: they cut lineage and survive lost executors.
 
     keep() writes a table and reads it back; drop() deletes those that are no longer read.
-    A table that a returned DataFrame reads stays: the folder's owner clears it.
+    A table that a returned DataFrame reads stays: the folder's owner clears it. With lean,
+    tables are packed tighter, and Spark frees the shuffle files behind a table once it is written.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, lean: bool = False):
+        self.spark, self.lean = spark, lean
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
@@ -57,12 +58,27 @@ class Stage:
 
     def keep(self, df: DataFrame, label: str = "table") -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        if self.lean:
+            self._write_lean(df, path)
+        else:
+            df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         kept._stage_path = path
         return kept
 
+    def _write_lean(self, df: DataFrame, path: str) -> None:
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, before)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in tables:
