@@ -306,19 +306,15 @@ fold AS (SELECT gage_id, start_year, start_month, lead, cap, least(l, cap) AS us
 )
 
 
-@query(
-    "v13_project_months",
-    f"""WITH RECURSIVE {PROJECTION} SELECT gage_id, start_year, start_month, CAST(lead AS INTEGER) AS lead, round(cap - used, 4) AS stor FROM fold""",
-)
-def _(spark, d):
-    months = monthly(spark, d)
+def projected(months, inflow, model_loss):
+    """Storage of a trace per gage and start month; inflow and model_loss are columns of months."""
     start = months.select(
         "gage_id", F.col("year").alias("start_year"), F.col("month").alias("start_month"), (F.col("stor") / 100).alias("stor0")
     )
     # Each month serves the six starts before it: an equi-join on the start month.
     back = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.struct(k.alias("lead"), (F.col("year") * 12 + F.col("month") - 1 - k).alias("at")))
     served = months.withColumn("_s", F.explode(back)).select(
-        "gage_id", "month", "inflow", F.col("loss").alias("model_loss"), F.col("_s.lead").alias("lead"),
+        "gage_id", "month", inflow.alias("inflow"), model_loss.alias("model_loss"), F.col("_s.lead").alias("lead"),
         F.floor(F.col("_s.at") / 12).cast("int").alias("start_year"), (F.col("_s.at") % 12 + 1).alias("start_month"),
     )
     rows = (
@@ -330,6 +326,39 @@ def _(spark, d):
     return out.select("gage_id", "start_year", "start_month", "lead", F.round("stor", 4).alias("stor"))
 
 
+@query(
+    "v13_project_months",
+    f"""WITH RECURSIVE {PROJECTION} SELECT gage_id, start_year, start_month, CAST(lead AS INTEGER) AS lead, round(cap - used, 4) AS stor FROM fold""",
+)
+def _(spark, d):
+    return projected(monthly(spark, d), F.col("inflow"), F.col("loss"))
+
+
+# Some months lack their inflow or the model's loss: the storage is unknown from there on.
+GAPPED = (
+    MONTHLY
+    + """,
+ml AS (SELECT gage_id, month, avg(loss) AS mean_loss FROM monthly GROUP BY 1, 2),
+holes AS (SELECT *, CASE WHEN (year * 12 + month) % 17 <> 0 THEN inflow END AS seen, CASE WHEN (year * 12 + month) % 19 <> 0 THEN loss END AS told FROM monthly),
+pm AS (SELECT a.gage_id, a.year AS start_year, a.month AS start_month, (b.year - a.year) * 12 + b.month - a.month AS lead, a.stor / 100 AS stor0, b.seen,
+    ml.mean_loss * 0.6::DOUBLE + 0.4::DOUBLE * b.told AS l
+  FROM monthly a JOIN holes b ON a.gage_id = b.gage_id AND (b.year - a.year) * 12 + b.month - a.month BETWEEN 1 AND 6 JOIN ml ON ml.gage_id = b.gage_id AND ml.month = b.month),
+pl AS (SELECT *, CASE WHEN count(*) OVER w = count(seen) OVER w THEN stor0 + sum(seen) OVER w END AS cap FROM pm WINDOW w AS (PARTITION BY gage_id, start_year, start_month ORDER BY lead)),
+fold AS (SELECT gage_id, start_year, start_month, lead, cap, CASE WHEN l IS NOT NULL AND cap IS NOT NULL THEN least(l, cap) END AS used FROM pl WHERE lead = 1
+  UNION ALL SELECT p.gage_id, p.start_year, p.start_month, p.lead, p.cap, CASE WHEN f.used + p.l IS NOT NULL AND p.cap IS NOT NULL THEN least(f.used + p.l, p.cap) END
+  FROM fold f JOIN pl p ON p.gage_id = f.gage_id AND p.start_year = f.start_year AND p.start_month = f.start_month AND p.lead = f.lead + 1)"""
+)
+
+
+@query(
+    "v13_with_gaps",
+    f"""WITH RECURSIVE {GAPPED} SELECT gage_id, start_year, start_month, CAST(lead AS INTEGER) AS lead, round(cap - used, 4) AS stor FROM fold""",
+)
+def _(spark, d):
+    number = F.col("year") * 12 + F.col("month")
+    return projected(monthly(spark, d), F.when(number % 17 != 0, F.col("inflow")), F.when(number % 19 != 0, F.col("loss")))
+
+
 @query(
     "v14_split_rows",
     f"""WITH {RECORDS}, p AS (SELECT gage_id, date, row_number() OVER (PARTITION BY gage_id ORDER BY date) AS i, count(*) OVER (PARTITION BY gage_id) AS n FROM records)
