@@ -18,25 +18,31 @@ def _edges(ring: Column) -> Column:
     return F.zip_with(ring, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Even-odd ray test; a point on the border is inside."""
+def _crossing(e: Column, lat: Column) -> Column:
+    """Longitude where an edge meets a latitude that it spans, never beyond the edge's ends."""
+    a, b = e["a"], e["b"]
+    at = (b["lon"] - a["lon"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lon"]
+    return F.least(F.greatest(at, F.least(a["lon"], b["lon"])), F.greatest(a["lon"], b["lon"]))
 
-    def crosses(e):
-        a, b = e["a"], e["b"]
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        at = (b["lon"] - a["lon"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lon"]
-        return spans & (lon < at)
-
-    def on_border(e):
-        a, b = e["a"], e["b"]
-        turn = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
-        in_box = lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(
-            F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])
-        )
-        return (turn == 0) & in_box
 
+def _spans(e: Column, lat: Column) -> Column:
+    return (e["a"]["lat"] > lat) != (e["b"]["lat"] > lat)
+
+
+def _on_border(e: Column, lon: Column, lat: Column) -> Column:
+    a, b = e["a"], e["b"]
+    turn = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+    in_box = lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(
+        F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])
+    )
+    return (turn == 0) & in_box
+
+
+def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
+    """Even-odd ray test; a point on the border is inside."""
     edges = _edges(ring)
-    return (F.size(F.filter(edges, crosses)) % 2 == 1) | F.exists(edges, on_border)
+    crossed = F.filter(edges, lambda e: _spans(e, lat) & (lon < _crossing(e, lat)))
+    return (F.size(crossed) % 2 == 1) | F.exists(edges, lambda e: _on_border(e, lon, lat))
 
 
 def centroids(polygons: DataFrame, ring: str = "ring") -> DataFrame:
@@ -115,36 +121,96 @@ def nearest_on_axis(
     return points.join(told, F.col(at).cast("double") == F.col("_x"), "left").drop("_x")
 
 
-def _tiles(low: Column, high: Column, tile: float) -> Column:
-    return F.sequence(F.floor(low / tile), F.floor(high / tile))
+# Share of a tile by which an edge counts for the tiles beside it, far above the rounding of a crossing.
+TILE_SLACK = 1e-6
+
 
+def _tiles(low: Column, high: Column, tile: float, slack: float = 0.0) -> Column:
+    return F.sequence(F.floor(low / tile - slack), F.floor(high / tile + slack))
 
-def tiled_polygons(polygons: DataFrame, ring: str = "ring", tile: float = 1.0) -> DataFrame:
-    """One row per polygon and tile its bounding box touches (tx, ty)."""
+
+def tile_edges(polygons: DataFrame, ring: str = "ring", tile: float = 1.0) -> DataFrame:
+    """One row per polygon and tile (_tx, _ty) that it meets, with its columns but the ring.
+
+    _edges are the edges that cross the tile, _odd tells whether the right end of the tile's
+    lower side is inside the ring. That decides any point of the tile (`inside_tile`), so no
+    row carries the ring: an edge is written once for each tile it crosses. The corners come
+    from the edges' crossings of the tile lines, added up along each line. Vertices without a
+    coordinate are left out; a polygon without any has no tile.
+    """
+    staging = Staging(polygons.sparkSession, "tiles")
+    known = F.filter(ring, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull() & ~F.isnan(p["lon"]) & ~F.isnan(p["lat"]))
+    # Written, so that the number of a polygon holds when a task runs again.
+    shapes = staging.keep(polygons.withColumns({ring: known, "_shape": F.monotonically_increasing_id()}))
     lons, lats = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
-    boxed = polygons.withColumns(
-        {"_x0": F.array_min(lons), "_x1": F.array_max(lons), "_y0": F.array_min(lats), "_y1": F.array_max(lats)}
+    grid = shapes.select("_shape", _tiles(F.array_min(lons), F.array_max(lons), tile).alias("x"), F.explode(_tiles(F.array_min(lats), F.array_max(lats), tile)).alias("_ty"))
+    grid = grid.select("_shape", "_ty", F.explode("x").alias("_tx"))
+
+    e = F.col("_e")
+    south, north = F.least(e["a"]["lat"], e["b"]["lat"]), F.greatest(e["a"]["lat"], e["b"]["lat"])
+    base = F.col("_ty") * tile
+    rows = shapes.select("_shape", F.explode(_edges(F.col(ring))).alias("_e")).withColumn(
+        "_ty", F.explode(_tiles(south, north, tile, TILE_SLACK))
     )
-    return boxed.withColumn("_tx", F.explode(_tiles(F.col("_x0"), F.col("_x1"), tile))).withColumn(
-        "_ty", F.explode(_tiles(F.col("_y0"), F.col("_y1"), tile))
+    low = _crossing(e, F.greatest(south, base - TILE_SLACK * tile))
+    high = _crossing(e, F.least(north, base + (1 + TILE_SLACK) * tile))
+    flat = south == north
+    left = F.when(flat, F.least(e["a"]["lon"], e["b"]["lon"])).otherwise(F.least(low, high))
+    right = F.when(flat, F.greatest(e["a"]["lon"], e["b"]["lon"])).otherwise(F.greatest(low, high))
+    crossed = rows.withColumn("_tx", F.explode(_tiles(left, right, tile, TILE_SLACK)))
+
+    # The last tile whose right end lies before the crossing of the line; the ends as inside_tile computes them.
+    guess = F.ceil(F.col("at") / tile) - 2
+    last = guess + F.when((guess + 2) * tile < F.col("at"), 1).when((guess + 1) * tile < F.col("at"), 0).otherwise(-1)
+    corners = rows.filter(_spans(e, base)).withColumn("at", _crossing(e, base)).select("_shape", "_ty", last.alias("_tx"), F.lit(1).alias("n"))
+
+    tiles = (
+        grid.unionByName(crossed, allowMissingColumns=True)
+        .unionByName(corners, allowMissingColumns=True)
+        .groupBy("_shape", "_ty", "_tx")
+        .agg(F.collect_list("_e").alias("_edges"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     )
+    beyond = Window.partitionBy("_shape", "_ty").orderBy(F.desc("_tx"))
+    tiles = tiles.withColumn("_odd", F.sum("n").over(beyond) % 2 == 1).filter("_odd or size(_edges) > 0")
+    return tiles.drop("n").join(shapes.drop(ring), "_shape").drop("_shape")
+
+
+def inside_tile(lon: Column, lat: Column, tile: float) -> Column:
+    """The even-odd ray test of a point with a row of `tile_edges`; a point on the border is inside.
+
+    A ray from the point passes as many edges, by parity, as one from the tile's corner (x, y),
+    but for edges of this tile: those between the point and the tile's right side, and those
+    that cross that side between the two latitudes. The latter are counted by the same
+    crossings as the former (an edge over x moves the parity unless its eastern end does), so a
+    rounded crossing can never count in one and miss in the other.
+    """
+    x, y = (F.col("_tx") + 1) * tile, F.col("_ty") * tile
+
+    def flips(e):
+        over = (e["a"]["lon"] > x) != (e["b"]["lon"] > x)
+        east = F.when(e["a"]["lon"] > x, e["a"]["lat"]).otherwise(e["b"]["lat"])
+        side = _spans(e, lat) & (x < _crossing(e, lat))
+        corner = _spans(e, y) & (x < _crossing(e, y))
+        ahead = _spans(e, lat) & (lon < _crossing(e, lat))
+        return (ahead != side) != (over & ((side != corner) != ((east > lat) != (east > y))))
+
+    odd = (F.size(F.filter("_edges", flips)) % 2 == 1) != F.col("_odd")
+    return odd | F.exists("_edges", lambda e: _on_border(e, lon, lat))
 
 
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, polygon_cols: Sequence[str], ring: str = "ring", tile: float = 1.0
 ) -> DataFrame:
-    """Every (point, polygon) match. Points carry lon and lat.
+    """Every (point, polygon) match. Points carry lon and lat; those without are in no polygon.
 
-    Tiles turn the range join into an equi-join; adaptive execution splits a tile that
-    holds a large part of the points.
+    Tiles turn the range join into an equi-join, a match is told from the edges of one tile,
+    and adaptive execution splits a tile that holds a large part of the points.
     """
-    areas = tiled_polygons(polygons.select(*polygon_cols, ring), ring, tile)
-    tiled = points.withColumns({"_tx": F.floor(F.col("lon") / tile), "_ty": F.floor(F.col("lat") / tile)})
-    near = tiled.join(areas, ["_tx", "_ty"]).filter(
-        F.col("lon").between(F.col("_x0"), F.col("_x1")) & F.col("lat").between(F.col("_y0"), F.col("_y1"))
-    )
-    hits = near.filter(inside_ring(F.col("lon"), F.col("lat"), F.col(ring)))
-    return hits.drop("_tx", "_ty", "_x0", "_x1", "_y0", "_y1", ring)
+    areas = tile_edges(polygons.select(*polygon_cols, ring), ring, tile)
+    lon, lat = F.col("lon"), F.col("lat")
+    tiled = points.filter(~(F.isnan("lon") | F.isnan("lat"))).withColumns({"_tx": F.floor(lon / tile), "_ty": F.floor(lat / tile)})
+    hits = tiled.join(areas, ["_tx", "_ty"]).filter(inside_tile(lon, lat, tile))
+    return hits.drop("_tx", "_ty", "_edges", "_odd")
 
 
 def first_polygon(

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -172,6 +173,57 @@ def test_nearest_with_a_value_far_off_and_hot_points(spark):
     assert spatial.nearest_on_axis(points, axis.limit(0), "x", "v").filter("nearest is not null").count() == 0
 
 
+def inside_by_hand(x, y, ring):
+    """Even-odd ray test with the border inside, edge by edge."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        if (ay > y) != (by > y) and x < (bx - ax) * ((y - ay) / (by - ay)) + ax:
+            odd = not odd
+    return odd
+
+
+def matches(spark, rings, places, tile):
+    polygons = spark.createDataFrame(list(enumerate(rings)), "hybas_id int, ring array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, lon double, lat double")
+    found = spatial.points_in_polygons(points, polygons, ["hybas_id"], tile=tile)
+    assert found.columns == ["id", "lon", "lat", "hybas_id"]
+    return sorted((r["id"], r["hybas_id"]) for r in found.collect())
+
+
+@pytest.mark.parametrize("tile", [1.0, 0.7, 3.0])
+def test_points_on_a_lattice_in_rings_along_tile_lines(spark, tile):
+    """Vertices, edges and points on tile lines and corners, rings that cross themselves, two alike."""
+    rng = random.Random(5)
+    rings = [[(float(rng.randint(-3, 6)), float(rng.randint(-3, 6))) for _ in range(rng.randint(3, 9))] for _ in range(25)]
+    rings += [rings[0], [(x * 0.7, y * 0.7) for x, y in rings[1]], [(1.0, 1.0)], []]
+    places = [(x / 2, y / 2) for x in range(-8, 14) for y in range(-8, 14)] + [(x * 0.7, y * 0.35) for x in range(-4, 9) for y in range(-8, 18)]
+    want = sorted((i, k) for i, p in enumerate(places) for k, ring in enumerate(rings) if ring and inside_by_hand(*p, ring))
+    assert matches(spark, rings, places, tile) == want
+
+
+def test_a_ring_of_ten_thousand_points_over_a_thousand_tiles(spark):
+    rng = random.Random(9)
+    ring = []
+    for i in range(10_000):
+        t, r = 2 * math.pi * i / 10_000, 10 + 6 * math.sin(14 * math.pi * i / 10_000) + rng.uniform(-0.4, 0.4)
+        ring.append((r * math.cos(t), r * math.sin(t)))
+    places = [(rng.uniform(-17, 17), rng.uniform(-17, 17)) for _ in range(400)] + ring[:20] + [(float("nan"), 0.0), (0.0, None)]
+    want = [(i, 0) for i, p in enumerate(places[:420]) if inside_by_hand(*p, ring)]
+    assert matches(spark, [ring], places, 1.0) == want
+    shape = spark.createDataFrame([(ring,)], "ring array<struct<lon:double,lat:double>>")
+    tiles = spatial.tile_edges(shape, tile=1.0)
+    assert "ring" not in tiles.columns and tiles.count() > 400
+    # Each edge lies in the few tiles that it crosses.
+    assert tiles.agg(F.sum(F.size("_edges"))).first()[0] < 15_000
+
+
+def test_vertices_without_a_coordinate_are_left_out(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (None, 5.0), (2.0, 2.0), (1.0, float("nan")), (0.0, 2.0)]
+    assert matches(spark, [square, [(None, None)]], [(1.0, 1.0), (1.0, 2.0), (3.0, 1.0)], 0.7) == [(0, 0), (1, 0)]
+
+
 def test_no_temporary_checkpoints_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "yarn"
