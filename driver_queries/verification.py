@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from driver_queries.forecasts import RECORDS
 from driver_queries.registry import registry, round_sql, rounded
-from driver_queries.stand_ins import MEASURES, daily, reservoir, traces
+from driver_queries.stand_ins import MEASURES, RESERVOIR, daily, reservoir, traces
 from freshet.operators import features, release, verify
 from freshet.operators import reservoir as res
+from freshet.plans.release import storage_by_lead
+from freshet.sources.staging import Staging
 
 QUERIES, SQL, query = registry()
 
@@ -251,11 +253,11 @@ def _(spark, d):
 # Every width that a two-month horizon leaves of two years.
 WIDTHS = range(1, 23)
 
-KENDALL = (
-    MONTHLY
-    + f""",
-rolled AS (SELECT gage_id, year, month, round(loss, 8) AS y, {", ".join(_rolled(w, 2) for w in WIDTHS)} FROM monthly),
-x AS ({" UNION ALL ".join(f"SELECT gage_id, year * 12 + month AS t, '{v}' AS series, {w} AS width, round({v}_mn_{w}, 8) AS x, y FROM rolled WHERE {v}_mn_{w} IS NOT NULL AND y IS NOT NULL" for v in ("stor", "inflow") for w in WIDTHS)}),
+
+def _screen_sql(h, widths):
+    """Tests of all widths at one horizon, over the table `monthly`."""
+    return f"""rolled AS (SELECT gage_id, year, month, round(loss, 8) AS y, {", ".join(_rolled(w, h) for w in widths)} FROM monthly),
+x AS ({" UNION ALL ".join(f"SELECT gage_id, year * 12 + month AS t, '{v}' AS series, {w} AS width, round({v}_mn_{w}, 8) AS x, y FROM rolled WHERE {v}_mn_{w} IS NOT NULL AND y IS NOT NULL" for v in ("stor", "inflow") for w in widths)}),
 s AS (SELECT a.gage_id, a.series, a.width, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s FROM x a JOIN x b
   ON a.gage_id = b.gage_id AND a.series = b.series AND a.width = b.width AND b.t > a.t GROUP BY 1, 2, 3),
 n AS (SELECT gage_id, series, width, count(*)::DOUBLE AS n FROM x GROUP BY 1, 2, 3),
@@ -267,7 +269,8 @@ z AS (SELECT s.gage_id, s.series, s.width, n, s, s / sqrt((n * (n - 1) * (2 * n
     + tx.q * ty.q / (9 * n * (n - 1) * (n - 2))) AS z
   FROM s JOIN n USING (gage_id, series, width) JOIN tx USING (gage_id, series, width) JOIN ty USING (gage_id, series, width)),
 screened AS (SELECT *, row_number() OVER (PARTITION BY gage_id, series ORDER BY round(abs(z), 10) DESC, width) AS rank FROM z)"""
-)
+
+KENDALL = MONTHLY + ",\n" + _screen_sql(2, WIDTHS)
 
 
 def screened(spark, d):
@@ -359,6 +362,53 @@ def _(spark, d):
     return projected(monthly(spark, d), F.when(number % 17 != 0, F.col("inflow")), F.when(number % 19 != 0, F.col("loss")))
 
 
+# The months that release models learn from: unfilled records, then the mean of the gage.
+RAW_MONTHS = RESERVOIR + """,
+unfilled AS (SELECT gage_id, date, stor, acft, -(lead(stor) OVER w - stor - lead(acft) OVER w) AS loss
+  FROM (SELECT gage_id, date, stor, inflow * 86400 / 43559.9::DOUBLE AS acft FROM reservoir) WINDOW w AS (PARTITION BY gage_id ORDER BY date)),
+known AS (SELECT gage_id, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, arg_max(stor, date) FILTER (WHERE stor IS NOT NULL) AS stor,
+  avg(acft) * count(*) AS inflow, avg(loss) * count(*) AS loss FROM unfilled GROUP BY 1, 2, 3),
+monthly AS (SELECT gage_id, year, month, coalesce(stor, avg(stor) OVER g) AS stor, coalesce(inflow, avg(inflow) OVER g) AS inflow,
+  coalesce(loss, avg(loss) OVER g) AS loss FROM known WINDOW g AS (PARTITION BY gage_id))"""
+
+
+def raw_months(spark, d):
+    return features.backfilled_months(res.unfilled_records(reservoir(spark, d), GAGE), GAGE)
+
+
+@query("w1_unfilled_records", f"WITH {RAW_MONTHS} SELECT gage_id, date, round(stor, 6) AS stor, round(acft, 6) AS inflow, round(loss, 6) AS loss FROM unfilled")
+def _(spark, d):
+    return rounded(res.unfilled_records(reservoir(spark, d), GAGE), ["gage_id", "date"], 6)
+
+
+@query("v9_backfilled_months", f"WITH {RAW_MONTHS} SELECT gage_id, year, month, {round_sql(['stor', 'inflow', 'loss'], 6)} FROM monthly")
+def _(spark, d):
+    return rounded(raw_months(spark, d), YM, 6)
+
+
+def _lead_rows_sql(h):
+    longest = 24 - h
+    return f"""SELECT * FROM (WITH {_screen_sql(h, range(1, longest + 1))},
+    c AS (SELECT * FROM screened WHERE rank <= 5 OR width = {longest}), k AS (SELECT gage_id, count(*) AS wanted FROM c GROUP BY 1),
+    l AS (SELECT x.gage_id, x.t, count(*) AS had, max(x.y) AS loss, sum(x.x) AS x_sum, string_agg(x.series || '_mn_' || x.width, ',' ORDER BY x.series DESC, x.width) AS lags
+      FROM x JOIN c ON c.gage_id = x.gage_id AND c.series = x.series AND c.width = x.width GROUP BY 1, 2)
+    SELECT l.gage_id, {h} AS lead, CAST((t - 1) // 12 AS INTEGER) AS year, CAST((t - 1) % 12 + 1 AS INTEGER) AS month, lags, round(loss, 4) AS loss, round(x_sum, 4) AS x_sum
+    FROM l JOIN k ON k.gage_id = l.gage_id WHERE had = wanted)"""
+
+
+@query("v11_lead_rows", f"WITH {RAW_MONTHS} " + " UNION ALL ".join(_lead_rows_sql(h) for h in range(1, 7)))
+def _(spark, d):
+    rows = features.lead_rows(Staging(spark, "months").keep(raw_months(spark, d)), keys=GAGE)
+    added = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(*GAGE, "lead", "year", "month", F.concat_ws(",", "lags").alias("lags"), F.round("loss", 4).alias("loss"), F.round(added, 4).alias("x_sum"))
+
+
+@query("v13_by_lead")
+def _(spark, d):
+    """Storage of the six months after each start by a forest of its own for each gage and lead."""
+    return storage_by_lead(reservoir(spark, d), GAGE)
+
+
 @query(
     "v14_split_rows",
     f"""WITH {RECORDS}, p AS (SELECT gage_id, date, row_number() OVER (PARTITION BY gage_id ORDER BY date) AS i, count(*) OVER (PARTITION BY gage_id) AS n FROM records)

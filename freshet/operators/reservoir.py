@@ -53,6 +53,18 @@ def loss_records(
     return rows.withColumn("doy_loss", by_doy)
 
 
+def unfilled_records(reservoir: DataFrame, keys: Sequence[str] = BASIN) -> DataFrame:
+    """Daily stor, inflow (acre-feet) and loss as they were measured: nothing filled, floored or rescaled.
+
+    The storage change to the next row is set against that row's inflow; a loss is null where
+    either of them is unknown, and on the last day.
+    """
+    ordered = Window.partitionBy(*keys).orderBy("date")
+    rows = reservoir.withColumn("inflow", cfs_to_acft_day(F.col("inflow")))
+    loss = raw_loss(F.col("stor"), F.lead("stor").over(ordered), F.lead("inflow").over(ordered))
+    return rows.select(*keys, "date", "stor", "inflow", loss.alias("loss"))
+
+
 def mean_loss_by_doy(records: DataFrame, keys: Sequence[str] = BASIN) -> DataFrame:
     return records.groupBy(*keys, F.dayofyear("date").alias("doy")).agg(F.avg("loss").alias("doy_loss"))
 
