@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from driver_queries.registry import registry, round_sql, rounded
-from driver_queries.stand_ins import DAILY, MEASURES, gappy, runs, table, traces
+from driver_queries.stand_ins import DAILY, GAP, MEASURES, gappy, runs, table, traces
 from freshet.functions.cleaning import correct_monthly_bias
 from freshet.operators import scoring
 
@@ -20,8 +20,8 @@ def pairs(spark, d):
     return scoring.pair(runs(spark, d), obs, ["gage_id", "date"])
 
 
-PAIRS = MEASURES + """,
-gappy AS (SELECT gage_id, date, CASE WHEN q >= 20 THEN q END AS q FROM daily),
+PAIRS = MEASURES + f""",
+gappy AS (SELECT gage_id, date, CASE WHEN NOT ({GAP}) THEN q END AS q FROM daily),
 pairs AS (SELECT r.gage_id, run_id, r.date, sim, q AS obs FROM runs r LEFT JOIN gappy g ON r.gage_id = g.gage_id AND r.date = g.date),
 parted AS (SELECT *, row_number() OVER (PARTITION BY gage_id, run_id ORDER BY date) AS i, count(*) OVER (PARTITION BY gage_id, run_id) AS n FROM pairs),
 split AS (SELECT *, i <= n // 3 OR i >= ceil(n / 1.5::DOUBLE) AS in_cal, i >= ceil(n / 3.0::DOUBLE) AND i <= floor(n / 1.5::DOUBLE) AS in_val FROM parted)"""

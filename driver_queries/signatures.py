@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_queries.registry import registry, rounded
-from driver_queries.stand_ins import DAILY, GAPPY, RAIN, daily, gappy, rain
+from driver_queries.stand_ins import DAILY, GAP, GAPPY, RAIN, daily, gappy, rain
 from freshet.operators import quality, recession, trends, yearly
 from freshet.plans import signatures
 
@@ -462,7 +462,7 @@ def _yearly_sql(*names):
     parts = []
     for name in names:
         text = SQL[name].replace(", 4) AS value", ", 13) AS value").replace(", 8) AS value", ", 13) AS value")
-        parts.append("SELECT * FROM (" + text.replace("q >= 20 THEN", "q >= 0 THEN") + ")")
+        parts.append("SELECT * FROM (" + text.replace(f"NOT ({GAP})", "true") + ")")
     return "\nUNION ALL ".join(parts)
 
 

@@ -1,7 +1,8 @@
 """Hydrology-shaped views of the driver tables, as DataFrames and as SQL.
 
 daily: five gages (supplier regions), q = quantity shipped per day.
-gappy: the same with flows under 20 blanked, as a sensor below its detection limit.
+gappy: the same with days blanked by key and date, the same share at every size: single days in two
+  years of three, and March to July of one year in five.
 rain:  order value per customer region and day.
 measures: shipping measures per region, line status (ensemble member) and day.
 Each view aggregates the whole table to one row per key and day, with partial sums
@@ -39,7 +40,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir).withColumn("q", F.when(F.col("q") >= 20, F.col("q")))
+    gage, day = F.col("gage_id"), F.unix_date("date")
+    single = ((day + 5 * gage) % 37 == 0) & ((F.col("year") + gage) % 3 != 0)
+    season = ((F.col("year") + 2 * gage) % 5 == 0) & F.col("month").between(3, 7)
+    return daily(spark, sf_dir).withColumn("q", F.when(~(single | season), F.col("q")))
 
 
 def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,15 +87,23 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gage_id, date, stor, inflow): storage from prices, inflow from quantities, both with gaps."""
+    """(gage_id, date, stor, inflow): storage from prices, inflow from quantities.
+
+    Both have gaps by key and date: pairs of days and some Mays without storage, single days and
+    the first weeks without inflow.
+    """
     rows = _shipments(spark, sf_dir).groupBy("gage_id", "date").agg(
         F.sum("l_quantity").alias("inflow"), (F.sum(F.round(F.col("l_extendedprice") * 100)) / 100).alias("stor")
     )
+    gage, day, year = F.col("gage_id"), F.unix_date("date"), F.year("date")
+    pair = ((day + 3 * gage) % 41 < 2) & ((year + gage) % 3 != 0)
+    may = ((year + gage) % 4 == 0) & (F.month("date") == 5)
+    single, early = (day + 7 * gage) % 53 == 0, day < 8045 + 7 * gage
     return rows.select(
         "gage_id",
         "date",
-        F.when(F.col("stor") >= 60000, F.col("stor") / 100).alias("stor"),
-        F.when(F.col("inflow") >= 20, F.col("inflow")).alias("inflow"),
+        F.when(~(pair | may), F.col("stor") / 100).alias("stor"),
+        F.when(~(single | early), F.col("inflow")).alias("inflow"),
     )
 
 
@@ -105,8 +117,11 @@ daily AS (
          CAST(dayofyear(date) AS INTEGER) AS doy, sum(l_quantity) AS q
   FROM shipments GROUP BY gage_id, date)"""
 
-GAPPY = DAILY + """,
-gappy AS (SELECT gage_id, date, year, month, doy, CASE WHEN q >= 20 THEN q END AS q FROM daily)"""
+GAP = """(date_diff('day', DATE '1970-01-01', date) + 5 * gage_id) % 37 = 0 AND (year(date) + gage_id) % 3 <> 0
+  OR (year(date) + 2 * gage_id) % 5 = 0 AND month(date) BETWEEN 3 AND 7"""
+
+GAPPY = DAILY + f""",
+gappy AS (SELECT gage_id, date, year, month, doy, CASE WHEN NOT ({GAP}) THEN q END AS q FROM daily)"""
 
 RAIN = """
 rain AS (
@@ -128,5 +143,9 @@ RESERVOIR = DAILY + """,
 raw_reservoir AS (
   SELECT gage_id, date, sum(l_quantity) AS i, sum(round(l_extendedprice * 100)) / 100 AS s FROM shipments GROUP BY 1, 2),
 reservoir AS (
-  SELECT gage_id, date, CASE WHEN s >= 60000 THEN s / 100 END AS stor, CASE WHEN i >= 20 THEN i END AS inflow
+  SELECT gage_id, date,
+    CASE WHEN NOT ((date_diff('day', DATE '1970-01-01', date) + 3 * gage_id) % 41 < 2 AND (year(date) + gage_id) % 3 <> 0
+      OR (year(date) + gage_id) % 4 = 0 AND month(date) = 5) THEN s / 100 END AS stor,
+    CASE WHEN NOT ((date_diff('day', DATE '1970-01-01', date) + 7 * gage_id) % 53 = 0
+      OR date_diff('day', DATE '1970-01-01', date) < 8045 + 7 * gage_id) THEN i END AS inflow
   FROM raw_reservoir)"""
