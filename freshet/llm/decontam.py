@@ -82,7 +82,9 @@ def decontaminate(
             own = pa.record_batch([place, batch.column(batch.schema.get_field_index(text))], names=["doc_id", "text"])
             for found in search([own]):
                 kept[found.column(0).to_numpy()] = False
-            yield batch.filter(pa.array(kept))
+            # The kept rows leave a few at a time, so a task never holds their texts twice.
+            for lo, hi, _, _ in ta.chunks(own.column(1)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(kept[lo:hi]))
         ta.release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
+# Bytes of texts that are judged together: the rules hold some 60 bytes for each.
+RUN_BYTES = 1 << 18
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -152,12 +154,13 @@ def plan(docs: DataFrame, sample_rows: int = 4096, text: str = "text") -> list[s
     def measure(batches):
         spent, hits = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
         for batch in batches:
-            for _, _, data, offsets in ta.chunks(batch.column(0)):
+            for _, _, data, offsets in ta.chunks(batch.column(0), RUN_BYTES):
                 texts = Texts(data, offsets)
                 for name, rule in RULES.items():
                     start = time.thread_time()
                     hits[name] += int(rule(texts).sum())
                     spent[name] += time.thread_time() - start
+        ta.release()
         columns = [list(RULES), list(spent.values()), list(hits.values())]
         yield pa.record_batch([pa.array(c) for c in columns], names=["rule", "spent", "hits"])
 
@@ -183,7 +186,7 @@ def judge(docs: DataFrame, order: list[str] | None = None, doc_id: str = "doc_id
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in ta.chunks(batch.column(1)):
+            for lo, hi, data, offsets in ta.chunks(batch.column(1), RUN_BYTES):
                 t = Texts(data, offsets)
                 repeats, failed, kept = _cascade(t, order)
                 counts = [t.n_words, word_chars(t), n_symbols(t), lines(t)[1], repeats]
@@ -200,16 +203,19 @@ def judge(docs: DataFrame, order: list[str] | None = None, doc_id: str = "doc_id
 def filter_documents(docs: DataFrame, order: list[str] | None = None, text: str = "text") -> DataFrame:
     """The rows of docs that judge() keeps, all columns as they are, without a shuffle."""
     order = plan(docs, text=text) if order is None else order
+    return docs.mapInArrow(_filterer(order, text), docs.schema)
+
+
+def _filterer(order: list[str], text: str):
+    """Hands on what each run of texts leaves, so that a task never holds its kept texts a second time."""
 
     def run(batches):
         for batch in batches:
-            kept = [np.zeros(0, bool)]
-            for _, _, data, offsets in ta.chunks(batch.column(batch.schema.get_field_index(text))):
-                kept.append(_cascade(Texts(data, offsets), order)[2])
-            yield batch.filter(pa.array(np.concatenate(kept)))
-        ta.release()
+            for lo, hi, data, offsets in ta.chunks(batch.column(batch.schema.get_field_index(text)), RUN_BYTES):
+                yield batch.slice(lo, hi - lo).filter(pa.array(_cascade(Texts(data, offsets), order)[2]))
+            ta.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
 
 
 def _cascade(t: Texts, order: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -59,12 +59,20 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
         kind, binary = np.int64, pa.large_binary()
     else:
         kind, binary = np.int32, pa.binary()
-    texts = texts.cast(binary).fill_null(b"")
+    texts = texts.cast(binary)
     n = len(texts)
     if not n:
         return
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
+
+    def parts():
+        _, offsets, data = texts.buffers()
+        return np.frombuffer(offsets, kind)[texts.offset : texts.offset + n + 1].astype(np.int64), data
+
+    offsets, data = parts()
+    # A null without bytes, as Spark sends it, is empty as it stands: only others make a copy.
+    if texts.null_count and np.diff(offsets)[texts.is_null().to_numpy(zero_copy_only=False)].any():
+        texts = texts.fill_null(b"")
+        offsets, data = parts()
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:

@@ -6,12 +6,15 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.llm import decontam, language, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
+from freshet.llm import decontam, language, line_dedup, mixing, near_dedup, quality, secrets, sharding, textarrays, token_counts, warc
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,6 +122,33 @@ def test_near_duplicates_of_a_chain_meet(spark):
     assert {r["component_id"] for r in near_dedup.near_duplicates(docs, words=2).collect()} == {0}
 
 
+def test_nulls_with_and_without_bytes_are_empty_texts():
+    given = pa.array(["ab", None, "", "cde", None])
+    odd = pa.Array.from_buffers(pa.string(), 3, [pa.py_buffer(b"\x05"), pa.py_buffer(np.array([0, 2, 5, 6], np.int32)), pa.py_buffer(b"abXXXc")])
+    for texts, want in ((given, [b"ab", b"", b"", b"cde", b""]), (given.slice(1, 3), [b"", b"", b"cde"]), (odd, [b"ab", b"", b"c"])):
+        for limit in (1, 1 << 20):
+            got = [bytes(data[i:j]) for _, _, data, at in textarrays.chunks(texts, limit) for i, j in itertools.pairwise(at)]
+            assert got == want
+
+
+def test_quality_stage_holds_a_small_part_of_a_batch():
+    words = [f"w{i}" for i in range(997)]
+    texts = [" ".join(random.Random(i).choices(words, k=250)) for i in range(4000)] + [None, "", "short"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = quality._filterer(list(quality.RULES), "text")
+    list(run(iter([batch.slice(0, 1)])))  # what a worker keeps is there
+    before = pa.default_memory_pool().bytes_allocated()
+    tracemalloc.start()
+    kept, arrow, largest = [], 0, 0
+    for out in run(iter([batch])):
+        kept += out.column(0).to_pylist()
+        arrow = max(arrow, pa.default_memory_pool().bytes_allocated() - before)
+        largest = max(largest, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    # Of 4.9 MB of texts.
+    assert kept == list(range(4000)) and arrow < batch.nbytes / 4 and largest < 20e6
+
+
 def test_quality_counts_of_awkward_rows(awkward, nothing):
     for r in quality.judge(awkward).collect():
         if r["doc_id"] is None:
