@@ -49,6 +49,23 @@ def test_trees_grown_together_equal_trees_grown_node_by_node():
         assert got[t, 90:] == pytest.approx([want[i] for i in range(90, n)])
 
 
+def test_nodes_that_end_are_not_counted_over(monkeypatch):
+    """Tables are made for nodes that may split alone, and of rows that a tree drew."""
+    rng = np.random.default_rng(4)
+    n, bins = 200, [12, 9, 7]
+    cells = [rng.integers(0, b, n) for b in bins]
+    y = rng.normal(size=n)
+    weights = np.zeros((30, n))
+    weights[:, : release.NODE] = 1  # all trees end at once
+    weights[0, :150] = 1  # but the first
+    sizes, count = [], np.bincount
+    monkeypatch.setattr(release.np, "bincount", lambda x, w, size: sizes.append((len(x), size)) or count(x, w, size))
+    got = release.grow(cells, bins, y, weights, np.ones(n, bool), 14, rng)
+    assert got[1:] == pytest.approx(np.full((29, n), y[: release.NODE].mean()))
+    # Two sums by tree, then a table of each column for the one tree left, from its own rows.
+    assert sizes[:8] == [(30 * n, 30)] * 2 + [(150, size) for size in bins for _ in range(2)]
+
+
 def rows(spark, basins=("a", "b"), n=400):
     out = []
     for k, basin in enumerate(basins):
