@@ -56,10 +56,10 @@ class Stage:
         self.n += 1
         return f"{self.folder}/{self.n}-{label}"
 
-    def keep(self, df: DataFrame, label: str = "table") -> DataFrame:
+    def keep(self, df: DataFrame, label: str = "table", settings: dict[str, str] | None = None) -> DataFrame:
         path = self.path(label)
         if self.lean:
-            self._write_lean(df, path)
+            self._write_lean(df, path, settings or {})
         else:
             df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
@@ -67,17 +67,19 @@ class Stage:
         kept._stage_path = path
         return kept
 
-    def _write_lean(self, df: DataFrame, path: str) -> None:
-        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(name, None)
-        self.spark.conf.set(name, "true")
+    def _write_lean(self, df: DataFrame, path: str, settings: dict[str, str]) -> None:
+        settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **settings}
+        before = {name: self.spark.conf.get(name, None) for name in settings}
+        for name, value in settings.items():
+            self.spark.conf.set(name, value)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(name)
-            else:
-                self.spark.conf.set(name, before)
+            for name, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(name)
+                else:
+                    self.spark.conf.set(name, value)
 
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -86,6 +88,16 @@ class Stage:
             path.getFileSystem(conf).delete(path, True)
 
 
+def runtime_filter(items: int) -> dict[str, str]:
+    """Settings that let Spark rule rows out by a Bloom filter of `items` keys before it shuffles them for a join."""
+    items = min(max(items, 1000), 4_000_000)
+    name = "spark.sql.optimizer.runtime.bloomFilter"
+    return {
+        f"{name}.enabled": "true", f"{name}.applicationSideScanSizeThreshold": "0", f"{name}.creationSideThreshold": "1g",
+        f"{name}.expectedNumItems": str(items), f"{name}.numBits": str(min(12 * items, 1 << 26)),
+    }
+
+
 def components(stage: Stage, links: DataFrame) -> DataFrame:
     """Connected components of links(a, b): node, component (its smallest node).
 
@@ -118,7 +130,7 @@ def components(stage: Stage, links: DataFrame) -> DataFrame:
 
 
 def merge_buckets(
-    stage: Stage, met: DataFrame, carry: list[str], near: str, verify, left_rows: int, turns: int = 6
+    stage: Stage, met: DataFrame, carry: list[str], near: str, verify, left_rows: int, turns: int = 6, hubs: bool = False
 ) -> DataFrame | None:
     """Components (node, component) of the verified links inside buckets; None without any.
 
@@ -126,22 +138,24 @@ def merge_buckets(
     carry columns of a pair (names end in _a and _b) that no link fails; verify(pairs of a, b)
     gives the pairs that are links. Each turn compares one leader of a bucket with the members
     of other components, and its links merge components, so a large group of copies costs one
-    pair a member. Turns go on while each halves the comparisons left; beyond that, or once
+    pair a member. Turns go on while each halves the comparisons left (with hubs, leaves a third); beyond that, or once
     left_rows are left, members outside a bucket's largest component are compared with all
-    members of others. Every two members of a bucket end in one component or are compared.
+    members of others. With hubs the leader is the member that meets most rows in all its buckets: the
+    middle of a family of copies links more of them than any copy does. Every two members of a bucket end in one component or are compared.
     """
     links = labels = None
     before = 0
     # A pair is compared in the first bucket that it shares: 32 bits of each key tell which.
-    carry = [*carry, "marks"]
-    met = met.withColumn("marks", F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    near = f"{near} and array_position(zip_with(marks_a, marks_b, (x, y) -> x = y), true) = band_a + 1"
+    marked = met.withColumn("marks", F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    first = "array_position(zip_with(marks_a, marks_b, (x, y) -> x = y), true) = band_a + 1"
+    carry, also = [*carry, "marks"], carry
     for turn in range(turns + 1):
-        now = met.withColumn("label", F.col("id"))
+        now = marked.withColumn("label", F.col("id"))
         if labels is not None:
-            now = met.join(labels.withColumnRenamed("node", "id"), "id", "left")
+            now = marked.join(labels.withColumnRenamed("node", "id"), "id", "left")
             now = now.withColumn("label", F.coalesce("component", "id")).drop("component")
-        entry = now.select(F.posexplode("keys").alias("band", "key"), "id", "label", *carry)
+        # With hubs a row of a bucket is slim; what goes with it joins when it is asked for.
+        entry = now.select(F.posexplode("keys").alias("band", "key"), "id", "label", *([] if hubs else carry))
         mixed = entry.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         mixed = stage.keep(mixed.select("key"), "mixed")
         open_ = stage.keep(entry.join(mixed, "key", "left_semi"), "open")
@@ -156,22 +170,39 @@ def merge_buckets(
         if not left:
             stage.drop(mixed, open_, by_key)
             break
-        last = turn == turns or (turn > 0 and (left <= left_rows or 2 * left > before))
+        last = turn == turns or (turn > 0 and (left <= left_rows or (3 if hubs else 2) * left > before))
         before = left
         side_a, side_b = (
             ["key", f"band as band_{x}", f"id as {x}", f"label as label_{x}", *[f"{c} as {c}_{x}" for c in carry]] for x in "ab"
         )
         if last:
+            if hubs:
+                whole = stage.keep(open_.join(marked.select("id", *carry), "id"), "whole")
+                stage.drop(open_)
+                open_ = whole
             top = by_key.selectExpr("key", "top.label as top")
             side = stage.keep(open_.join(top, "key").filter("label <> top").selectExpr(*side_a), "outside")
+        elif hubs:
+            meets = open_.join(by_key.select("key", "all"), "key").groupBy("id").agg(F.sum("all").alias("meets"))
+            # Of members that meet as many, another one leads in each bucket and turn.
+            choice = open_.join(meets, "id").withColumn("draw", F.xxhash64(F.lit(turn), "key", "id"))
+            choice = choice.groupBy("key").agg(F.max(F.struct("meets", "draw", "id", "label")).alias("x"))
+            side = stage.keep(choice.selectExpr("key", "x.id as a", "x.label as label_a"), "leaders")
         else:
             # Another leader each turn: the least id under another exclusive-or.
             code = F.lit((0x5DEECE66D * turn * turn) & 0x7FFFFFFF)
             leader = open_.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(code)).alias("x"))
             leader = leader.select("key", F.col("x").bitwiseXOR(code).alias("id"))
             side = stage.keep(open_.join(leader, ["key", "id"]).selectExpr(*side_a), "leaders")
-        pairs = side.join(open_.selectExpr(*side_b), "key").filter(f"label_a <> label_b and {near}")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if hubs and not last:
+            pairs = side.join(open_.selectExpr("key", "id as b", "label as label_b"), "key").filter("label_a <> label_b")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            for x in "ab":
+                pairs = pairs.join(met.selectExpr(f"id as {x}", *[f"{c} as {c}_{x}" for c in also]), x)
+            pairs = pairs.filter(near).select("a", "b")
+        else:
+            pairs = side.join(open_.selectExpr(*side_b), "key").filter(f"label_a <> label_b and {near} and {first}")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = stage.keep(verify(pairs), "links")
         links = found if links is None else links.union(found)
         labels = stage.keep(components(stage, links), "labels")

@@ -481,6 +481,47 @@ def test_short_lines_that_meet_are_linked(spark):
     assert len(met) >= 1495 and gone == met
 
 
+def test_copies_of_a_line_cost_some_pairs_each(spark, monkeypatch):
+    import random
+
+    draw = random.Random(9)
+    base = draw.choices("abcdefghijklmnopqrstuvwxyz ", k=600)
+    family = []
+    for _ in range(300):
+        # Four places changed: some 0.87 alike to the line itself, 0.76 to each other.
+        copy = list(base)
+        for at in draw.sample(range(20, 580), 4):
+            copy[at] = draw.choice("0123456789")
+        family.append("".join(copy))
+    rows = list(enumerate(["".join(base), *family]))
+    asked, whole = [], line_dedup.merge_buckets
+
+    def counted(stage, met, carry, near, verify, *more, **named):
+        def count(pairs):
+            asked.append(pairs.count())
+            return verify(pairs)
+
+        return whole(stage, met, carry, near, count, *more, **named)
+
+    monkeypatch.setattr(line_dedup, "merge_buckets", counted)
+    found = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in found if r["kept"]] == [0]
+    assert sum(asked) <= 5 * len(rows)
+
+
+def test_rows_of_buckets_in_some_batches(monkeypatch):
+    draw = np.random.default_rng(3)
+    key, h = draw.integers(0, 3000, 9000), draw.integers(0, 40, 9000)
+    h[key == 7], key[:200] = 5, 8
+    monkeypatch.setattr(line_dedup, "DEALT", 1500)
+    batches = [pa.record_batch([pa.array(x[i : i + 700]) for x in (key, h * 10000 + key)], names=["key", "h1"]) for i in range(0, 9000, 700)]
+    buckets = collections.defaultdict(set)
+    for k, x in zip(key.tolist(), (h * 10000 + key).tolist()):
+        buckets[k].add(x)
+    got = {x for batch in line_dedup._shared(iter(batches)) for x in batch.column(0).to_pylist()}
+    assert got == set().union(*(v for v in buckets.values() if len(v) > 1))
+
+
 def test_lines_of_one_id_on_two_texts(spark):
     line = "a line of some words that is long enough to be compared with others of its kind"
     rows = [(1, "nothing like it"), (1, line), (2, line[:-1]), (None, f"{line}s")]
