@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,28 @@ def test_forests_of_all_basins_at_once(spark):
     assert release.fit_by_basin(data.limit(0), **settings).collect() == []
 
 
+def test_blocks_of_trees_keep_partitions_of_their_own(spark, monkeypatch):
+    """Blocks are long and their rows few: adaptive execution must not join them by size."""
+    data = release.training_rows(rows(spark)).filter("basin in ('a', 'b')")
+    asked, whole = [], type(data).repartition
+    monkeypatch.setattr(type(data), "repartition", lambda self, *by: asked.append(by[0]) or whole(self, *by))
+    told = release.fit_by_basin(data, trees=6, folds=2, repeats=2, block=2)
+    assert asked == [2 * 2 * 2 * 2 * 3, 2 * 3]  # basins, settings, repeats, folds and blocks; basins and blocks
+    assert told.filter("prediction is not null").count() == data.count()
+
+
+def test_trees_grown_together_stay_in_a_cache(monkeypatch):
+    sizes, grow = [], release.grow
+    monkeypatch.setattr(release, "grow", lambda *a: sizes.append(a[3].shape) or grow(*a))
+    n = 2500
+    task = {"basin": "a", "setting": 0, "repeat": -1, "fold": -1, "block": 0, "month": [1 + i % 12 for i in range(n)], "loss": [float(i % 7) for i in range(n)]}
+    task |= {"stor": [float(i % 91) for i in range(n)], "is_validation": [False] * n}
+    batch = pa.RecordBatch.from_pylist([task])
+    made = release._forester(["basin"], ["stor"], 50, 50, 2, ["all"], 1, False, True)
+    assert len(list(made(iter([batch])))) == 1
+    assert sum(t for t, _ in sizes) == 50 and max(t * r for t, r in sizes) <= 50_000
+
+
 def test_trees_with_the_month_as_a_number_equal_trees_grown_node_by_node():
     rng = np.random.default_rng(2)
     n, bins = 90, [12, 9]
